@@ -264,25 +264,20 @@ class ScanPlan:
         of the same order as in ``df``.
         """
         limits = limits or Limits.of(df.sparkSession)
-        span = F.col(time) if time else F.lit(None).cast("bigint")
-        per_key = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min(span).alias("lo"), F.max(span).alias("hi")
-        )
-        seen = per_key.agg(
-            F.max("n").alias("largest"),
-            F.sum("n").alias("total"),
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        ).first()
+        sizes = df.groupBy(*keys).count()
+        seen = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
         if not seen.largest or seen.largest <= limits.group_rows:
             return cls()
         ranges = max(2, min(limits.max_slices, math.ceil(seen.total / limits.slice_rows)))
         by_range = cls(mode="range", slices=ranges)
-        if time is None or seen.lo is None:
+        if time is None:
+            return by_range
+        span = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+        if span.lo is None:
             return by_range
         wanted = max(2, min(limits.max_slices, math.ceil(seen.largest / limits.slice_rows)))
-        width = max(1, math.ceil((seen.hi - seen.lo + 1) / wanted))
-        by_time = cls(mode="time", slices=wanted, origin=seen.lo, width=width)
+        width = max(1, math.ceil((span.hi - span.lo + 1) / wanted))
+        by_time = cls(mode="time", slices=wanted, origin=span.lo, width=width)
         allowed = max(limits.group_rows, 4 * math.ceil(seen.largest / limits.max_slices))
         fullest = (
             by_time.sliced(df, time)
