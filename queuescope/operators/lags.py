@@ -31,7 +31,7 @@ def add_lag_probes(rows: DataFrame, lags: Iterable[int], narrow: Iterable[str])
     is_own = F.col("__probe.lag_no") == 0
     return spread.select(
         *[
-            F.col(c) if c in narrow else F.when(is_own, F.col(c)).alias(c)
+            c if c in narrow else F.when(is_own, F.col(c)).alias(c)
             for c in rows.columns
             if not c.startswith("time_lag_")
         ],

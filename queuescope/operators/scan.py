@@ -378,6 +378,6 @@ def _select_results(df, kept, ops, sliced):
     for name, op in ops.items():
         results.update(op.result(name, sliced))
     return df.select(
-        *[F.col(c) for c in kept if c not in results],
+        *[c for c in kept if c not in results],
         *[value.alias(name) for name, value in results.items()],
     )

@@ -58,10 +58,18 @@ def measured(spark: SparkSession, sf_dir: str) -> ScanPlan:
     return ScanPlan.measure(raw_events(spark, sf_dir), ["session_id"], "ts_ns")
 
 
-def worker_log(spark: SparkSession, sf_dir: str, plan: ScanPlan | None = None) -> DataFrame:
-    """Typed event table."""
+def worker_log(
+    spark: SparkSession, sf_dir: str, plan: ScanPlan | None = None, kinds: tuple[str, ...] = ()
+) -> DataFrame:
+    """Typed event table; with ``kinds``, of these event types only.
+
+    Requests are numbered per user and type, so other types can be left out before the numbering,
+    and the filter reaches the file scan.
+    """
     raw = raw_events(spark, sf_dir)
     plan = plan or measured(spark, sf_dir)
+    if kinds:
+        raw = raw.filter(F.col("event_type").isin(*kinds))
     numbered = plan.compute(
         raw, ["user_id", "event_type"], ["ts_ns", "seq"], "ts_ns", n=position()
     )

@@ -46,17 +46,17 @@ def rounded(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
     )
 
 
-def _log(spark, sf_dir):
+def _log(spark, sf_dir, *kinds):
+    """Event table (of the event types ``kinds``, all if none) and its scan plan."""
     plan = X.measured(spark, sf_dir)
-    return X.worker_log(spark, sf_dir, plan), plan
+    return X.worker_log(spark, sf_dir, plan, kinds), plan
 
 
-def _profile_documents(spark, sf_dir) -> DataFrame:
+def _profile_documents(events) -> DataFrame:
     """Per purchase, a profile document with samples of its function, as JSON text.
 
     Functions without base name and ``torch_rnn`` are left out; cold samples exist for every third.
     """
-    events, _ = _log(spark, sf_dir)
     base = fx.base_function(F.col("fqdn"))
     done = events.filter((F.col("message") == vocab.COMPLETE) & base.isNotNull())
     done = done.filter(base != "torch_rnn")
@@ -71,14 +71,14 @@ def _profile_documents(spark, sf_dir) -> DataFrame:
     return done.select(text.alias("text"))
 
 
-def _profile(spark, sf_dir) -> DataFrame:
+def _profile(events) -> DataFrame:
     # Rounded, so that features made from it do not depend on the order of summation.
-    return rounded(profile_means(parse_profiles(_profile_documents(spark, sf_dir), "text")), 9)
+    return rounded(profile_means(parse_profiles(_profile_documents(events), "text")), 9)
 
 
 def _features(spark, sf_dir, lags=(), profile=True) -> DataFrame:
     events, plan = _log(spark, sf_dir)
-    profiles = _profile(spark, sf_dir) if profile else None
+    profiles = _profile(events) if profile else None
     return arrival_features(events, profiles, lags, plan).drop("invocation_ts")
 
 
@@ -149,21 +149,21 @@ def trace_id(spark, sf_dir):
 
 
 def function_profile(spark, sf_dir):
-    return _profile(spark, sf_dir)
+    return _profile(_log(spark, sf_dir, "purchase")[0])
 
 
 # Projections and predicates
 
 
 def base_function(spark, sf_dir):
-    events, _ = _log(spark, sf_dir)
+    events, _ = _log(spark, sf_dir, "click", "purchase")
     return events.filter("fqdn is not null").select(
         "seq", "fqdn", fx.base_function(F.col("fqdn")).alias("base_function")
     )
 
 
 def status_onehot(spark, sf_dir):
-    events, _ = _log(spark, sf_dir)
+    events, _ = _log(spark, sf_dir, "signup")
     flags = fx.status_flags(F.col("new_state"))
     return (
         events.filter(F.col("message") == vocab.SWITCH)
@@ -223,11 +223,11 @@ def arrival_outcome(spark, sf_dir):
 def profile_join(spark, sf_dir):
     events, _ = _log(spark, sf_dir)
     requests = T.arrivals_with_outcome(events).select("session_id", "tid", "fqdn")
-    return join_profile(requests, _profile(spark, sf_dir))
+    return join_profile(requests, _profile(events))
 
 
 def queue_asof(spark, sf_dir):
-    events, plan = _log(spark, sf_dir)
+    events, plan = _log(spark, sf_dir, "click", "signup")
     probes = events.filter(F.col("message") == vocab.ARRIVAL).select(
         "session_id", "tid", F.col("fqdn").alias("queue"), "ts_ns"
     )
@@ -246,7 +246,7 @@ def estimator_comparison(spark, sf_dir):
     current = estimate_errors(events)
     other = join_profile(
         T.arrivals_with_outcome(events).select("session_id", "tid", "fqdn", "e2etime"),
-        _profile(spark, sf_dir),
+        _profile(events),
     )
     other = E.with_errors(other, "e2etime", "gpu_warm_results_sec")
     return rounded(E.estimator_comparison(current, other), 4)
@@ -255,20 +255,19 @@ def estimator_comparison(spark, sf_dir):
 # Ordered operators
 
 
-def _requests(spark, sf_dir):
-    events, plan = _log(spark, sf_dir)
-    requests = T.arrivals_with_outcome(events).withColumnRenamed("invocation_ts_ns", "ts_ns")
-    return requests, plan
+def _requests(events):
+    """GPU requests, from the arrivals and outcomes of the log."""
+    return T.arrivals_with_outcome(events).withColumnRenamed("invocation_ts_ns", "ts_ns")
 
 
 def iat(spark, sf_dir):
-    requests, plan = _requests(spark, sf_dir)
-    return A.with_gap(requests, plan, ["session_id"], "iat").select("session_id", "tid", "iat")
+    events, plan = _log(spark, sf_dir)
+    return A.with_gap(_requests(events), plan, ["session_id"], "iat").select("session_id", "tid", "iat")
 
 
 def iat_by_key(spark, sf_dir):
-    requests, plan = _requests(spark, sf_dir)
-    gaps = A.with_gap(requests, plan, ["session_id", "fqdn"], "iat_fqdn")
+    events, plan = _log(spark, sf_dir)
+    gaps = A.with_gap(_requests(events), plan, ["session_id", "fqdn"], "iat_fqdn")
     return gaps.select("session_id", "tid", "fqdn", "iat_fqdn")
 
 
@@ -279,29 +278,27 @@ def running_fill(spark, sf_dir):
     )
 
 
-def _changes(spark, sf_dir):
-    events, plan = _log(spark, sf_dir)
+def _changes(events, plan):
     rows = plan.co_locate(events, ["session_id"])
-    return Q.queue_events(T.tag_traces(rows, plan)), plan
+    return Q.queue_events(T.tag_traces(rows, plan))
 
 
 def queue_events(spark, sf_dir):
-    return _changes(spark, sf_dir)[0]
+    return _changes(*_log(spark, sf_dir))
 
 
-def _states(spark, sf_dir):
-    changes, plan = _changes(spark, sf_dir)
-    return Q.queue_states(changes, plan), plan
+def _states(events, plan):
+    return Q.queue_states(_changes(events, plan), plan)
 
 
 def queue_replay(spark, sf_dir):
-    return _states(spark, sf_dir)[0].select(
+    return _states(*_log(spark, sf_dir)).select(
         "session_id", "queue", "ts_ns", "seq", "change", "len", "status", "delta"
     )
 
 
 def last_per_key(spark, sf_dir):
-    events, _ = _log(spark, sf_dir)
+    events, _ = _log(spark, sf_dir, "signup")
     switches = events.filter(F.col("message") == vocab.SWITCH)
     return last_row(
         switches.select(*Q.QUEUE, "ts_ns", "seq", "queue_len", "new_state"),
@@ -310,9 +307,9 @@ def last_per_key(spark, sf_dir):
 
 
 def target_queue(spark, sf_dir):
-    states, plan = _states(spark, sf_dir)
-    requests, _ = _requests(spark, sf_dir)
-    probes = requests.select("session_id", "tid", "ts_ns", F.col("fqdn").alias("queue"))
+    events, plan = _log(spark, sf_dir)
+    states = _states(events, plan)
+    probes = _requests(events).select("session_id", "tid", "ts_ns", F.col("fqdn").alias("queue"))
     values = {"len": 0, "status": vocab.INITIAL_STATE}
     found = asof_lookup(probes, states, Q.QUEUE, "ts_ns", values, "seq", plan)
     return found.select(
@@ -341,9 +338,8 @@ def lag_global(spark, sf_dir):
 
 
 def queue_wide(spark, sf_dir):
-    states, plan = _states(spark, sf_dir)
-    requests, _ = _requests(spark, sf_dir)
-    return Q.queue_columns(states, requests, plan, X.FUNCTIONS)
+    events, plan = _log(spark, sf_dir)
+    return Q.queue_columns(_states(events, plan), _requests(events), plan, X.FUNCTIONS)
 
 
 def features_base(spark, sf_dir):
@@ -362,15 +358,15 @@ def features_training_lags(spark, sf_dir):
 
 
 def current_estimate_errors(spark, sf_dir):
-    return estimate_errors(_log(spark, sf_dir)[0])
+    return estimate_errors(_log(spark, sf_dir, "click", "view", "purchase")[0])
 
 
 def invocation_rollup(spark, sf_dir):
-    return E.invocation_rollup(_log(spark, sf_dir)[0])
+    return E.invocation_rollup(_log(spark, sf_dir, "click", "view", "purchase")[0])
 
 
 def row_errors(spark, sf_dir):
-    rows = E.invocation_rollup(_log(spark, sf_dir)[0])
+    rows = invocation_rollup(spark, sf_dir)
     return E.with_errors(rows, "e2etime", "gpu_est_total").select("session_id", "tid", *E.ERRORS)
 
 
@@ -392,7 +388,7 @@ def error_by_key(spark, sf_dir):
 
 
 def common_keys(spark, sf_dir):
-    events, _ = _log(spark, sf_dir)
+    events, _ = _log(spark, sf_dir, "click", "view", "purchase")
     cpu = events.filter("compute = 'CPU' and e2etime > 100")
     return E.common_keys(estimate_errors(events), cpu, "fqdn")
 
@@ -401,12 +397,12 @@ def common_keys(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    events, _ = _log(spark, sf_dir)
+    events, _ = _log(spark, sf_dir, "purchase")
     return events.filter("e2etime is not null").select("session_id", "tid", "fqdn", "seq", "e2etime")
 
 
 def session_sizes(spark, sf_dir):
-    return rounded(S.session_sizes(_requests(spark, sf_dir)[0]))
+    return rounded(S.session_sizes(_requests(_log(spark, sf_dir)[0])))
 
 
 def session_means(spark, sf_dir):
@@ -488,12 +484,12 @@ def distinct_keys(spark, sf_dir):
 
 
 def random_split(spark, sf_dir):
-    requests, _ = _requests(spark, sf_dir)
+    requests = _requests(_log(spark, sf_dir)[0])
     return M.random_split(requests.select("session_id", "tid"))
 
 
 def session_split(spark, sf_dir):
-    requests, _ = _requests(spark, sf_dir)
+    requests = _requests(_log(spark, sf_dir)[0])
     return M.session_split(requests.select("session_id", "tid"), TEST_SESSIONS)
 
 
@@ -509,8 +505,8 @@ def model_metrics(spark, sf_dir):
 
 
 def session_sequences(spark, sf_dir):
-    features = _features(spark, sf_dir, profile=False)
-    plan = X.measured(spark, sf_dir)
+    events, plan = _log(spark, sf_dir)
+    features = arrival_features(events, None, (), plan)
     packed = pack_sequences(features, ["tid", "target_queue_len"], plan, part_rows=100)
     return packed.select(
         "session_id", "part", "length",

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -26,10 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is counted to be small.
+    """Mark ``df`` for broadcast when it is seen to be small.
 
-    The count stops at ``max_rows``. A larger table is returned unmarked, and the join that uses it
-    is a shuffle join in which adaptive execution splits hot partitions.
+    At most ``max_rows`` rows and one are fetched. If that was all, the fetched rows stand for the
+    table, so it is not computed again. A larger table is returned as it is, and the join that uses
+    it is a shuffle join in which adaptive execution splits hot partitions.
     """
-    counted = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

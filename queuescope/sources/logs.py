@@ -31,11 +31,17 @@ def path_attributes(path: Column) -> dict[str, Column]:
 
 def is_session_of(path: Column, policy: str | None) -> Column:
     """Does the path hold a real session (no start-up chatter) of ``policy`` (any if None)?"""
-    real = ~F.contains(F.lower(path), F.lit(vocab.PRECLEANUP))
-    if policy is None:
-        return real
-    named = policy_name(F.regexp_extract(path, _PATH, _PATH_PARTS["policy"]))
-    return real & (F.lower(named) == policy.lower())
+    return _wanted(path, policy, include_precleanup=False)
+
+
+def _wanted(path: Column, policy: str | None, include_precleanup: bool) -> Column:
+    wanted = F.lit(True)
+    if not include_precleanup:
+        wanted = ~F.contains(F.lower(path), F.lit(vocab.PRECLEANUP))
+    if policy is not None:
+        named = policy_name(F.regexp_extract(path, _PATH, _PATH_PARTS["policy"]))
+        wanted = wanted & (F.lower(named) == policy.lower())
+    return wanted
 
 
 def _row_order(spark: SparkSession) -> Column:
@@ -81,14 +87,9 @@ def read_worker_logs(
         .option("pathGlobFilter", vocab.LOG_FILE)
         .json(root)
     )
-    # File name and row order must be read off the scan itself, before any other operator.
-    rows = scan.select("*", path.alias("path"), _row_order(spark).alias("seq"))
-    if not include_precleanup or policy is not None:
-        wanted = is_session_of(F.col("path"), policy)
-        if include_precleanup:
-            named = policy_name(F.regexp_extract("path", _PATH, _PATH_PARTS["policy"]))
-            wanted = F.lower(named) == policy.lower()
-        rows = rows.filter(wanted)
+    # The filter stands on the file's metadata alone, so other files are not even opened.
+    kept = scan.filter(_wanted(path, policy, include_precleanup))
+    rows = kept.select("*", path.alias("path"), _row_order(spark).alias("seq"))
     return rows.withColumn("session_key", session_key(F.col("path")))
 
 
