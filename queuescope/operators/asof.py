@@ -24,13 +24,19 @@ def asof_lookup(
     ``values`` maps state columns to what a probe without earlier state gets. States at exactly the
     probe's time count; among states of equal time the one with the largest ``state_order`` wins.
     One shuffle on ``keys``: both sides are stacked in time order and values are carried forward.
+    The order of probes of equal time does not matter; a hash of their columns gives them distinct
+    places, so that very many of them can still be cut into ranges.
     """
     kept = probes.columns
     stacked = probes.select(
-        *keys, time, F.lit(1).alias("__kind"), F.struct(*kept).alias("__probe")
+        *keys,
+        time,
+        F.lit(1).alias("__kind"),
+        F.xxhash64(*kept).alias("__tie"),
+        F.struct(*kept).alias("__probe"),
     ).unionByName(
         states.select(
-            *keys, time, F.lit(0).alias("__kind"), F.col(state_order).alias("__tie"), *values
+            *keys, time, F.lit(0).alias("__kind"), F.col(state_order).cast("bigint").alias("__tie"), *values
         ),
         allowMissingColumns=True,
     )

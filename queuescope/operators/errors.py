@@ -51,10 +51,16 @@ def error_summary(
     )
 
 
-def error_by_key(errors: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """Means per key, largest absolute error first."""
+def error_by_key(
+    errors: DataFrame,
+    key: str,
+    values: Sequence[str],
+    sort: str = "absolute_error",
+    ascending: bool = False,
+) -> DataFrame:
+    """Means per key, sorted by one of them (largest absolute error first by default)."""
     means = errors.groupBy(key).agg(*[F.avg(v).alias(v) for v in values])
-    return means.orderBy(F.desc("absolute_error"), key)
+    return means.orderBy(F.asc(sort) if ascending else F.desc(sort), key)
 
 
 def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

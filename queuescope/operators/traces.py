@@ -59,9 +59,7 @@ def tag_traces(events: DataFrame, plan: ScanPlan) -> DataFrame:
         window = Window.partitionBy(*TRACE)
         tagged = events.withColumns({name: a.over(window) for name, a in attributes.items()})
     else:
-        tagged = events.join(trace_table(events), TRACE, "left").select(
-            *events.columns, *attributes
-        )
+        tagged = _join_traces(events, trace_table(events)).select(*events.columns, *attributes)
     known = F.col("tid").isNotNull()
     first = (F.col("ts_ns") == F.col("arrival.ts_ns")) & (F.col("seq") == F.col("arrival.seq"))
     is_arrival = known & F.col("is_gpu") & (F.col("message") == vocab.ARRIVAL) & first
@@ -96,13 +94,18 @@ def with_cold_start(events: DataFrame, requests: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("__cold", F.lit(1))
     )
-    return (
-        requests.join(cold, TRACE, "left")
-        .withColumn("is_cold_start", F.coalesce(F.col("__cold"), F.lit(0)))
-        .drop("__cold")
+    return _join_traces(requests, cold).select(
+        *requests.columns, F.coalesce(F.col("__cold"), F.lit(0)).alias("is_cold_start")
     )
 
 
+def _join_traces(records: DataFrame, traces: DataFrame) -> DataFrame:
+    """Left join on the trace. Records without a trace match nothing and are spread by ``seq``."""
+    spread = F.coalesce(F.col("tid"), F.concat(F.lit("no trace "), F.col("seq").cast("string")))
+    right = traces.withColumnRenamed("tid", "__tid")
+    return records.withColumn("__tid", spread).join(right, ["session_id", "__tid"], "left")
+
+
 def arrivals_with_outcome(events: DataFrame) -> DataFrame:
     """GPU requests: first arrival left-joined with the last outcome, one row per trace.
 

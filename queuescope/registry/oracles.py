@@ -355,6 +355,11 @@ ORACLES: dict[str, str] = {
                {_path_level(1)} as duration, {_path_level(4)} as workload,
                {_path_level(5)} as repetition, {_path_level(6)} as policy
         from (select distinct path from paths where path not like '%precleanup%')"""),
+    "session_numbers": sql("paths", f"""
+        select seq, dense_rank() over (order by regexp_replace(path, '/worker1[.]log$', '')) - 1
+                 as session_id,
+               {_path_level(6)} as policy, {_path_level(4)} as workload
+        from paths where path not like '%precleanup%'"""),
     "log_flatten": f"""
         select event_id as seq, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')
                  as timestamp,

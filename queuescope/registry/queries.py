@@ -106,6 +106,12 @@ def session_catalog(spark, sf_dir):
     return L.session_catalog(paths.filter(L.is_session_of(F.col("path"), None)))
 
 
+def session_numbers(spark, sf_dir):
+    paths = _paths(spark, sf_dir)
+    real = paths.filter(L.is_session_of(F.col("path"), None))
+    return L.number_sessions(real).select("seq", "session_id", "policy", "workload")
+
+
 def _lines(spark, sf_dir) -> DataFrame:
     """Events as worker-log JSON lines; odd ones name their trace in the span only."""
     events = X.table(spark, sf_dir, "events")
@@ -384,7 +390,8 @@ def error_by_session(spark, sf_dir):
 
 def error_by_key(spark, sf_dir):
     errors = current_estimate_errors(spark, sf_dir)
-    return rounded(E.error_by_key(errors, "fqdn", ["e2etime", "gpu_est_total", *E.ERRORS]), 4)
+    means = E.error_by_key(errors, "fqdn", ["e2etime", "gpu_est_total", *E.ERRORS])
+    return rounded(means, 4)
 
 
 def common_keys(spark, sf_dir):
@@ -560,7 +567,7 @@ def batch_score(spark, sf_dir):
 
 QUERIES = [
     features_lagged, features_base, features_training_lags,
-    log_discovery, session_catalog, log_flatten, coerce_fields, trace_id, function_profile,
+    log_discovery, session_catalog, session_numbers, log_flatten, coerce_fields, trace_id, function_profile,
     base_function, status_onehot, policy_onehot, log_target, session_subset, model_rows,
     gpu_invocations, cold_start_flag, arrival_outcome, profile_join, queue_asof,
     estimator_comparison, iat, iat_by_key, running_fill, queue_events, queue_replay, last_per_key,

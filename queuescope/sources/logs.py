@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from queuescope import vocab
 from queuescope.functions.fields import display_time, nanos, policy_name, trace_id
 from queuescope.operators.scan import ScanPlan, position
+from queuescope.session import broadcast_if_small
 
 CORRUPT = "_corrupt_record"
 
@@ -132,7 +133,7 @@ def typed_events(records: DataFrame, strict: bool = False) -> DataFrame:
     flat = flat.withColumn("tid", trace_id(F.col("fields")["tid"], F.col("span")["tid"]))
     typed = coerce_fields(flat, strict=strict)
     ns = nanos(F.col("timestamp"))
-    session = [c for c in ("session_id", "session_key") if c in records.columns]
+    session = [c for c in ("session_id", "session_key", "policy", "workload") if c in records.columns]
     return typed.select(
         *session,
         "seq",
@@ -159,3 +160,15 @@ def session_catalog(paths: DataFrame) -> DataFrame:
         "session_key",
         *[parts[c].alias(c) for c in ("duration", "workload", "repetition", "policy")],
     )
+
+
+def number_sessions(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Records of several logs with the number, policy and workload of their session.
+
+    ``records`` have ``path``. The catalog has one row per log and is joined back by session key; a
+    hot session therefore stays spread as it was read whenever the catalog is small.
+    """
+    catalog = session_catalog(records) if catalog is None else catalog
+    keyed = records.withColumn("session_key", session_key(F.col("path")))
+    known = catalog.select("session_key", "session_id", "policy", "workload")
+    return keyed.join(broadcast_if_small(known), "session_key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from queuescope import vocab
 from queuescope.functions import fields as fx
 from queuescope.operators.profiles import join_profile, profile_means
+from queuescope.plans import ingest
 from queuescope.plans.features import arrival_features
 from queuescope.sources import logs as L
 from queuescope.sources import profiles as P
@@ -117,7 +118,7 @@ def test_features_from_files(spark, root, tmp_path):
     raw = L.read_worker_logs(spark, str(root), policy="Landlord").withColumn(
         "session_id", F.lit(0).cast("bigint")
     )
-    S.write_table(L.typed_events(raw), str(tmp_path / "typed"), ["session_id"])
+    S.write_table(L.typed_events(raw), str(tmp_path / "typed"), cluster_by=["session_id"])
     events = S.read_table(spark, str(tmp_path / "typed"))
     (row,) = arrival_features(events, None, [1]).collect()
     assert (row.tid, row.fqdn, row.base_function) == ("a", "cupy-4-0.0.1", "cupy")
@@ -125,6 +126,21 @@ def test_features_from_files(spark, root, tmp_path):
     assert row.num_running_funcs_filled == 2 and row.e2etime == 3.25
 
 
+def test_ingest(spark, root, tmp_path):
+    profile = tmp_path / "profile.json"
+    profile.write_text(json.dumps(PROFILE))
+    events = ingest.ingest(spark, str(root), str(tmp_path / "events"))
+    sizes = {(r.session_id, r.policy, r.workload): r["count"] for r in
+             events.groupBy("session_id", "policy", "workload").count().collect()}
+    assert sizes == {(0, "Landlord", "az-4*2"): len(SESSION), (1, "WeightedRandom_0.5", "large-4"): 2}
+    ingest.write_estimate_errors(events, str(tmp_path / "errors"))
+    (e,) = S.read_table(spark, str(tmp_path / "errors")).collect()
+    assert (e.fqdn, e.e2etime, e.gpu_est_total, e.absolute_error) == ("cupy-4-0.0.1", 3.25, 2.5, 0.75)
+    ingest.write_features(events, str(tmp_path / "features"), str(profile))
+    (f,) = S.read_table(spark, str(tmp_path / "features")).collect()
+    assert (f.session_id, f.tid, f.gpu_warm_results_sec, f.target_queue_len) == (0, "a", 1.5, 2)
+
+
 def test_nanos(spark):
     texts = {
         "2026-01-10 14:14:53": 0, "2026-01-10 14:14:53.5": 500_000_000,
@@ -201,10 +217,8 @@ def test_missing_profile_gives_zeros(spark, tmp_path):
 def test_table_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("P", 1, 0.5, "a,b"), ("Q", 2, None, 'x"y')],
                                "policy string, session_id bigint, v double, t string")
-    S.write_table(df, str(tmp_path / "t"), ["policy", "session_id"])
-    back = S.read_table(spark, str(tmp_path / "t")).select(
-        "policy", F.col("session_id").cast("bigint"), "v", "t"
-    )
+    S.write_table(df, str(tmp_path / "t"), ["policy"], ["session_id"])
+    back = S.read_table(spark, str(tmp_path / "t")).select(*df.columns)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     S.write_csv(df, str(tmp_path / "c"))
     again = S.read_csv(spark, str(tmp_path / "c"), df.schema)
