@@ -15,6 +15,7 @@ from queuescope.operators.profiles import join_profile
 from queuescope.operators.queues import replay, with_total
 from queuescope.operators.scan import ScanPlan
 from queuescope.operators.traces import tag_traces
+from queuescope.session import cut_lineage
 
 _NEEDED = [
     "session_id", "seq", "ts_ns", "tid", "message", "fqdn", "queue", "queue_len", "new_state",
@@ -45,10 +46,7 @@ def arrival_features(
     lags = sorted(set(lags))
     plan = plan or plan_for(events)
     rows = plan.co_locate(events.select(*_NEEDED), ["session_id"])
-    rows = tag_traces(rows, plan)
-    # Gaps and lags run among GPU arrivals; other records form a group of their own.
-    rows = with_gap(rows, plan, ["session_id", "is_gpu_arrival"], "iat", offsets=lags)
-    rows = with_gap(rows, plan, ["session_id", "is_gpu_arrival", "outcome_fqdn"], "iat_fqdn")
+    rows = _with_gaps(_relevant(tag_traces(rows, plan)), plan, lags)
     rows = with_running_count(rows, plan)
     rows = add_lag_probes(_state_rows(rows, lags), lags, _NARROW)
     rows = replay(rows, plan, ["probe_ns", "kind", "seq"], "probe_ns")
@@ -61,6 +59,31 @@ def arrival_features(
     return _named(join_profile(arrivals.withColumnRenamed("outcome_fqdn", "fqdn"), profile), lags)
 
 
+def _relevant(tagged: DataFrame) -> DataFrame:
+    """Records that move the running count or a queue, without columns no later step reads."""
+    moves = F.col("message").isin(vocab.ARRIVAL, vocab.START, vocab.COMPLETE, vocab.SWITCH)
+    return tagged.filter(moves | F.col("num_running_funcs").isNotNull()).drop("compute")
+
+
+def _with_gaps(rows: DataFrame, plan: ScanPlan, lags) -> DataFrame:
+    """Gaps since the last GPU arrival, and since the last one of the same function.
+
+    Inside a session's partition other records simply form a group of their own. When sessions are
+    sliced, rows are written between steps, so arrivals go through these steps by themselves.
+    """
+    keys = ["session_id", "is_gpu_arrival"]
+    if plan.is_whole:
+        arrivals, others = rows, None
+    else:
+        rows = cut_lineage(rows)
+        arrivals, others = rows.filter("is_gpu_arrival"), rows.filter("not is_gpu_arrival")
+    arrivals = with_gap(arrivals, plan, keys, "iat", offsets=lags)
+    arrivals = with_gap(arrivals, plan, [*keys, "outcome_fqdn"], "iat_fqdn")
+    if others is None:
+        return arrivals
+    return arrivals.unionByName(others, allowMissingColumns=True)
+
+
 def _state_rows(rows: DataFrame, lags) -> DataFrame:
     """Queue changes (kind 0) and GPU arrivals (kind 1) in one stream.
 
