@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from queuescope import vocab
 from queuescope.functions.fields import nanos_of_timestamp
-from queuescope.operators.scan import ScanPlan, position
+from queuescope.operators.scan import Limits, ScanPlan, position
 
 # Function names of the mapping, by number; any other number gives the last one.
 FUNCTIONS = [
@@ -54,7 +54,13 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measured(spark: SparkSession, sf_dir: str) -> ScanPlan:
-    """Scan plan of the log; it also holds for users, which are finer than sessions."""
+    """Scan plan of the log; it also holds for users, which are finer than sessions.
+
+    The number of all rows comes from the file footers. Where even that fits one task, sessions need
+    not be counted.
+    """
+    if table(spark, sf_dir, "events").count() <= Limits.of(spark).group_rows:
+        return ScanPlan()
     return ScanPlan.measure(raw_events(spark, sf_dir), ["session_id"], "ts_ns")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +54,8 @@ def _row_order(spark: SparkSession) -> Column:
     """
 
     def size_of(name):
-        return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-            spark.conf.get(name)
-        ))
+        number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", spark.conf.get(name).lower()).groups()
+        return int(number) << (10 * " kmgtp".index(unit or " "))
 
     smallest = min(
         size_of("spark.sql.files.maxPartitionBytes"), size_of("spark.sql.files.openCostInBytes")
