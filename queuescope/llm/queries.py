@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuescope.llm import exact
+from queuescope.llm import exact, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_table(spark, folder, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_components(_table(spark, folder, "documents"))
+
+
 ORACLES = {
     "op8_exact_dedup": r"""
         WITH d AS (
@@ -30,4 +34,4 @@ ORACLES = {
     """,
 }
 
-QUERIES = [op8_exact_dedup]
+QUERIES = [op8_exact_dedup, op10_simhash_near_dedup]
