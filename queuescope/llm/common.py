@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,10 @@ def byte_table(members: Iterable[int]) -> np.ndarray:
 IS_WORD = ~byte_table(BLANKS)
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words as maximal runs of word bytes that cross no text border.
+def word_spans(
+    data: np.ndarray, starts: np.ndarray, is_word: np.ndarray, cuts: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Words as maximal runs of word bytes that cross no text border and none of the sorted ``cuts``.
 
     Returns the first byte of each word, the byte after its last, and the number of words before
     each text (one more at the end).
@@ -87,6 +89,8 @@ def word_spans(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tup
     last[:-1] &= ~inside
     borders = starts[1:-1]
     borders = borders[(borders > 0) & (borders < len(data))]
+    if cuts is not None:
+        borders = np.concatenate([borders, cuts])
     joined = borders[inside[borders] & inside[borders - 1]]
     first[joined] = True
     last[joined] = True
@@ -185,9 +189,14 @@ def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     return rows.join(kept, row, "left_semi").drop(row)
 
 
-def batches_to_table(batches, schema: pa.Schema | None = None) -> pa.Table | None:
-    batches = list(batches)
-    return pa.Table.from_batches(batches) if batches else None
+def shards(batch: pa.RecordBatch, texts: pa.Array, size: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Consecutive parts of a batch with up to ``size`` bytes of text, at least one row each."""
+    _, starts = text_buffer(texts)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + size, "right")) - 1)
+        yield batch.slice(at, upto - at), texts.slice(at, upto - at)
+        at = upto
 
 
 def worker_state() -> dict:

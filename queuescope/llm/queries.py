@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from queuescope.llm import exact, simhash
+from queuescope.llm import decontam, exact, packing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.withColumn("n_hit", n_hit).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_table(spark, folder, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    config = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return packing.pack(docs, config).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_table(spark, folder, "documents"))
 
@@ -20,6 +48,39 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES = {
+    "op5_benchmark_decontamination": r"""
+        WITH w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        items AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark),
+        phrases AS (
+            SELECT DISTINCT item_id, least(len(words), 13) AS size,
+                   array_to_string(list_slice(words, i, i + least(len(words), 13) - 1), ' ') AS phrase
+            FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i
+                  FROM items WHERE len(words) > 0)),
+        sizes AS (SELECT DISTINCT size FROM phrases),
+        starts AS (
+            SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+            FROM w, sizes WHERE len(words) >= size),
+        hits AS (
+            SELECT s.doc_id, s.i, s.size, p.item_id
+            FROM (SELECT doc_id, i, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS phrase
+                  FROM starts) s JOIN phrases p USING (size, phrase)),
+        hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -34,4 +95,9 @@ ORACLES = {
     """,
 }
 
-QUERIES = [op8_exact_dedup, op10_simhash_near_dedup]
+QUERIES = [
+    op5_benchmark_decontamination,
+    op7_packing,
+    op8_exact_dedup,
+    op10_simhash_near_dedup,
+]
