@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, packing, simhash
+from queuescope.llm import decontam, exact, packing, simhash, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return substring.remove_repeats(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(_table(spark, folder, "documents"))
 
@@ -81,6 +88,24 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
         FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op6_substring_dedup": r"""
+        WITH w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS seq
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+        later AS (
+            SELECT doc_id, i FROM windows
+            QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text
+                 FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+        removed AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -97,6 +122,7 @@ ORACLES = {
 
 QUERIES = [
     op5_benchmark_decontamination,
+    op6_substring_dedup,
     op7_packing,
     op8_exact_dedup,
     op10_simhash_near_dedup,
