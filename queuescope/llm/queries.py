@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, packing, simhash, substring
+from queuescope.llm import decontam, exact, langid, packing, simhash, substring
+from queuescope.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def language_network(docs: DataFrame) -> langid.Network | None:
+    """Fitted on the documents that are not held out."""
+    return langid.train(docs.where(crc_mod("doc_id", 4) != 2))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    labels = langid.identify(docs, language_network(docs))
+    return labels.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -121,6 +133,7 @@ ORACLES = {
 }
 
 QUERIES = [
+    op2_language_id,
     op5_benchmark_decontamination,
     op6_substring_dedup,
     op7_packing,
