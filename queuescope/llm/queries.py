@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, langid, packing, simhash, substring
+from queuescope.llm import decontam, exact, langid, packing, simhash, substring, toxicity
 from queuescope.llm.common import crc_mod
 
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    lexicon = toxicity.train(docs, labels.where(crc_mod("doc_id", 3) != 1))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id",
+        (crc_mod("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def language_network(docs: DataFrame) -> langid.Network | None:
     """Fitted on the documents that are not held out."""
     return langid.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -133,6 +144,7 @@ ORACLES = {
 }
 
 QUERIES = [
+    op1_toxicity,
     op2_language_id,
     op5_benchmark_decontamination,
     op6_substring_dedup,
