@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,3 +206,47 @@ def worker_state() -> dict:
     import types
 
     return sys.modules.setdefault("queuescope_worker_state", types.ModuleType("state")).__dict__
+
+
+# --- Chunks: stored texts that a later step reads again together with what was found for them ---
+
+
+def _chunk_bytes(ids: pa.Array, texts: pa.Array) -> bytes:
+    batch = pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def open_chunk(data: bytes) -> tuple[pa.Array, pa.Array]:
+    """Ids and texts of a chunk."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table.column("id").combine_chunks(), table.column("text").combine_chunks()
+
+
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, size, words, data): texts of a task in parts of up to ``size`` bytes, compressed.
+
+    ``docs`` has an id and a text. ``words`` counts the runs of other characters than ASCII blanks.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for batch, texts in shards(whole, whole.column(1), size):
+                data, starts = text_buffer(texts)
+                words = len(word_spans(data, starts, IS_WORD)[0])
+                row = [number, len(data), words]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([v], pa.int64()) for v in row), pa.array([_chunk_bytes(batch.column(0), texts)], pa.binary())],
+                    names=["chunk", "size", "words", "data"],
+                )
+                number += 1
+
+    return docs.mapInArrow(cut, "chunk long, size long, words long, data binary")
+
+
+def bits_for(rows: int, size: int) -> int:
+    """The binary logarithm of a number of buckets with about ``size`` rows each."""
+    return max(0, (max(1, rows) // size)).bit_length()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, langid, packing, simhash, substring, toxicity
+from queuescope.llm import decontam, exact, langid, lm, packing, simhash, substring, tokencount, toxicity
 from queuescope.llm.common import crc_mod
 
 
@@ -38,6 +38,18 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return labels.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = tokencount.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(_table(spark, folder, "documents"), pieces)
+
+
+def op4_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score is the mean of the words' logarithms."""
+    scores = lm.backoff_scores(_table(spark, folder, "documents"))
+    mean = F.col("log_score") / F.greatest("n_words", F.lit(1))
+    return scores.select("doc_id", "n_words", "n_backoff", "n_unseen", F.round(mean, 6).alias("score"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -78,6 +90,38 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES = {
+    "op4_lm_scores": r"""
+        WITH w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        pairs AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM each),
+        by_doc AS (SELECT doc_id, word, count(*) AS n FROM each GROUP BY ALL),
+        by_word AS (SELECT word, sum(n) AS n FROM by_doc GROUP BY ALL),
+        pair_doc AS (SELECT doc_id, prev, word, count(*) AS n FROM pairs WHERE prev IS NOT NULL GROUP BY ALL),
+        pair_all AS (SELECT prev, word, sum(n) AS n FROM pair_doc GROUP BY ALL),
+        word_left AS (SELECT doc_id, word, by_word.n - by_doc.n AS c FROM by_doc JOIN by_word USING (word)),
+        pair_left AS (SELECT doc_id, prev, word, pair_all.n - pair_doc.n AS c
+                      FROM pair_doc JOIN pair_all USING (prev, word)),
+        total AS (SELECT sum(len(words)) AS n FROM w),
+        scored AS (
+            SELECT p.doc_id, u.c AS c, p.prev IS NOT NULL AND b.c = 0 AS backoff,
+                   CASE WHEN b.c > 0 THEN ln(b.c / v.c)
+                        ELSE ln(greatest(u.c, 0.5) / greatest(total.n - len(w.words), 1))
+                             + CASE WHEN p.prev IS NULL THEN 0 ELSE ln(0.4) END END AS value
+            FROM pairs p JOIN w USING (doc_id) CROSS JOIN total
+            JOIN word_left u ON u.doc_id = p.doc_id AND u.word = p.word
+            LEFT JOIN pair_left b ON b.doc_id = p.doc_id AND b.prev = p.prev AND b.word = p.word
+            LEFT JOIN word_left v ON v.doc_id = p.doc_id AND v.word = p.prev),
+        sums AS (SELECT doc_id, count(*) FILTER (WHERE backoff) AS n_backoff, count(*) FILTER (WHERE c = 0) AS n_unseen,
+                        round(sum(value) / count(*), 6) AS score
+                 FROM scored GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_backoff, 0) AS n_backoff,
+               coalesce(n_unseen, 0) AS n_unseen, coalesce(score, 0.0) AS score
+        FROM w LEFT JOIN sums USING (doc_id)
+    """,
     "op5_benchmark_decontamination": r"""
         WITH w AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(
@@ -146,6 +190,8 @@ ORACLES = {
 QUERIES = [
     op1_toxicity,
     op2_language_id,
+    op3_token_counts,
+    op4_lm_scores,
     op5_benchmark_decontamination,
     op6_substring_dedup,
     op7_packing,

@@ -7,11 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.llm.common import IS_WORD, Scratch, covered, hash_words, runs, shards, text_buffer, window_hashes, word_spans
+from queuescope.llm.common import (
+    IS_WORD,
+    Scratch,
+    bits_for,
+    chunks,
+    covered,
+    hash_words,
+    open_chunk,
+    runs,
+    text_buffer,
+    window_hashes,
+    word_spans,
+)
 
 WINDOW = 20
 
@@ -48,21 +59,11 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 # --- A chunk: texts, and their words as hashes -------------------------------------------------
 
 
-def _chunk_bytes(ids: pa.Array, texts: pa.Array) -> bytes:
-    batch = pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
 class Chunk:
     """Word hashes of a chunk's texts; words are numbered through the chunk."""
 
     def __init__(self, data: bytes, window: int):
-        table = pa.ipc.open_stream(data).read_all().combine_chunks()
-        self.ids = table.column("id").combine_chunks()
-        self.texts = table.column("text").combine_chunks()
+        self.ids, self.texts = open_chunk(data)
         raw, starts = text_buffer(self.texts)
         begin, end, self.counts = word_spans(raw, starts, IS_WORD)
         self.words = hash_words(raw, begin, end)
@@ -110,23 +111,7 @@ class Chunk:
 ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("no_id", "u1"), ("id", "<i8"), ("word", "<u4")])
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch, texts in shards(whole, whole.column(1), CHUNK_BYTES):
-                size = len(text_buffer(texts)[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([size], pa.int64()),
-                     pa.array([_chunk_bytes(batch.column(0), texts)], pa.binary())],
-                    names=["chunk", "size", "data"],
-                )
-                number += 1
-
-    return docs.mapInArrow(cut, "chunk long, size long, data binary")
-
-
-def _index(chunks: DataFrame, window: int, bits: int, bucket_bits: int) -> DataFrame:
+def _index(stored: DataFrame, window: int, bits: int, bucket_bits: int) -> DataFrame:
     """(bucket, chunk, data): each distinct block hash of a chunk once, by the hash's first bits."""
     low = np.uint64((1 << (bits - bucket_bits)) - 1)
 
@@ -151,7 +136,7 @@ def _index(chunks: DataFrame, window: int, bits: int, bucket_bits: int) -> DataF
                     names=["bucket", "chunk", "hashes", "reference", "more"],
                 )
 
-    return chunks.select("chunk", "data").mapInArrow(
+    return stored.select("chunk", "data").mapInArrow(
         send, "bucket long, chunk long, hashes binary, reference binary, more binary"
     )
 
@@ -269,10 +254,6 @@ def _removed(parts: DataFrame, window: int, bits: int, bucket_bits: int) -> Data
     )
 
 
-def _bits_for(rows: int, size: int) -> int:
-    return max(0, (max(1, rows) // size)).bit_length()
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``removed`` (word spans), ``kept`` (text).
 
@@ -292,13 +273,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession, "substring")
-    chunks = scratch.store(_chunks(docs), "chunks")
-    total = (chunks.agg(F.sum("size")).first()[0] or 0) // 4
-    bucket_bits = _bits_for(total, BUCKET_HASHES)
+    stored = scratch.store(chunks(docs, CHUNK_BYTES), "chunks")
+    total = stored.agg(F.sum("words")).first()[0] or 0
+    bucket_bits = bits_for(total, BUCKET_HASHES)
     bits = min(62, max(32, total.bit_length() + SPARE_BITS))
-    hits = scratch.store(_hits(_index(chunks, window, bits, bucket_bits), bits, bucket_bits), "hits")
+    hits = scratch.store(_hits(_index(stored, window, bits, bucket_bits), bits, bucket_bits), "hits")
     none = F.lit(None).cast("long").alias("bucket")
-    text = chunks.select("chunk", F.lit("text").alias("kind"), none, "data")
+    text = stored.select("chunk", F.lit("text").alias("kind"), none, "data")
     parts = text.union(hits.select("chunk", F.lit("hits").alias("kind"), none, "data"))
     first = scratch.store(_first(_windows(parts, window, bits, bucket_bits)), "first")
     told = first.select("chunk", F.lit("first").alias("kind"), "bucket", "data")

@@ -58,7 +58,7 @@ def test_learns_words_stems_and_exceptions_but_not_copies():
     assert " nasty gale " in lexicon.exceptions
     automaton, table = lexicon.automaton(), toxicity._Fold()
     points = [lexicon.score(*lexicon.measures(toxicity.fold(t, table), automaton)[1:]) for t in (toxic[0], clean[0], clean[-1])]
-    assert points[0] >= 0.7 and max(points[1:]) < 0.3
+    assert points[0] >= 0.7 and max(points[1:]) < 0.5
 
 
 def test_query_on_held_out_rows(spark):
