@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, langid, lm, packing, simhash, substring, tokencount, toxicity
-from queuescope.llm.common import crc_mod
+from queuescope.llm import decontam, exact, langid, lm, packing, simhash, substring, tokencount, toxicity, warc
+from queuescope.llm.common import Scratch, crc_mod
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_table(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    archive = warc.write_archive(_table(spark, folder, "pages"), scratch)
+    return warc.read_pages(archive, scratch)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_components(_table(spark, folder, "documents"))
 
@@ -196,5 +202,6 @@ QUERIES = [
     op6_substring_dedup,
     op7_packing,
     op8_exact_dedup,
+    op9_warc,
     op10_simhash_near_dedup,
 ]
