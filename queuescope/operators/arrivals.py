@@ -37,11 +37,11 @@ def with_gap(
     )
 
 
-def with_running_count(events: DataFrame, plan: ScanPlan) -> DataFrame:
+def with_running_count(events: DataFrame, plan: ScanPlan, backfill: bool = True) -> DataFrame:
     """Requests in flight at each record, as ``running``.
 
     The log reports the count only now and then. Between reports it moves by +1 per arrival and -1
-    per completion; before the first report it is extended backwards. All requests count, GPU or
+    per completion; before the first report it is extended backwards (unknown without ``backfill``). All requests count, GPU or
     not. A completion that carries neither a latency nor a count does not move it.
     """
     counted = F.col("num_running_funcs").isNotNull() | F.col("e2etime").isNotNull()
@@ -56,7 +56,7 @@ def with_running_count(events: DataFrame, plan: ScanPlan) -> DataFrame:
         ["session_id"],
         ["ts_ns", "seq"],
         "ts_ns",
-        running=Replay(F.col("num_running_funcs"), step, backfill=True),
+        running=Replay(F.col("num_running_funcs"), step, backfill=backfill),
     )
 
 

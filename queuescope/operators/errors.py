@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from queuescope.functions.fields import error_columns
 from queuescope.operators.traces import TRACE
-from queuescope.session import broadcast_if_small
+
+# Columns of the comparison of two estimators.
+COMPARED = ["current_relative_error", "rf_model_relative_error", "improvement"]
 
 ERRORS = ["absolute_error", "squared_error", "percentage_relative_error"]
 
@@ -75,8 +77,8 @@ def estimator_comparison(current: DataFrame, model: DataFrame, key: str = "fqdn"
     name, not by position.
     """
     value = "percentage_relative_error"
-    left = current.groupBy(key).agg(F.avg(value).alias("current_relative_error"))
-    right = model.groupBy(key).agg(F.avg(value).alias("rf_model_relative_error"))
-    joined = left.join(broadcast_if_small(right), key)
-    gain = F.col("rf_model_relative_error") - F.col("current_relative_error")
-    return joined.withColumn("improvement", gain).orderBy(F.desc("improvement"), key)
+    before, after, gain = COMPARED
+    left = current.groupBy(key).agg(F.avg(value).alias(before))
+    right = model.groupBy(key).agg(F.avg(value).alias(after))
+    joined = left.join(right, key).withColumn(gain, F.col(after) - F.col(before))
+    return joined.orderBy(F.desc(gain), key)

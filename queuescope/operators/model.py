@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from queuescope import vocab
 from queuescope.functions.fields import from_log_target, log_target
 from queuescope.operators.errors import with_errors
+from queuescope.operators.scan import Limits, ScanPlan, position
+from queuescope.session import cut_lineage
 
 LABEL = "log_latency"
+#: Sessions that are numbered in one task.
+SESSION_LIMITS = Limits(group_rows=50_000, slice_rows=25_000)
 PREDICTED = "prediction"
 _LAG_COLUMN = re.compile(r"_lag_[0-9]+$")
 
@@ -67,23 +71,31 @@ def session_split(
     return df.withColumn("is_test", F.col(session).isin(list(test_sessions)))
 
 
-def _forest(features: Sequence[str], **settings) -> Pipeline:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    forest = RandomForestRegressor(
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol="features")
+
+
+def _forest(**settings) -> RandomForestRegressor:
+    return RandomForestRegressor(
         featuresCol="features", labelCol=LABEL, predictionCol=PREDICTED, seed=vocab.SEED, **settings
     )
-    return Pipeline(stages=[assembler, forest])
+
+
+def fit_forest(train: DataFrame, features: Sequence[str], **settings) -> PipelineModel:
+    """A forest with the given settings behind an assembler that fixes the feature order."""
+    return Pipeline(stages=[_assembler(features), _forest(**settings)]).fit(train)
 
 
 def baseline_forest(train: DataFrame, features: Sequence[str], max_depth: int = 30) -> PipelineModel:
     """Few trees with a minimum leaf size. Depth is bounded by what Spark's trees allow."""
-    return _forest(
+    return fit_forest(
+        train,
         features,
         numTrees=vocab.BASELINE_TREES,
         minInstancesPerNode=vocab.BASELINE_MIN_LEAF,
         maxDepth=max_depth,
         featureSubsetStrategy="all",
-    ).fit(train)
+    )
 
 
 def grid_search(
@@ -93,21 +105,23 @@ def grid_search(
     folds: int = vocab.FOLDS,
     parallelism: int = 4,
     session: str = "session_id",
-) -> CrossValidatorModel:
-    """Cross-validated search over ``grid``, scored by mean squared error.
+    fold_by: str = "session",
+) -> tuple[PipelineModel, CrossValidatorModel]:
+    """Cross-validated search over ``grid``, scored by mean squared error: best model and search.
 
-    Folds are made of whole sessions, so that no session is in training and validation at once;
-    with fewer sessions than folds, rows are dealt out instead.
+    Folds are made of whole sessions, so that no session is in training and validation at once (see
+    ``with_folds``). The feature vectors are made once and stored; the fits read label, vector and fold.
     """
     grid = grid or vocab.FOREST_GRID
-    pipeline = _forest(features)
-    forest = pipeline.getStages()[1]
+    forest = _forest()
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(forest.getParam(name), list(values))
-    search_rows = train.withColumn("__fold", _folds(train, folds, session).cast("int"))
+    assembler = _assembler(features)
+    dealt = with_folds(train, folds, session, fold_by).withColumnRenamed("fold", "__fold")
+    search_rows = cut_lineage(assembler.transform(dealt).select("features", LABEL, "__fold"))
     search = CrossValidator(
-        estimator=pipeline,
+        estimator=forest,
         estimatorParamMaps=builder.build(),
         evaluator=RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTED, metricName="mse"),
         numFolds=folds,
@@ -115,18 +129,35 @@ def grid_search(
         foldCol="__fold",
         seed=vocab.SEED,
     )
-    return search.fit(search_rows)
+    found = search.fit(search_rows)
+    return PipelineModel(stages=[assembler, found.bestModel]), found
+
+
+def session_folds(rows: DataFrame, folds: int = vocab.FOLDS, session: str = "session_id") -> DataFrame:
+    """(session, fold): the sessions in sorted order are dealt out in turn, however many there are."""
+    sessions = rows.select(session).filter(F.col(session).isNotNull()).distinct()
+    plan = ScanPlan.measure(sessions, limits=SESSION_LIMITS)
+    numbered = plan.compute(sessions, [], [session], __place=position())
+    return numbered.select(session, ((F.col("__place") - 1) % folds).cast("int").alias("fold"))
 
 
-def _folds(train: DataFrame, folds: int, session: str) -> Column:
-    """Fold number: few sessions are dealt out in turn, many are spread by a hash."""
-    sessions = train.select(session).distinct().orderBy(session).limit(1001).collect()
-    if len(sessions) < folds:
-        return hash_percent(session, "tid") % folds
-    if len(sessions) > 1000:
-        return hash_percent(session) % folds
-    dealt = [F.lit(x) for i, row in enumerate(sessions) for x in (row[0], i % folds)]
-    return F.create_map(*dealt)[F.col(session)]
+def with_folds(
+    rows: DataFrame,
+    folds: int = vocab.FOLDS,
+    session: str = "session_id",
+    fold_by: str = "session",
+    keys: Sequence[str] = ("session_id", "tid"),
+) -> DataFrame:
+    """Add ``fold``. There must be as many sessions as folds, unless the caller asks for
+    ``fold_by="row"``, which deals out single rows by a hash of their ``keys``."""
+    if fold_by == "row":
+        return rows.withColumn("fold", (hash_percent(*keys) % folds).cast("int"))
+    if fold_by != "session":
+        raise ValueError(f"fold_by must be 'session' or 'row', not {fold_by!r}")
+    found = rows.select(session).filter(F.col(session).isNotNull()).distinct().limit(folds).count()
+    if found < folds:
+        raise ValueError(f"{found} sessions cannot make {folds} folds of whole sessions")
+    return rows.join(session_folds(rows, folds, session), session)
 
 
 def grid_scores(search: CrossValidatorModel) -> list[dict]:
@@ -145,17 +176,26 @@ def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
 
 
 def score(model: PipelineModel, rows: DataFrame, target: str = "e2etime") -> DataFrame:
-    """Predictions in seconds and their errors."""
-    scored = predict(model, rows)
-    return with_errors(scored, target, "rf_prediction")
+    """Predictions, on the log scale and in seconds, and their errors."""
+    return with_errors(predict(model, rows), target, "rf_prediction")
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Predictions in seconds for a whole table. The stored assembler fixes the feature order."""
-    names = model.stages[0].getInputCols()
-    kept = rows.columns
-    scored = model.transform(rows.na.drop(subset=names))
-    return scored.select(*kept, from_log_target(F.col(PREDICTED)).alias("rf_prediction"))
+    """``predicted_log`` and ``rf_prediction`` (seconds) for every row of a table.
+
+    A row with a NULL feature stays, with NULL predictions. The stored assembler fixes the feature order.
+    """
+    assembler, *rest = model.stages
+    names = assembler.getInputCols()
+    known = F.lit(True)
+    for name in names:
+        known = known & F.col(name).isNotNull()
+    keep = assembler.copy({assembler.handleInvalid: "keep"})
+    scored = PipelineModel(stages=[keep, *rest]).transform(rows)
+    logged = F.when(known, F.col(PREDICTED))
+    return scored.select(
+        *rows.columns, logged.alias("predicted_log"), from_log_target(logged).alias("rf_prediction")
+    )
 
 
 def model_metrics(scored: DataFrame, actual_log: str, predicted_log: str, keys=()) -> DataFrame:

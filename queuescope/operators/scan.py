@@ -5,14 +5,16 @@ is small, and the wrong one when a key holds a third of the data. ``ScanPlan.mea
 rows per key once and picks one of three ways, all with the same result:
 
 ``whole``  every key fits one task: plain window functions.
-``time``   some key is too large: keys are cut into slices of equal time width, whose row counts are
-           checked. Windows run per (key, slice); only the state at the end of each slice crosses
-           slices. Rows of equal time share a slice.
+``time``   some keys are too large (hot): each of them is cut into slices of equal time width, by its
+           own first and last time; the row counts of the slices are checked. Windows run per (key,
+           slice); only the state at the end of each slice crosses slices. Rows of equal time share a
+           slice. Other keys are one slice.
 ``range``  a time slice would still be too large (a burst, or many rows at one instant): rows are
            range-partitioned on (key, order), and each range is a slice.
 
 In the last two ways the end-of-slice states form a small table (one row per key and slice), a
-window over it gives the state on entry to each slice, and a join brings that back.
+window over it gives the state on entry to each slice, and a join brings that back. ``split`` tells
+the rows of hot keys from the others, so that a job of many steps need slice the hot ones only.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ class Limits:
 
     group_rows: int = 1_000_000
     slice_rows: int = 250_000
-    max_slices: int = 50_000
 
     @classmethod
     def of(cls, spark: SparkSession) -> Limits:
@@ -48,7 +49,6 @@ class Limits:
         return cls(
             group_rows=read("groupRows", cls.group_rows),
             slice_rows=read("sliceRows", cls.slice_rows),
-            max_slices=read("maxSlices", cls.max_slices),
         )
 
 
@@ -241,14 +241,19 @@ class Lag:
         return out
 
 
+#: Hot keys that are sent to every task; a longer list is joined by a shuffle.
+HOT_KEYS = 10_000
+
+
 @dataclass(frozen=True)
 class ScanPlan:
     """How ordered computations are spread over tasks. Made by :meth:`measure`."""
 
     mode: str = "whole"
     slices: int = 1
-    origin: int = 0
-    width: int = 1
+    keys: tuple[str, ...] = ()
+    #: ``__hot_<i>`` for each of the keys, ``__origin`` and ``__width`` of the key's time slices.
+    hot: DataFrame | None = None
 
     @classmethod
     def measure(
@@ -257,45 +262,56 @@ class ScanPlan:
         keys: Sequence[str] = (),
         time: str | None = None,
         limits: Limits | None = None,
+        slack: int = 1,
     ) -> ScanPlan:
         """Count rows per key (a partial aggregate, one row back) and choose the way.
 
         The plan also holds for every finer key, and for any rows whose number per key and time is
-        of the same order as in ``df``.
+        at most ``slack`` times that of ``df``.
         """
         limits = limits or Limits.of(df.sparkSession)
-        sizes = df.groupBy(*keys).count()
-        seen = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
-        if not seen.largest or seen.largest <= limits.group_rows:
+        group_rows = max(1, limits.group_rows // slack)
+        slice_rows = max(1, limits.slice_rows // slack)
+        bounds = [F.min(time).alias("__lo"), F.max(time).alias("__hi")] if time else []
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *bounds)
+        seen = sizes.agg(F.max("__n").alias("largest"), F.sum("__n").alias("total")).first()
+        if not seen.largest or seen.largest <= group_rows:
             return cls()
-        ranges = max(2, min(limits.max_slices, math.ceil(seen.total / limits.slice_rows)))
-        by_range = cls(mode="range", slices=ranges)
-        if time is None:
-            return by_range
-        span = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-        if span.lo is None:
+        # A key without a time, if there is one, has no slices but ranges.
+        named = [F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)]
+        width = F.lit(1).cast("bigint")
+        if time:
+            parts = F.ceil(F.col("__n") / slice_rows)
+            width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / parts), F.lit(1)).cast("bigint")
+        origin = F.col("__lo") if time else F.lit(0).cast("bigint")
+        hot = sizes.filter(F.col("__n") > group_rows).select(*named, origin.alias("__origin"), width.alias("__width"))
+        hot = _few_or_stored(hot)
+        by_range = cls("range", max(2, math.ceil(seen.total / slice_rows)), tuple(keys), hot)
+        if time is None or not keys:
             return by_range
-        wanted = max(2, min(limits.max_slices, math.ceil(seen.largest / limits.slice_rows)))
-        width = max(1, math.ceil((span.hi - span.lo + 1) / wanted))
-        by_time = cls(mode="time", slices=wanted, origin=span.lo, width=width)
-        allowed = max(limits.group_rows, 4 * math.ceil(seen.largest / limits.max_slices))
-        fullest = (
-            by_time.sliced(df, time)
-            .groupBy(*keys, SLICE)
-            .count()
-            .agg(F.max("count").alias("n"))
-            .first()
-        )
-        return by_time if fullest.n <= allowed else by_range
+        by_time = cls("time", by_range.slices, tuple(keys), hot)
+        fullest = by_time.sliced(df, time).groupBy(*keys, SLICE).count().agg(F.max("count").alias("n")).first()
+        return by_time if fullest.n <= group_rows else by_range
 
     @property
     def is_whole(self) -> bool:
         return self.mode == "whole"
 
+    def _is_hot(self, df: DataFrame) -> Column:
+        match = F.lit(True)
+        for i, k in enumerate(self.keys):
+            match = match & df[k].eqNullSafe(self.hot[f"__hot_{i}"])
+        return match
+
     def sliced(self, df: DataFrame, time: str) -> DataFrame:
-        return df.withColumn(
-            SLICE, F.expr(f"(`{time}` - {self.origin}L) div {self.width}L")
-        )
+        """Add the number of the time slice; 0 for keys that are not hot."""
+        joined = df.join(self.hot, self._is_hot(df), "left")
+        number = F.call_function("div", F.col(time) - F.col("__origin"), F.col("__width"))
+        return joined.withColumn(SLICE, F.coalesce(number, F.lit(0))).select(*df.columns, SLICE)
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the keys that fit one task, and rows of the hot ones."""
+        return df.join(self.hot, self._is_hot(df), "left_anti"), df.join(self.hot, self._is_hot(df), "left_semi")
 
     def co_locate(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """One exchange that serves all later windows on ``keys`` and finer keys."""
@@ -330,6 +346,14 @@ class ScanPlan:
         return _select_results(_join_carry(local, carried, keys), kept, ops, sliced=True)
 
 
+def _few_or_stored(hot: DataFrame) -> DataFrame:
+    """A bounded list of hot keys is broadcast; a longer one is stored."""
+    rows = hot.limit(HOT_KEYS + 1).toArrow()
+    if rows.num_rows <= HOT_KEYS:
+        return F.broadcast(hot.sparkSession.createDataFrame(rows, hot.schema))
+    return cut_lineage(hot)
+
+
 def _add_local(df, ops, window):
     passes = [op.local(name, window) for name, op in ops.items()]
     for level in range(max(len(p) for p in passes)):

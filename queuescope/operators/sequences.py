@@ -15,13 +15,15 @@ def session_sequences(
     columns: Sequence[str],
     plan: ScanPlan | None = None,
     time: str = "invocation_ts_ns",
-    seq: str = "tid",
-    part_rows: int = 10_000,
+    seq: str = "seq",
+    *,
+    part_rows: int,
 ) -> DataFrame:
     """Unpadded, ordered sequences, one row per session and ``part``.
 
     A session of up to ``part_rows`` arrivals is one row (part 0). A longer one continues in further
-    parts; nothing is cut off, and no array grows with the session.
+    parts; nothing is cut off, and no array grows with the session. A consumer that carries state
+    along a session starts afresh at ``part`` 0 only, and goes on over the other parts.
     """
     plan = plan or ScanPlan.measure(arrivals, ["session_id"], time)
     placed = plan.compute(arrivals, ["session_id"], [time, seq], time, __place=position())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuescope.operators.scan import RunningSum, ScanPlan
-from queuescope.session import broadcast_if_small
+from queuescope.session import cut_lineage
 
 # Quartiles of a five-number summary, and the whisker length of a box in IQRs.
 QUARTILES = (0.25, 0.5, 0.75)
@@ -52,30 +52,49 @@ def quantiles(
     """Exact quantiles per key with linear interpolation, as array ``quantiles``, and count ``n``.
 
     ``percentile`` holds all distinct values of a group in one task, so it serves small groups
-    only. Otherwise equal values are counted first, running counts over the sorted distinct values
-    give ranks, and the values at the wanted ranks are picked by an aggregate.
+    only. Otherwise equal values are counted first and the counts are stored; all else comes from
+    them: running counts over the sorted distinct values give ranks, and the values at the wanted
+    ranks are picked by an aggregate.
     """
-    known = df.select(*keys, F.col(value).cast("double").alias("__value")).filter(
-        "__value is not null"
-    )
+    known = _known(df, keys, value)
     plan = plan or ScanPlan.measure(known, keys)
     if plan.is_whole:
         return known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("__value", F.array(*[F.lit(float(p)) for p in probabilities])).alias(
-                "quantiles"
-            ),
+            F.count(F.lit(1)).alias("n"), _percentile(probabilities).alias("quantiles")
         )
-    counted = known.groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__count"))
-    plan = ScanPlan.measure(counted, keys)
-    ranked = plan.compute(
+    picked = _ranked(known, keys).groupBy(*keys, "n").agg(*_picks(probabilities))
+    return picked.select(*keys, "n", _interpolated(probabilities).alias("quantiles"))
+
+
+def _known(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    known = df.select(*keys, F.col(value).cast("double").alias("__value"))
+    return known.filter("__value is not null")
+
+
+def _percentile(probabilities: Sequence[float]) -> Column:
+    return F.percentile("__value", F.array(*[F.lit(float(p)) for p in probabilities]))
+
+
+def _ranked(known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct values with ``__count`` and running count ``__through``; rows ``n`` and ``__mean`` of the key."""
+    counted = cut_lineage(known.groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__count")))
+    ranked = ScanPlan.measure(counted, keys).compute(
         counted, keys, ["__value"], __through=RunningSum(F.col("__count"))
     )
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, n = F.sum(F.col("__value") * F.col("__count")), F.sum("__count")
+    sizes = counted.groupBy(*keys).agg(n.alias("n"), (total / n).alias("__mean"))
     if keys:
-        ranked = ranked.join(broadcast_if_small(sizes), list(keys))
-    else:
-        ranked = ranked.withColumn("n", F.lit(sizes.first().n))
+        return ranked.join(sizes, list(keys))
+    one = sizes.first()
+    return ranked.withColumns({c: F.lit(one[c]) for c in sizes.columns})
+
+
+def _place(probability: float) -> Column:
+    return (F.col("n") - 1) * F.lit(float(probability))
+
+
+def _picks(probabilities: Sequence[float]) -> list[Column]:
+    """The values at the ranks below and above each quantile."""
 
     def at(rank: Column) -> Column:
         # The first distinct value whose running count passes the 0-based rank.
@@ -83,35 +102,41 @@ def quantiles(
 
     picks = []
     for i, p in enumerate(probabilities):
-        place = (F.col("n") - 1) * F.lit(float(p))
-        picks += [at(F.floor(place)).alias(f"__lo_{i}"), at(F.ceil(place)).alias(f"__hi_{i}")]
-    picked = ranked.groupBy(*keys, "n").agg(*picks)
+        picks += [at(F.floor(_place(p))).alias(f"__lo_{i}"), at(F.ceil(_place(p))).alias(f"__hi_{i}")]
+    return picks
+
+
+def _interpolated(probabilities: Sequence[float]) -> Column:
     out = []
     for i, p in enumerate(probabilities):
-        place = (F.col("n") - 1) * F.lit(float(p))
-        part = place - F.floor(place)
+        part = _place(p) - F.floor(_place(p))
         low, high = F.col(f"__lo_{i}"), F.col(f"__hi_{i}")
         out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high))
-    return picked.select(*keys, "n", F.array(*out).alias("quantiles"))
+    return F.array(*out)
 
 
 def describe(df: DataFrame, value: str, plan: ScanPlan | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum; one row."""
-    moments = df.agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    quarters = quantiles(df, [], value, QUARTILES, plan)
-    one = F.lit(1).alias("__one")
-    # Two tables of one row each.
-    both = moments.select("*", one).join(F.broadcast(quarters.select("*", one)), "__one")
-    return both.select(
-        F.col("n").alias("count"), "mean", "std", "min",
-        *[F.col("quantiles")[i].alias(c) for i, c in enumerate(["q25", "q50", "q75"])],
-        "max",
-    )
+    """Count, mean, sample deviation, minimum, quartiles and maximum; one row from one aggregate."""
+    known = _known(df, [], value)
+    plan = plan or ScanPlan.measure(known)
+    ends = [F.min("__value").alias("min"), F.max("__value").alias("max")]
+    if plan.is_whole:
+        row = known.agg(
+            F.count(F.lit(1)).alias("count"),
+            F.avg("__value").alias("mean"),
+            F.stddev_samp("__value").alias("std"),
+            *ends,
+            _percentile(QUARTILES).alias("__quartiles"),
+        )
+    else:
+        off = F.col("__value") - F.col("__mean")
+        spread = F.sum(off * off * F.col("__count"))
+        row = _ranked(known, []).groupBy(F.col("n"), F.col("__mean").alias("mean")).agg(
+            F.sqrt(F.try_divide(spread, F.max("n") - 1)).alias("std"), *ends, *_picks(QUARTILES)
+        )
+        row = row.select("*", F.col("n").alias("count"), _interpolated(QUARTILES).alias("__quartiles"))
+    quarters = [F.col("__quartiles")[i].alias(c) for i, c in enumerate(["q25", "q50", "q75"])]
+    return row.select("count", "mean", "std", "min", *quarters, "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
@@ -162,7 +187,7 @@ def box_summary(
     )
     reach = (F.col("q75") - F.col("q25")) * F.lit(WHISKER)
     inside = F.col("__x").between(F.col("q25") - reach, F.col("q75") + reach)
-    joined = known.join(broadcast_if_small(quarters), list(keys))
+    joined = known.join(quarters, list(keys))
     return joined.groupBy(*keys, "n", "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),

@@ -13,7 +13,7 @@ from queuescope.operators.arrivals import with_gap, with_running_count
 from queuescope.operators.lags import add_lag_probes, fold_lag_probes, with_global_lags
 from queuescope.operators.profiles import join_profile
 from queuescope.operators.queues import replay, with_total
-from queuescope.operators.scan import ScanPlan
+from queuescope.operators.scan import Limits, RunningSum, ScanPlan
 from queuescope.operators.traces import tag_traces
 from queuescope.session import cut_lineage
 
@@ -21,15 +21,17 @@ _NEEDED = [
     "session_id", "seq", "ts_ns", "tid", "message", "fqdn", "queue", "queue_len", "new_state",
     "num_running_funcs", "e2etime", "compute",
 ]
+#: What a session's path says; kept where the events have it.
+_SESSION = ["policy", "workload"]
 _ARRIVAL_COLUMNS = [
-    "is_cold_start", "outcome_fqdn", "outcome_e2etime", "iat", "iat_fqdn", "running",
+    "is_cold_start", "outcome_fqdn", "outcome_e2etime", "iat", "iat_fqdn", "running", *_SESSION,
 ]
 _NARROW = ["session_id", "seq", "ts_ns", "kind", "queue"]
 
 
-def plan_for(events: DataFrame) -> ScanPlan:
-    """Measure the sessions of an event table."""
-    return ScanPlan.measure(events, ["session_id"], "ts_ns")
+def plan_for(events: DataFrame, lags: Iterable[int] = (), limits: Limits | None = None) -> ScanPlan:
+    """Measure the sessions of an event table. A request is looked at once more for each lag."""
+    return ScanPlan.measure(events, ["session_id"], "ts_ns", limits, slack=1 + len(set(lags)))
 
 
 def arrival_features(
@@ -37,17 +39,36 @@ def arrival_features(
     profile: DataFrame | None = None,
     lags: Iterable[int] = (),
     plan: ScanPlan | None = None,
+    causal: bool = False,
 ) -> DataFrame:
     """One row per GPU request with the state it met; with ``lags`` also the state before.
 
+    With ``causal`` no feature looks ahead: the running count is NULL before its first report, and
+    ``is_cold_start`` says that the session has no earlier completion of the function.
+
     While sessions fit one task the whole computation runs behind a single exchange on
-    ``session_id``: every step is a window on the session or on a finer key.
+    ``session_id``: every step is a window on the session or on a finer key. Where some do not, only
+    their rows are sliced; the others go through the single exchange as before.
     """
     lags = sorted(set(lags))
-    plan = plan or plan_for(events)
-    rows = plan.co_locate(events.select(*_NEEDED), ["session_id"])
-    rows = _with_gaps(_relevant(tag_traces(rows, plan)), plan, lags)
-    rows = with_running_count(rows, plan)
+    plan = plan or plan_for(events, lags)
+    if plan.is_whole:
+        return _arrival_features(events, profile, lags, plan, causal)
+    small, hot = plan.split(events)
+    return _arrival_features(small, profile, lags, ScanPlan(), causal).unionByName(
+        _arrival_features(hot, profile, lags, plan, causal)
+    )
+
+
+def _arrival_features(events, profile, lags: list[int], plan: ScanPlan, causal: bool) -> DataFrame:
+    named = {c: F.lit(None).cast("string") for c in _SESSION if c not in events.columns}
+    events = events.withColumns(named).select(*_NEEDED, *_SESSION)
+    rows = plan.co_locate(events, ["session_id"])
+    rows = _relevant(tag_traces(rows, plan))
+    if causal:
+        rows = _first_of_function(rows, plan)
+    rows = _with_gaps(rows, plan, lags)
+    rows = with_running_count(rows, plan, backfill=not causal)
     rows = add_lag_probes(_state_rows(rows, lags), lags, _NARROW)
     rows = replay(rows, plan, ["probe_ns", "kind", "seq"], "probe_ns")
     rows = fold_lag_probes(rows, lags)
@@ -65,6 +86,21 @@ def _relevant(tagged: DataFrame) -> DataFrame:
     return tagged.filter(moves | F.col("num_running_funcs").isNotNull()).drop("compute")
 
 
+def _first_of_function(rows: DataFrame, plan: ScanPlan) -> DataFrame:
+    """``is_cold_start`` of an arrival: no request of its function was completed before it."""
+    done = F.col("message") == vocab.COMPLETE
+    function = F.when(F.col("is_gpu_arrival"), F.col("outcome_fqdn")).when(done, F.col("fqdn"))
+    counted = plan.compute(
+        rows.withColumn("__function", function),
+        ["session_id", "__function"],
+        ["ts_ns", "seq"],
+        "ts_ns",
+        __done=RunningSum(F.coalesce(done, F.lit(False)).cast("bigint")),
+    )
+    cold = (F.col("__done") == 0).cast("int")
+    return counted.withColumn("is_cold_start", cold).select(*rows.columns)
+
+
 def _with_gaps(rows: DataFrame, plan: ScanPlan, lags) -> DataFrame:
     """Gaps since the last GPU arrival, and since the last one of the same function.
 
@@ -112,7 +148,9 @@ def _state_rows(rows: DataFrame, lags) -> DataFrame:
 def _named(rows: DataFrame, lags) -> DataFrame:
     return rows.select(
         "session_id",
+        *_SESSION,
         "tid",
+        "seq",
         F.col("ts_ns").alias("invocation_ts_ns"),
         display_time(F.col("ts_ns")).alias("invocation_ts"),
         "fqdn",

@@ -17,9 +17,14 @@ from queuescope.sources.profiles import read_profile
 def load_events(
     spark: SparkSession, root: str, policy: str | None = None, mode: str = "FAILFAST"
 ) -> DataFrame:
-    """Typed events of all sessions below ``root``, numbered, with policy and workload."""
+    """Typed events of all sessions below ``root``, numbered, with policy and workload.
+
+    Sessions are numbered from the list of files, so an empty log keeps its number, and the text is
+    read once.
+    """
+    catalog = logs.session_catalog(logs.list_logs(spark, root, policy))
     records = logs.read_worker_logs(spark, root, policy, mode)
-    return logs.typed_events(logs.number_sessions(records))
+    return logs.typed_events(logs.number_sessions(records, catalog))
 
 
 def ingest(
@@ -43,8 +48,10 @@ def write_features(
     out: str,
     profile_path: str | None = None,
     lags: Iterable[int] = vocab.DEFAULT_LAGS,
+    causal: bool = False,
 ) -> None:
-    """Feature table, clustered by session."""
+    """Feature table, one folder per policy, clustered by session."""
     documents = read_profile(events.sparkSession, profile_path) if profile_path else None
     profile = None if documents is None else profile_means(documents)
-    tables.write_table(arrival_features(events, profile, lags), out, cluster_by=["session_id"])
+    features = arrival_features(events, profile, lags, causal=causal)
+    tables.write_table(features, out, ["policy"], ["session_id"])

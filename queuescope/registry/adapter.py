@@ -90,6 +90,8 @@ def worker_log(
     )
     return numbered.select(
         "session_id",
+        pick(F.col("session_id"), SESSION_POLICIES).alias("policy"),
+        F.concat(F.lit("load-"), (F.col("session_id") % 3).cast("string")).alias("workload"),
         "seq",
         "ts_ns",
         F.concat_ws("-", user.cast("string"), n.cast("string")).alias("tid"),

@@ -156,17 +156,18 @@ _part("tgt", "req hist1 tot1", f"""
 
 _part("docs", "ev", f"""
     select {_base('fqdn')} as base_function, e2etime, seq from ev
-    where message = '{vocab.COMPLETE}' and {_base('fqdn')} is not null
-          and {_base('fqdn')} <> 'torch_rnn'""")
+    where message = '{vocab.COMPLETE}' and {_base('fqdn')} is not null""")
 
 _part("prof", "docs", """
     select base_function,
            round((sum(e2etime) + 1.5 * count(*)) / (2 * count(*)), 9) as gpu_warm_results_sec,
-           round(coalesce(avg(e2etime) filter (where seq % 3 = 0), 0.0), 9) as gpu_cold_results_sec
+           round(avg(e2etime), 9) as gpu_cold_results_sec
     from docs group by base_function""")
 
 _part("feat", "tgt run prof", f"""
-    select t.session_id, t.tid, t.ts_ns as invocation_ts_ns, t.seq, t.fqdn,
+    select t.session_id, {_case('t.session_id', SESSION_POLICIES)} as policy,
+           'load-' || (t.session_id % 3) as workload, t.tid, t.ts_ns as invocation_ts_ns, t.seq,
+           strftime(make_timestamp(t.ts_ns // 1000), '%Y-%m-%d %H:%M:%S.%f') as invocation_ts, t.fqdn,
            {_base('t.fqdn')} as base_function, t.e2etime,
            coalesce((t.ts_ns - lag(t.ts_ns) over s) / 1e9, 0.0) as iat,
            coalesce((t.ts_ns - lag(t.ts_ns) over (partition by t.session_id, t.fqdn
@@ -232,8 +233,8 @@ _part("done", "ev", """
     select session_id, tid, fqdn, seq, e2etime from ev where e2etime is not null""")
 
 _part("paths", "raw", f"""
-    select seq, '/logs/30_min/4.0/6.0/az-' || (session_id % 3 + 1) || '*2/' || user_id || '/'
-           || {_case('session_id', SESSION_POLICIES)} || '/2/12/'
+    select seq, '/logs/short/a1/b2/load-' || (session_id % 3 + 1) || '*x/' || user_id || '/'
+           || {_case('session_id', SESSION_POLICIES)} || '/c3/d4/'
            || case when user_id % 5 = 0 then 'precleanup/' else '' end || 'worker1.log' as path,
            user_id, session_id
     from raw""")
@@ -256,7 +257,7 @@ def sql(needs: str, body: str) -> str:
 
 
 _FEATURES = (
-    "session_id, tid, invocation_ts_ns, fqdn, base_function, e2etime, iat, iat_fqdn, "
+    "session_id, policy, workload, tid, seq, invocation_ts_ns, invocation_ts, fqdn, base_function, e2etime, iat, iat_fqdn, "
     "num_running_funcs_filled, target_queue_len, target_queue_status, others_len_queue, "
     + ", ".join(f'"is_status_{s}"' for s in vocab.QUEUE_STATES)
     + ", gpu_warm_results_sec, gpu_cold_results_sec, is_cold_start"
@@ -336,7 +337,87 @@ def _path_level(level: int) -> str:
     return f"regexp_extract(path, '{_PATH_RE}', {level})"
 
 
+_part("train", "feat", """
+    select *, ln(1 + e2etime) as log_latency, session_id in (5, 6, 7) as is_test
+    from feat where e2etime is not null and num_running_funcs_filled is not null""")
+
+# A depth-1 tree on a 0/1 feature predicts the mean label of each group of the training rows.
+_part("stump", "train", """
+    select t.*, p.log_mean as predicted_log, exp(p.log_mean) - 1 as rf_prediction
+    from train t
+    join (select is_cold_start, avg(log_latency) as log_mean from train where not is_test
+          group by is_cold_start) p using (is_cold_start)""")
+
+_SCORED = f"""session_id, fqdn, tid, round(e2etime, 4) as e2etime,
+    round(rf_prediction, 4) as rf_prediction, round(abs(e2etime - rf_prediction), 4) as absolute_error,
+    round((e2etime - rf_prediction) * (e2etime - rf_prediction), 4) as squared_error,
+    round((e2etime - rf_prediction) / nullif(e2etime, 0) * 100.0, 4) as percentage_relative_error, is_test"""
+
+_MODEL_INPUTS = [
+    *vocab.BASE_FEATURES,
+    *[f"{n}_lag_{k}" for k in vocab.DEFAULT_LAGS
+      for n in ("target_queue_len", "others_len_queue", "num_running_funcs_filled")],
+]
+
+_CAUSAL = (
+    _FEATURES.replace("num_running_funcs_filled", "early_running as num_running_funcs_filled")
+    .replace("is_cold_start", "(earlier = 0)::int as is_cold_start")
+)
+_part("early", "ev req", f"""
+    select session_id, seq, c + last_value(b ignore nulls) over w - 1 as early_running,
+           coalesce(sum(done) over f, 0) as earlier
+    from (select *, num_running_funcs - c as b, (message = '{vocab.COMPLETE}')::int as done
+          from (select *, sum(case when message = '{vocab.ARRIVAL}' then 1
+                                   when message = '{vocab.COMPLETE}' then -1 else 0 end)
+                          over (partition by session_id order by ts_ns, seq
+                                rows between unbounded preceding and current row)::bigint as c
+                from (select e.session_id, e.seq, e.ts_ns, e.message, e.num_running_funcs, e.e2etime,
+                             coalesce(r.fqdn, e.fqdn) as fqdn
+                      from ev e left join req r on e.session_id = r.session_id and e.seq = r.seq)
+                where num_running_funcs is not null or e2etime is not null
+                      or message in ('{vocab.START}', '{vocab.ARRIVAL}')))
+    window w as (partition by session_id order by ts_ns, seq
+                 rows between unbounded preceding and current row),
+           f as (partition by session_id, fqdn order by ts_ns, seq
+                 rows between unbounded preceding and current row)""")
+
 ORACLES: dict[str, str] = {
+    "features_lagged_time": sql(
+        _LAGGED, f"select {_FEATURES}, {_lag_columns(vocab.DEFAULT_LAGS)} from {_LAGGED}"
+    ),
+    "features_lagged_range": sql(
+        _LAGGED, f"select {_FEATURES}, {_lag_columns(vocab.DEFAULT_LAGS)} from {_LAGGED}"
+    ),
+    "features_causal": sql("feat req early", f"select {_CAUSAL} from feat join early using (session_id, seq)"),
+    "features_policy": sql("feat", f"""
+        select session_id, policy, workload, tid,
+               {_flags("replace(policy, '_0.5', '')", "policy", vocab.POLICIES)} from feat"""),
+    "table_round_trip": sql("req", f"""
+        select session_id, tid, seq, fqdn, e2etime,
+               {_case('session_id', SESSION_POLICIES)} as policy from req"""),
+    "describe_ranked": _describe("lineitem", "l_extendedprice", 4),
+    "fold_assignment": sql("req", """
+        select session_id, ((dense_rank() over (order by session_id) - 1) % 3)::int as fold
+        from (select distinct session_id from req)"""),
+    "stump_results": sql("stump", f"select {_SCORED} from stump"),
+    "stump_metrics": sql("stump", """
+        select is_test, count(*) as n,
+               round(1 - sum((log_latency - predicted_log) ** 2)
+                     / (var_pop(log_latency) * count(*)), 4) as r2_log,
+               round(avg((e2etime - rf_prediction) ** 2), 4) as mse,
+               round(avg(abs(e2etime - rf_prediction)), 4) as mae
+        from stump group by is_test"""),
+    "baseline_fit": sql("train", "select is_test, count(*) as n from train group by is_test"),
+    "grid_search": """
+        select 3 as "numTrees", d as "maxDepth", 20 as "minInstancesPerNode",
+               s as "featureSubsetStrategy", true as has_error
+        from (values (5), (8)) a(d), (values ('sqrt'), ('all')) b(s)""",
+    "feature_importance": f"""
+        select unnest({_MODEL_INPUTS}) as feature, true as is_share, 1.0::double as total""",
+    "scored_results": sql("train", """
+        select session_id, fqdn, tid, e2etime, is_test, true as errors_agree from train"""),
+    "batch_score": sql("feat", """
+        select session_id, tid, num_running_funcs_filled is not null as is_scored from feat"""),
     "features_base": sql("feat", f"select {_FEATURES} from feat"),
     "features_lagged": sql(
         _LAGGED, f"select {_FEATURES}, {_lag_columns(vocab.DEFAULT_LAGS)} from {_LAGGED}"
@@ -391,7 +472,7 @@ ORACLES: dict[str, str] = {
         select session_id, seq, ts_ns, value from raw where session_id <> 4 and session_id > 1"""),
     "model_rows": sql(_LAGGED_ONE, f"""
         select session_id, tid, round(ln(1 + e2etime), 6) as log_latency from {_LAGGED_ONE}
-        where e2etime >= 1 and num_running_funcs_filled is not null"""),
+        where e2etime is not null and num_running_funcs_filled is not null"""),
     "gpu_invocations": sql("ev gpu", """
         select session_id, tid, seq, message from ev semi join gpu using (session_id, tid)"""),
     "cold_start_flag": sql("ev cold", f"""
@@ -418,14 +499,13 @@ ORACLES: dict[str, str] = {
                     order by ts_ns, seq) as state
            from ev where message = '{vocab.SWITCH}') s
           on p.session_id = s.session_id and p.fqdn = s.queue and p.ts_ns >= s.ts_ns"""),
-    "estimator_comparison": sql("err req prof", f"""
+    "estimator_comparison": sql("err stump", """
         select fqdn, round(a.v, 4) as current_relative_error,
                round(b.v, 4) as rf_model_relative_error, round(b.v - a.v, 4) as improvement
-        from (select fqdn, avg(percentage_relative_error) as v from err group by fqdn) a
-        join (select fqdn, avg((e2etime - coalesce(gpu_warm_results_sec, 0))
-                               / nullif(e2etime, 0) * 100.0) as v
-              from req left join prof p on p.base_function = {_base('fqdn')}
-              group by fqdn) b using (fqdn)"""),
+        from (select fqdn, avg(percentage_relative_error) as v from err
+              where session_id in (select session_id from stump where is_test) group by fqdn) a
+        join (select fqdn, avg((e2etime - rf_prediction) / nullif(e2etime, 0) * 100.0) as v
+              from stump where is_test group by fqdn) b using (fqdn)"""),
     "iat": sql("feat", "select session_id, tid, iat from feat"),
     "iat_by_key": sql("feat", "select session_id, tid, fqdn, iat_fqdn from feat"),
     "running_fill": sql("run", f"""
@@ -474,9 +554,7 @@ ORACLES: dict[str, str] = {
                round(stddev_samp(gpu_est_total - e2etime), 4) as std_error
         from err group by session_id"""),
     "error_by_key": sql("err", f"select fqdn, {_MEANS} from err group by fqdn"),
-    "common_keys": sql("err ev", """
-        select fqdn from err intersect
-        select fqdn from ev where compute = 'CPU' and e2etime > 100"""),
+    "common_keys": sql("err cold", "select tid from err intersect select tid from cold"),
     "session_sizes": sql("req", """
         select min(n) as min_rows, max(n) as max_rows, round(avg(n), 6) as mean_rows,
                count(*) as sessions
@@ -509,7 +587,7 @@ ORACLES: dict[str, str] = {
     ),
     "session_series": sql("feat", """
         select invocation_ts_ns, tid, e2etime, others_len_queue from feat where session_id = 0
-        order by invocation_ts_ns, tid"""),
+        order by invocation_ts_ns, seq"""),
     "union_sessions": sql("err done", """
         select session_id, tid, gpu_est_total, null::double as e2etime from err
         union all select session_id, tid, null, e2etime from done"""),
@@ -532,7 +610,7 @@ ORACLES: dict[str, str] = {
                sum(target_queue_len)::bigint as sum_target_len
         from (select *, ((place - 1) // 100)::int as part
               from (select *, row_number() over (partition by session_id
-                                                 order by invocation_ts_ns, tid) as place
+                                                 order by invocation_ts_ns, seq) as place
                     from feat))
         group by session_id, part"""),
 }

@@ -24,16 +24,23 @@ from queuescope.operators.asof import last_per_key as last_row
 from queuescope.operators.profiles import join_profile, profile_means
 from queuescope.operators.sequences import session_sequences as pack_sequences
 from queuescope.plans.estimate import current_estimate_errors as estimate_errors
-from queuescope.plans.features import arrival_features
-from queuescope.plans.training import tune
+from queuescope.operators.scan import Limits, ScanPlan
+from queuescope.plans.features import arrival_features, plan_for
+from queuescope.plans.training import compare_estimators, tune, with_policy_features, write_tuned
 from queuescope.registry import adapter as X
 from queuescope.session import cut_lineage, ensure_checkpoint_dir
 from queuescope.sources import logs as L
+from queuescope.sources import tables as Tab
 from queuescope.sources.profiles import parse_profiles
 
 LAGS = vocab.DEFAULT_LAGS
 TEST_SESSIONS = [5, 6, 7]
-SMALL_GRID = {"numTrees": [5], "maxDepth": [5, 8], "minInstancesPerNode": [20]}
+#: A grid that touches every parameter of the operator's own grid with few fits.
+SMALL_GRID = {
+    "numTrees": [3], "maxDepth": [5, 8], "minInstancesPerNode": [20], "featureSubsetStrategy": ["sqrt", "all"],
+}
+#: A forest whose predictions have a closed form: the means of the two groups of ``is_cold_start``.
+STUMP = {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
 
 
 def rounded(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
@@ -55,16 +62,13 @@ def _log(spark, sf_dir, *kinds):
 def _profile_documents(events) -> DataFrame:
     """Per purchase, a profile document with samples of its function, as JSON text.
 
-    Functions without base name and ``torch_rnn`` are left out; cold samples exist for every third.
+    A function without base name can have no entry.
     """
     base = fx.base_function(F.col("fqdn"))
     done = events.filter((F.col("message") == vocab.COMPLETE) & base.isNotNull())
-    done = done.filter(base != "torch_rnn")
-    warm = F.concat(F.lit('"warm_results_sec":['), F.col("e2etime").cast("string"), F.lit(",1.5]"))
-    cold = F.when(
-        F.col("seq") % 3 == 0,
-        F.concat(F.lit(',"cold_results_sec":['), F.col("e2etime").cast("string"), F.lit("]")),
-    ).otherwise("")
+    sample = F.col("e2etime").cast("string")
+    warm = F.concat(F.lit('"warm_results_sec":['), sample, F.lit(",1.5]"))
+    cold = F.concat(F.lit(',"cold_results_sec":['), sample, F.lit("]"))
     text = F.concat(
         F.lit('{"data":{"'), base, F.lit('":{"resource_data":{"gpu":{'), warm, cold, F.lit("}}}}}")
     )
@@ -76,10 +80,15 @@ def _profile(events) -> DataFrame:
     return rounded(profile_means(parse_profiles(_profile_documents(events), "text")), 9)
 
 
-def _features(spark, sf_dir, lags=(), profile=True) -> DataFrame:
+def _features(spark, sf_dir, lags=(), profile=True, limits=None, causal=False) -> DataFrame:
+    """Feature table of the log; the display time as text, so that it can be compared."""
     events, plan = _log(spark, sf_dir)
+    if limits is not None or not plan.is_whole:
+        plan = plan_for(events, lags, limits)
     profiles = _profile(events) if profile else None
-    return arrival_features(events, profiles, lags, plan).drop("invocation_ts")
+    features = arrival_features(events, profiles, lags, plan, causal)
+    shown = F.date_format("invocation_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return features.withColumn("invocation_ts", shown)
 
 
 # Sources
@@ -89,8 +98,8 @@ def _paths(spark, sf_dir) -> DataFrame:
     """A log path per event: the user is the repetition, every fifth user a start-up folder."""
     user, session = F.col("user_id"), F.col("session_id")
     path = F.concat(
-        F.lit("/logs/30_min/4.0/6.0/az-"), (session % 3 + 1).cast("string"), F.lit("*2/"),
-        user.cast("string"), F.lit("/"), X.pick(session, X.SESSION_POLICIES), F.lit("/2/12/"),
+        F.lit("/logs/short/a1/b2/load-"), (session % 3 + 1).cast("string"), F.lit("*x/"),
+        user.cast("string"), F.lit("/"), X.pick(session, X.SESSION_POLICIES), F.lit("/c3/d4/"),
         F.when(user % 5 == 0, "precleanup/").otherwise(""), F.lit("worker1.log"),
     )
     return X.raw_events(spark, sf_dir).select("seq", path.alias("path"))
@@ -201,9 +210,7 @@ def session_subset(spark, sf_dir):
 
 
 def model_rows(spark, sf_dir):
-    features = _features(spark, sf_dir, [1])
-    sparse = features.withColumn("e2etime", F.when(F.col("e2etime") >= 1, F.col("e2etime")))
-    rows = M.model_rows(sparse, session="session_id")
+    rows = M.model_rows(_features(spark, sf_dir, [1]), session="session_id")
     return rows.select("session_id", "tid", F.round(M.LABEL, 6).alias(M.LABEL))
 
 
@@ -247,15 +254,9 @@ def queue_asof(spark, sf_dir):
 
 
 def estimator_comparison(spark, sf_dir):
-    """Platform estimate against the warm profile mean as the other estimator."""
-    events, _ = _log(spark, sf_dir)
-    current = estimate_errors(events)
-    other = join_profile(
-        T.arrivals_with_outcome(events).select("session_id", "tid", "fqdn", "e2etime"),
-        _profile(events),
-    )
-    other = E.with_errors(other, "e2etime", "gpu_warm_results_sec")
-    return rounded(E.estimator_comparison(current, other), 4)
+    """Platform estimate against the scored rows of a fitted forest, on its held-out sessions."""
+    current = estimate_errors(_log(spark, sf_dir, "click", "view", "purchase")[0])
+    return rounded(compare_estimators(current, _stump_scores(spark, sf_dir)), 4)
 
 
 # Ordered operators
@@ -356,6 +357,26 @@ def features_lagged(spark, sf_dir):
     return _features(spark, sf_dir, LAGS)
 
 
+def features_lagged_time(spark, sf_dir):
+    """With limits so small that the larger sessions are cut into time slices."""
+    return _features(spark, sf_dir, LAGS, limits=Limits(group_rows=4500, slice_rows=2000))
+
+
+def features_lagged_range(spark, sf_dir):
+    """With limits so small that time slices do not do for any session."""
+    return _features(spark, sf_dir, LAGS, limits=Limits(group_rows=4, slice_rows=6000))
+
+
+def features_causal(spark, sf_dir):
+    return _features(spark, sf_dir, causal=True)
+
+
+def features_policy(spark, sf_dir):
+    features, names = with_policy_features(_features(spark, sf_dir))
+    flags = [c for c in names if c not in vocab.BASE_FEATURES]
+    return features.select("session_id", "policy", "workload", "tid", *flags)
+
+
 def features_training_lags(spark, sf_dir):
     return _features(spark, sf_dir, vocab.TRAINING_LAGS)
 
@@ -395,9 +416,10 @@ def error_by_key(spark, sf_dir):
 
 
 def common_keys(spark, sf_dir):
-    events, _ = _log(spark, sf_dir, "click", "view", "purchase")
-    cpu = events.filter("compute = 'CPU' and e2etime > 100")
-    return E.common_keys(estimate_errors(events), cpu, "fqdn")
+    """Traces with an estimate that also reported a cold start."""
+    events, _ = _log(spark, sf_dir)
+    cold = events.filter(F.col("message") == vocab.COLD_START)
+    return E.common_keys(estimate_errors(events), cold, "tid")
 
 
 # Statistics
@@ -424,6 +446,12 @@ def describe(spark, sf_dir):
     return rounded(S.describe(_outcomes(spark, sf_dir), "e2etime"))
 
 
+def describe_ranked(spark, sf_dir):
+    """From stored counts of distinct values, as for groups that do not fit a task."""
+    items = X.table(spark, sf_dir, "lineitem")
+    return rounded(S.describe(items, "l_extendedprice", ScanPlan("range")), 4)
+
+
 def describe_prices(spark, sf_dir):
     return rounded(S.describe(X.table(spark, sf_dir, "lineitem"), "l_extendedprice"), 4)
 
@@ -474,7 +502,7 @@ def correlation_by_session(spark, sf_dir):
 def session_series(spark, sf_dir):
     features = _features(spark, sf_dir, profile=False)
     columns = ["invocation_ts_ns", "tid", "e2etime", "others_len_queue"]
-    return S.session_series(features, 0, columns, "invocation_ts_ns", "tid")
+    return S.session_series(features, 0, columns, "invocation_ts_ns", "seq")
 
 
 def union_sessions(spark, sf_dir):
@@ -524,49 +552,97 @@ def session_sequences(spark, sf_dir):
     )
 
 
+def fold_assignment(spark, sf_dir):
+    return M.session_folds(_requests(_log(spark, sf_dir)[0]))
+
+
 def _training_rows(spark, sf_dir):
     rows = M.model_rows(_features(spark, sf_dir, LAGS), session="session_id")
     return cut_lineage(M.session_split(rows, TEST_SESSIONS))
 
 
+def _stump_scores(spark, sf_dir) -> DataFrame:
+    rows = M.model_rows(_features(spark, sf_dir, profile=False), session="session_id")
+    rows = cut_lineage(M.session_split(rows, TEST_SESSIONS))
+    stump = M.fit_forest(rows.filter("not is_test"), ["is_cold_start"], **STUMP)
+    return M.score(stump, rows)
+
+
+def stump_results(spark, sf_dir):
+    """Scored rows of a forest with a closed form."""
+    return rounded(M.results_table(_stump_scores(spark, sf_dir)), 4)
+
+
+def stump_metrics(spark, sf_dir):
+    scored = _stump_scores(spark, sf_dir)
+    return rounded(M.model_metrics(scored, M.LABEL, "predicted_log", ["is_test"]), 4)
+
+
 def baseline_fit(spark, sf_dir):
+    """Rows that the baseline forest predicts, and how many of its leaves' means lie in the label's range."""
     rows = _training_rows(spark, sf_dir)
-    model = M.baseline_forest(rows.filter("not is_test"), M.feature_names(rows))
-    scored = M.predict(model, rows).withColumn("p", M.log_target(F.col("rf_prediction")))
-    return M.model_metrics(scored, M.LABEL, "p", ["is_test"])
+    train = rows.filter("not is_test")
+    model = M.baseline_forest(train, M.feature_names(rows))
+    seen = train.agg(F.min(M.LABEL).alias("lo"), F.max(M.LABEL).alias("hi"))
+    scored = M.predict(model, rows).join(F.broadcast(seen), F.col("predicted_log").between(F.col("lo"), F.col("hi")))
+    return scored.groupBy("is_test").agg(F.count("rf_prediction").alias("n"))
 
 
 def grid_search(spark, sf_dir):
+    """Each setting of the grid and whether it has an error."""
     rows = _training_rows(spark, sf_dir)
-    search = M.grid_search(rows.filter("not is_test"), M.feature_names(rows), SMALL_GRID)
-    return spark.createDataFrame(M.grid_scores(search))
+    _, search = M.grid_search(rows.filter("not is_test"), M.feature_names(rows), SMALL_GRID)
+    scores = spark.createDataFrame(M.grid_scores(search))
+    return scores.select(*SMALL_GRID, (F.col("mse") > 0).alias("has_error"))
 
 
 def feature_importance(spark, sf_dir):
+    """The features, and that their weights are shares of 1."""
     rows = _training_rows(spark, sf_dir)
-    model = M.baseline_forest(rows.filter("not is_test"), M.feature_names(rows), max_depth=10)
-    return spark.createDataFrame(M.feature_importance(model), "feature string, importance double")
+    model = M.baseline_forest(rows.filter("not is_test"), M.feature_names(rows))
+    weights = M.feature_importance(model)
+    total = round(sum(w for _, w in weights), 6)
+    return spark.createDataFrame([(f, 0 <= w <= 1, total) for f, w in weights], "feature string, is_share boolean, total double")
 
 
 def scored_results(spark, sf_dir):
-    features = _features(spark, sf_dir, LAGS)
-    return tune(features, test_sessions=TEST_SESSIONS, by_session=True, grid=SMALL_GRID).results
+    """Rows of the tuning job, stored and read again; the errors must be those of the stored prediction."""
+    tuned = tune(_features(spark, sf_dir, LAGS), test_sessions=TEST_SESSIONS, by_session=True, grid=SMALL_GRID)
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"tuned-{uuid.uuid4().hex}")
+    write_tuned(tuned, out)
+    stored = Tab.read_table(spark, posixpath.join(out, "results"))
+    same = F.lit(True)
+    for name, value in fx.error_columns(F.col("e2etime"), F.col("rf_prediction")).items():
+        same = same & (F.abs(F.col(name) - value) <= 1e-9 * (1 + F.abs(value)))
+    return stored.select("session_id", "fqdn", "tid", "e2etime", "is_test", same.alias("errors_agree"))
 
 
 def batch_score(spark, sf_dir):
     """Fit on base and policy features, store the model, load it, score all requests with it."""
-    features = _features(spark, sf_dir)
-    flags = fx.policy_flags(X.pick(F.col("session_id"), X.SESSION_POLICIES))
-    names = [*vocab.BASE_FEATURES, *flags]
-    rows = cut_lineage(M.model_rows(features.withColumns(flags), base=names))
-    model = M.baseline_forest(rows, M.feature_names(rows, names), max_depth=10)
+    features, names = with_policy_features(_features(spark, sf_dir))
+    rows = cut_lineage(features)
+    model = M.baseline_forest(M.model_rows(rows, base=names), M.feature_names(rows, names))
     path = posixpath.join(ensure_checkpoint_dir(spark), f"forest-{uuid.uuid4().hex}")
     M.save_model(model, path)
-    return M.predict(M.load_model(path), rows).select("session_id", "tid", "rf_prediction")
+    scored = M.predict(M.load_model(path), rows)
+    return scored.select("session_id", "tid", F.col("rf_prediction").isNotNull().alias("is_scored"))
+
+
+def table_round_trip(spark, sf_dir):
+    """Requests written as Parquet by policy, read, written as CSV, and read again."""
+    events, _ = _log(spark, sf_dir)
+    requests = T.arrivals_with_outcome(events).select("session_id", "tid", "seq", "fqdn", "e2etime")
+    labelled = requests.withColumn("policy", X.pick(F.col("session_id"), X.SESSION_POLICIES))
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    Tab.write_table(labelled, posixpath.join(out, "parquet"), ["policy"], ["session_id"])
+    stored = Tab.read_table(spark, posixpath.join(out, "parquet")).select(*labelled.columns)
+    Tab.write_csv(stored, posixpath.join(out, "csv"))
+    return Tab.read_csv(spark, posixpath.join(out, "csv"), labelled.schema)
 
 
 QUERIES = [
-    features_lagged, features_base, features_training_lags,
+    features_lagged, features_base, features_training_lags, features_lagged_time, features_lagged_range,
+    features_causal, features_policy, table_round_trip,
     log_discovery, session_catalog, session_numbers, log_flatten, coerce_fields, trace_id, function_profile,
     base_function, status_onehot, policy_onehot, log_target, session_subset, model_rows,
     gpu_invocations, cold_start_flag, arrival_outcome, profile_join, queue_asof,
@@ -574,9 +650,10 @@ QUERIES = [
     target_queue, others_queue, lag_target, lag_global, queue_wide,
     current_estimate_errors, invocation_rollup, row_errors, error_summary, error_by_session,
     error_by_key, common_keys,
-    session_sizes, session_means, grand_mean, describe, describe_prices, histogram, histogram_log,
+    session_sizes, session_means, grand_mean, describe, describe_prices, describe_ranked, histogram, histogram_log,
     box_summary, box_summary_sessions, topk_subset, value_counts, value_counts_quantity,
     correlation, correlation_by_session, session_series, union_sessions, distinct_keys,
     random_split, session_split, model_metrics, session_sequences,
+    fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
 ]

@@ -1,38 +1,34 @@
-"""Session-level helpers: checkpoint folder, lineage cuts, size-checked joins."""
+"""Session-level helpers: the shared folder for intermediate tables, and lineage cuts."""
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; a local one is made only where the session names none."""
+    """Return the checkpoint folder, by default the one that ``spark.checkpoint.dir`` names.
+
+    Executors read each other's files there, so on a cluster it must be a shared folder and is never
+    made up. In local mode, where one machine is all there is, a temporary folder stands in.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="queuescope-checkpoint-"))
+        if named is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="queuescope-checkpoint-")
+        sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the reliable checkpoint folder and go on from there.
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is seen to be small.
-
-    At most ``max_rows`` rows and one are fetched. If that was all, the fetched rows stand for the
-    table, so it is not computed again. A larger table is returned as it is, and the join that uses
-    it is a shuffle join in which adaptive execution splits hot partitions.
+    Spark removes the files with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 
 from queuescope import vocab
 from queuescope.functions.fields import display_time, nanos, policy_name, trace_id
-from queuescope.operators.scan import ScanPlan, position
-from queuescope.session import broadcast_if_small
+from queuescope.operators.scan import Limits, ScanPlan, position
 
 CORRUPT = "_corrupt_record"
 
+#: Log files that are numbered in one task.
+CATALOG_LIMITS = Limits(group_rows=50_000, slice_rows=25_000)
+
 # A log lies at <duration>/<a>/<b>/<workload>/<repetition>/<policy>/<x>/<y>/.
 _PATH = "/".join(["([^/]+)"] * 8) + f"/(?:{vocab.PRECLEANUP}/)?{vocab.LOG_FILE.replace('.', '[.]')}$"
 _PATH_PARTS = {"duration": 1, "workload": 4, "repetition": 5, "policy": 6}
@@ -94,6 +96,22 @@ def read_worker_logs(
     return rows.withColumn("session_key", session_key(F.col("path")))
 
 
+def list_logs(
+    spark: SparkSession, root: str, policy: str | None = None, include_precleanup: bool = False
+) -> DataFrame:
+    """Paths of all session logs below ``root``, empty ones too. No file is opened."""
+    scan = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", vocab.LOG_FILE)
+        .load(root)
+    )
+    # The names that the scan holds in any case; a scan itself would leave out empty files.
+    names = [(re.sub(r"^(\w+):///", r"\1:/", name),) for name in scan.inputFiles()]
+    paths = spark.createDataFrame(names, "path string")
+    return paths.filter(_wanted(F.col("path"), policy, include_precleanup))
+
+
 def session_key(path: Column) -> Column:
     """Folder of the log."""
     return F.regexp_replace(path, f"/{vocab.LOG_FILE.replace('.', '[.]')}$", "")
@@ -152,7 +170,8 @@ def session_catalog(paths: DataFrame) -> DataFrame:
     Numbers depend on the set of sessions only, not on the order a file system lists them.
     """
     keys = paths.select("path").distinct().withColumn("session_key", session_key(F.col("path")))
-    plan = ScanPlan.measure(keys)
+    # A position over all rows is a window in one task, so only few rows may go that way.
+    plan = ScanPlan.measure(keys, limits=CATALOG_LIMITS)
     numbered = plan.compute(keys, [], ["session_key"], session_id=position())
     parts = path_attributes(F.col("path"))
     return numbered.select(
@@ -165,10 +184,11 @@ def session_catalog(paths: DataFrame) -> DataFrame:
 def number_sessions(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Records of several logs with the number, policy and workload of their session.
 
-    ``records`` have ``path``. The catalog has one row per log and is joined back by session key; a
-    hot session therefore stays spread as it was read whenever the catalog is small.
+    ``records`` have ``path``. ``catalog`` has one row per log (see ``list_logs``); without it the
+    logs are those that have a record. It is joined back by session key; adaptive execution sends a
+    small catalog to the records, or splits the records of a hot session.
     """
     catalog = session_catalog(records) if catalog is None else catalog
     keyed = records.withColumn("session_key", session_key(F.col("path")))
     known = catalog.select("session_key", "session_id", "policy", "workload")
-    return keyed.join(broadcast_if_small(known), "session_key")
+    return keyed.join(known, "session_key")

@@ -56,7 +56,7 @@ SEED = 42
 FOLDS = 3
 TEST_SHARE = 0.2
 
-# One JSON line of a worker log. The key sets of ``fields`` and ``span`` are open, so both are maps
+# Fixed values (format keys): one JSON line of a worker log. The key sets of ``fields`` and ``span`` are open, so both are maps
 # and no pass over the data is needed to learn them.
 RAW_RECORD = T.StructType(
     [
@@ -68,7 +68,7 @@ RAW_RECORD = T.StructType(
     ]
 )
 
-# Known keys of ``fields`` and the types they are read as.
+# Fixed values (format keys): known keys of ``fields`` and the types they are read as.
 FIELD_TYPES = {
     "message": "string",
     "fqdn": "string",
@@ -81,8 +81,9 @@ FIELD_TYPES = {
     "compute": "string",
 }
 
-# Function profile document.
-_SAMPLES = T.ArrayType(T.DoubleType())
+# Fixed values (format keys): function profile document.
+# Samples are read as text: a sample that is no number is part of the rules (see ``profile_means``).
+_SAMPLES = T.ArrayType(T.StringType())
 PROFILE_DOCUMENT = T.StructType(
     [
         T.StructField(
