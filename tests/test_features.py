@@ -57,6 +57,28 @@ def test_invariants(events):
     assert not any(r.session_id == 2 for r in got), "a session without GPU requests has no rows"
 
 
+def test_small_sessions_keep_the_single_exchange(events):
+    """One hot session is sliced; the others go through the plain plan."""
+    sizes = {r.session_id: r["count"] for r in events.groupBy("session_id").count().collect()}
+    hot = max(sizes, key=lambda s: (sizes[s], s))
+    more = events.filter(F.col("session_id") == hot)
+    for k in range(1, 4):
+        shifted = events.filter(F.col("session_id") == hot).withColumns(
+            {"seq": F.col("seq") + k * 100_000, "ts_ns": F.col("ts_ns") + k * 10**12, "tid": F.concat("tid", F.lit(f"x{k}"))}
+        )
+        more = more.unionByName(shifted)
+    mixed = events.filter(F.col("session_id") != hot).unionByName(more)
+    plan = ScanPlan.measure(mixed, ["session_id"], "ts_ns", Limits(group_rows=max(sizes.values()) + 1, slice_rows=100))
+    assert plan.mode != "whole" and plan.hot.count() == 1
+    small, large = plan.split(mixed)
+    assert {r.session_id for r in large.select("session_id").distinct().collect()} == {hot}
+    text = arrival_features(small, None, LAGS, ScanPlan())._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+    columns = ["session_id", "tid", "iat", "target_queue_len", "others_len_queue", "num_running_funcs_filled"]
+    whole = arrival_features(mixed, None, LAGS, ScanPlan()).select(*columns).collect()
+    assert sorted(map(str, arrival_features(mixed, None, LAGS, plan).select(*columns).collect())) == sorted(map(str, whole))
+
+
 def test_running_count_without_any_report_is_unknown(events, log):
     got = running_at_arrivals(events, ScanPlan()).collect()
     assert {r.num_running_funcs_filled for r in got if r.session_id == 1} == {None}
@@ -118,5 +140,5 @@ def test_sequences_are_whole_and_ordered(events, way):
         parts = sorted((r for r in packed if r.session_id == s), key=lambda r: r.part)
         assert all(r.length == 7 for r in parts[:-1]) and 0 < parts[-1].length <= 7
         steps = [tuple(x) for r in parts for x in r.steps]
-        rows = features.filter(F.col("session_id") == s).select("invocation_ts_ns", "tid").collect()
-        assert steps == sorted(map(tuple, rows))
+        rows = features.filter(F.col("session_id") == s).select("invocation_ts_ns", "seq", "tid").collect()
+        assert steps == [(t, tid) for t, _, tid in sorted(map(tuple, rows))]

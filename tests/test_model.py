@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from queuescope import vocab
 from queuescope.operators import model as M
-from queuescope.plans.training import tune
+from queuescope.plans.training import tune, with_policy_features, write_tuned
 from queuescope.registry import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +72,51 @@ def test_tuning(rows, spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, before.collect()))
 
 
+@pytest.mark.parametrize("sessions", [3, 1000, 1001])
+def test_folds_are_whole_sessions_and_stay(spark, sessions):
+    table = spark.range(sessions * 2).selectExpr("id div 2 as session_id", "cast(id as string) as tid")
+    folds = {}
+    for r in M.with_folds(table, 3).collect():
+        assert folds.setdefault(r.session_id, r.fold) == r.fold
+    assert folds == {s: s % 3 for s in range(sessions)}
+
+
+def test_too_few_sessions_for_folds(spark):
+    table = spark.range(40).selectExpr("id % 2 as session_id", "cast(id as string) as tid")
+    with pytest.raises(ValueError, match="2 sessions"):
+        M.with_folds(table, 3)
+    by_row = M.with_folds(table, 3, fold_by="row").collect()
+    assert len(by_row) == 40 and {r.fold for r in by_row} == {0, 1, 2}
+    with pytest.raises(ValueError, match="fold_by"):
+        M.with_folds(table, 3, fold_by="tree")
+
+
+def test_every_row_is_scored(rows):
+    train = M.model_rows(rows)
+    model = M.fit_forest(train, ["is_cold_start", "iat"], numTrees=1, maxDepth=2)
+    holes = rows.withColumn("iat", F.when(F.col("session_id") != 1, F.col("iat")))
+    got = M.predict(model, holes).collect()
+    assert len(got) == rows.count()
+    assert all((r.rf_prediction is None) == (r.session_id == 1) for r in got)
+    assert all((r.predicted_log is None) == (r.session_id == 1) for r in got)
+
+
+def test_policy_features_can_be_tuned(rows, tmp_path):
+    labelled, base = with_policy_features(rows)
+    grid = {"numTrees": [2], "maxDepth": [2]}
+    tuned = tune(labelled, test_sessions=[5, 6], by_session=True, grid=grid, base=base)
+    assert {name for name, _ in tuned.importance} == {*base, *[c for c in rows.columns if "_lag_" in c]}
+    assert {r.is_test for r in tuned.baseline_metrics.collect()} == {True, False}
+    write_tuned(tuned, str(tmp_path / "job"))
+    spark = rows.sparkSession
+    stored = spark.read.parquet(str(tmp_path / "job" / "results"))
+    assert stored.count() == tuned.results.count()
+    csv = spark.read.option("header", "true").csv(str(tmp_path / "job" / "results_csv"))
+    assert csv.count() == stored.count()
+    assert spark.read.parquet(str(tmp_path / "job" / "metrics")).count() == 4
+    assert M.load_model(str(tmp_path / "job" / "model")).stages[0].getInputCols() == M.feature_names(labelled, base)
+
+
 def test_metrics_of_a_constant_target(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, p double")
     (r,) = M.model_metrics(df, "y", "p").collect()

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from queuescope.operators.asof import asof_lookup, last_per_key
 from queuescope.operators.scan import Lag, LastKnown, Limits, Replay, RunningSum, ScanPlan, position
 
-WAYS = {
-    "whole": ScanPlan(),
-    "time": ScanPlan(mode="time", slices=9, origin=0, width=12),
-    "range": ScanPlan(mode="range", slices=7),
-}
+WAYS = ["whole", "time", "range"]
+
+
+def plan_for(spark, way, key="k", hot=("hot", None)):
+    """A plan in which the keys ``hot`` have time slices, each from its own origin."""
+    if way == "whole":
+        return ScanPlan()
+    slices = [(k, 3 * i, 12 + i) for i, k in enumerate(hot)]
+    table = spark.createDataFrame(slices, "__hot_0 string, __origin bigint, __width bigint")
+    return ScanPlan(way, 7, (key,), table)
 
 
 def make_rows(n=300, seed=1):
@@ -59,7 +64,7 @@ def expected(rows):
 def test_operations_match_a_loop(spark, way):
     rows = make_rows()
     df = spark.createDataFrame(rows, "k string, t bigint, i bigint, v bigint, step bigint")
-    got = WAYS[way].compute(
+    got = plan_for(spark, way).compute(
         df, ["k"], ["t", "i"], "t",
         place=position(),
         total=RunningSum(F.col("v")),
@@ -77,14 +82,14 @@ def test_operations_match_a_loop(spark, way):
 @pytest.mark.parametrize("way", ["whole", "range"])
 def test_one_global_order(spark, way):
     df = spark.range(100).withColumn("x", F.col("id") * 37 % 101)
-    got = WAYS[way].compute(df, [], ["x"], place=position()).orderBy("x").collect()
+    got = plan_for(spark, way).compute(df, [], ["x"], place=position()).orderBy("x").collect()
     assert [r.place for r in got] == list(range(1, 101))
 
 
 @pytest.mark.parametrize("way", WAYS)
 def test_no_rows(spark, way):
     df = spark.createDataFrame([], "k string, t bigint, i bigint, v bigint")
-    got = WAYS[way].compute(df, ["k"], ["t", "i"], "t", total=RunningSum(F.col("v")))
+    got = plan_for(spark, way).compute(df, ["k"], ["t", "i"], "t", total=RunningSum(F.col("v")))
     assert got.collect() == []
 
 
@@ -93,7 +98,12 @@ def test_measure_chooses_by_size(spark):
     assert ScanPlan.measure(df, ["k"], "t", Limits(group_rows=500)).mode == "whole"
     small = Limits(group_rows=100, slice_rows=25)
     cut = ScanPlan.measure(df, ["k"], "t", small)
-    assert cut.mode == "time" and cut.slices == 20
+    assert cut.mode == "time" and cut.hot.count() == 2
+    small_keys, hot = cut.split(df.union(spark.createDataFrame([(9, 1), (None, 2)], "k bigint, t bigint")))
+    assert small_keys.count() == 2 and hot.count() == 1000
+    # Keys at very different times, as sessions of different days are.
+    apart = df.withColumn("t", F.col("t") + F.col("k") * 10**15)
+    assert ScanPlan.measure(apart, ["k"], "t", small).mode == "time"
     assert ScanPlan.measure(df, ["k"], None, small).mode == "range"
     burst = df.withColumn("t", F.when(F.col("t") < 900, 5).otherwise(F.col("t")))
     assert ScanPlan.measure(burst, ["k"], "t", small).mode == "range"
@@ -112,7 +122,7 @@ def test_asof_counts_equal_times(spark, way):
     got = asof_lookup(
         spark.createDataFrame(probes, "q string, t bigint, name string"),
         spark.createDataFrame(states, "q string, t bigint, seq bigint, len bigint"),
-        ["q"], "t", {"len": 0}, "seq", WAYS[way],
+        ["q"], "t", {"len": 0}, "seq", plan_for(spark, way, "q", ["q"]),
     )
     assert {r.name: r.len for r in got.collect()} == {
         "p9": 0, "p10": 6, "p11": 6, "p30": 6, "p40": 8, "p99": 8, "x": 0,

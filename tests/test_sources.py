@@ -28,8 +28,8 @@ def line(time, message, span_tid=None, **fields):
 SESSION = [
     line(DAY + "01", vocab.SWITCH, queue="cupy-4-0.0.1", queue_len=2, new_state="Active"),
     line(DAY + "01.5", vocab.ARRIVAL, span_tid="a"),
-    line(DAY + "02.79551127", vocab.START, tid="a", num_running_funcs=3),
-    line(DAY + "03.80284", vocab.COLD_START, tid="a", unknown_key={"deep": [1, 2]}),
+    line(DAY + "02.61030405", vocab.START, tid="a", num_running_funcs=3),
+    line(DAY + "03.10927", vocab.COLD_START, tid="a", unknown_key={"deep": [1, 2]}),
     line(DAY + "04.123456789", vocab.COMPLETE, tid="a", fqdn="cupy-4-0.0.1", e2etime=3.25,
          compute="GPU", gpu_est_total="2.5"),
     line(DAY + "05", vocab.ARRIVAL, tid="b"),
@@ -38,8 +38,8 @@ SESSION = [
 ]
 
 
-def write(root, policy, lines, workload="az-4*2", sub="", rep="0"):
-    folder = root / "30_min" / "4.0" / "6.0" / workload / rep / policy / "2" / "12" / sub
+def write(root, policy, lines, workload="load-1*x", sub="", rep="0"):
+    folder = root / "short" / "a1" / "b2" / workload / rep / policy / "c3" / "d4" / sub
     folder.mkdir(parents=True, exist_ok=True)
     (folder / vocab.LOG_FILE).write_text("".join(x + "\n" for x in lines))
     return folder
@@ -50,7 +50,7 @@ def root(tmp_path):
     write(tmp_path, "Landlord", SESSION)
     write(tmp_path, "Landlord", ["not json"], sub=vocab.PRECLEANUP)
     write(tmp_path, "Landlord", [], rep="1")
-    write(tmp_path, "WeightedRandom_0.5", SESSION[:2], workload="large-4")
+    write(tmp_path, "WeightedRandom_0.5", SESSION[:2], workload="wide-4")
     (tmp_path / "orchestration.log").write_text("text\n")
     return tmp_path
 
@@ -62,8 +62,8 @@ def test_discovery_and_paths(spark, root):
     assert landlord.count() == len(SESSION)
     catalog = L.session_catalog(every.select("path")).orderBy("session_id").collect()
     assert [(r.session_id, r.duration, r.workload, r.repetition, r.policy) for r in catalog] == [
-        (0, "30_min", "az-4*2", "0", "Landlord"),
-        (1, "30_min", "large-4", "0", "WeightedRandom_0.5"),
+        (0, "short", "load-1*x", "0", "Landlord"),
+        (1, "short", "wide-4", "0", "WeightedRandom_0.5"),
     ]
     noisy = L.read_worker_logs(spark, str(root), mode="PERMISSIVE", include_precleanup=True)
     assert [r[L.CORRUPT] for r in noisy.collect() if r[L.CORRUPT]] == ["not json"]
@@ -80,12 +80,12 @@ def test_typed_events(spark, root):
     assert [r.message for r in rows] == [json.loads(x)["fields"]["message"] for x in SESSION]
     start = 1768054441 * 10**9
     assert [r.ts_ns - start for r in rows[:5]] == [
-        0, 500_000_000, 1_795_511_270, 2_802_840_000, 3_123_456_789,
+        0, 500_000_000, 1_610_304_050, 2_109_270_000, 3_123_456_789,
     ]
     assert [r.tid for r in rows] == [None, "a", "a", "a", "a", "b", "b", None]
     assert rows[4].e2etime == 3.25 and rows[4].gpu_est_total == 2.5
     assert rows[0].queue_len == 2 and rows[7].queue_len is None
-    assert rows[2].ts.isoformat(sep=" ") == DAY + "02.795511"
+    assert rows[2].ts.isoformat(sep=" ") == DAY + "02.610304"
 
 
 def test_unknown_keys_stay_in_the_map(spark, root):
@@ -132,7 +132,12 @@ def test_ingest(spark, root, tmp_path):
     events = ingest.ingest(spark, str(root), str(tmp_path / "events"))
     sizes = {(r.session_id, r.policy, r.workload): r["count"] for r in
              events.groupBy("session_id", "policy", "workload").count().collect()}
-    assert sizes == {(0, "Landlord", "az-4*2"): len(SESSION), (1, "WeightedRandom_0.5", "large-4"): 2}
+    # The empty log keeps its number.
+    assert sizes == {(0, "Landlord", "load-1*x"): len(SESSION), (2, "WeightedRandom_0.5", "wide-4"): 2}
+    catalog = L.session_catalog(L.list_logs(spark, str(root))).orderBy("session_id").collect()
+    assert [(r.session_id, r.policy, r.repetition) for r in catalog] == [
+        (0, "Landlord", "0"), (1, "Landlord", "1"), (2, "WeightedRandom_0.5", "0"),
+    ]
     ingest.write_estimate_errors(events, str(tmp_path / "errors"))
     (e,) = S.read_table(spark, str(tmp_path / "errors")).collect()
     assert (e.fqdn, e.e2etime, e.gpu_est_total, e.absolute_error) == ("cupy-4-0.0.1", 3.25, 2.5, 0.75)
@@ -144,7 +149,7 @@ def test_ingest(spark, root, tmp_path):
 def test_nanos(spark):
     texts = {
         "2026-01-10 14:14:53": 0, "2026-01-10 14:14:53.5": 500_000_000,
-        "2026-01-10 14:14:53.446951084": 446_951_084, "2026-01-10 14:14:53.00000001": 10,
+        "2026-01-10 14:14:53.102030405": 102_030_405, "2026-01-10 14:14:53.00000001": 10,
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     keep = spark.conf.get("spark.sql.session.timeZone")
@@ -207,6 +212,27 @@ def test_profile(spark, tmp_path):
     assert joined == {"cupy-4-0.0.1": (1.5, 5.0), "new-1": (0.0, 0.0), "7zip-1": (0.0, 0.0)}
 
 
+def test_odd_samples_and_broken_profiles(spark, tmp_path):
+    entries = {
+        "null": ([1.0, None], [2.0]), "text": (["x", 4.0], [2.0]), "cold": ([1.0], ["y"]),
+        "fine": ([1, 3.0], [2.0]),
+    }
+    data = {
+        k: {"resource_data": {"gpu": {"warm_results_sec": w, "cold_results_sec": c}}}
+        for k, (w, c) in entries.items()
+    }
+    path = tmp_path / "profile.json"
+    path.write_text(json.dumps({"data": data}))
+    got = {r[0]: (r[1], r[2]) for r in profile_means(P.read_profile(spark, str(path))).collect()}
+    assert got == {"null": (0.0, 0.0), "text": (0.0, 0.0), "cold": (0.0, 0.0), "fine": (2.0, 2.0)}
+    path.write_text('{"data": {"cupy": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        profile_means(P.read_profile(spark, str(path))).collect()
+    texts = spark.createDataFrame([("{oops",)], "text string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        profile_means(P.parse_profiles(texts, "text")).collect()
+
+
 def test_missing_profile_gives_zeros(spark, tmp_path):
     assert P.read_profile(spark, str(tmp_path / "absent.json")) is None
     requests = spark.createDataFrame([("cupy-4",)], "fqdn string")
