@@ -191,6 +191,20 @@ ORACLES = {
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
     """,
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+        -- Five hexadecimal digits are four digits of base 32.
+        d AS (SELECT page_id, payload, array_to_string(list_transform(range(32), lambda i: substr(
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '')
+                  AS payload_digest
+              FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM d)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM m
+    """,
 }
 
 QUERIES = [

@@ -37,8 +37,10 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
     "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɡ": "g", "ɑ": "a",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+#: The digit 1 stands for either of two letters, so they count as one, in the lexicon as in texts.
+SAME = {"l": "i"}
 #: Harmless phrases with a word that may be in the lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "soap scum", "pond scum", "clown fish", "pathetic fallacy", "idiot proof")
 
@@ -55,7 +57,7 @@ class _Fold(dict):
                 if unicodedata.category(d) in ("Mn", "Cf"):
                     continue
                 d = HOMOGLYPHS.get(d, DIGITS.get(d, d))
-                out += d if d.isalnum() else " "
+                out += SAME.get(d, d) if d.isalnum() else " "
         self[code] = out
         return out
 

@@ -11,7 +11,7 @@ def test_fold():
     table = toxicity._Fold()
     for text, want in [
         ("Idiot", " idiot "), ("1D10T!", " idiot "), ("ｉｄｉｏｔ", " idiot "), ("іdіоt", " idiot "), ("ídïöt", " idiot "),
-        ("i​diot", " idiot "), ("$tup!d", " stupid "), ("stupid! ok", " stupid ok "), ("idіot,\n x", " idiot x "),
+        ("i​diot", " idiot "), ("$tup!d", " stupid "), ("l0ser 1os3r", " ioser ioser "), ("stupid! ok", " stupid ok "), ("idіot,\n x", " idiot x "),
         ("", "  "), (None, "  "), ("日本 5", " 日本 s "),
     ]:
         assert toxicity.fold(text, table) == want, text
@@ -53,9 +53,9 @@ def test_learns_words_stems_and_exceptions_but_not_copies():
     toxic += [text("rareword")] * 30
     clean = [text() for _ in range(150)] + [text("nasty gale") for _ in range(8)]
     lexicon = toxicity.learn(toxic + clean, [True] * len(toxic) + [False] * len(clean))
-    assert " nasty " in lexicon.entries and " vilex" in lexicon.entries
+    assert " nasty " in lexicon.entries and " viiex" in lexicon.entries
     assert " rareword " not in lexicon.entries
-    assert " nasty gale " in lexicon.exceptions
+    assert " nasty gaie " in lexicon.exceptions
     automaton, table = lexicon.automaton(), toxicity._Fold()
     points = [lexicon.score(*lexicon.measures(toxicity.fold(t, table), automaton)[1:]) for t in (toxic[0], clean[0], clean[-1])]
     assert points[0] >= 0.7 and max(points[1:]) < 0.5
