@@ -37,12 +37,13 @@ def with_gap(
     )
 
 
-def with_running_count(events: DataFrame, plan: ScanPlan, backfill: bool = True) -> DataFrame:
-    """Requests in flight at each record, as ``running``.
+def running_count(backfill: bool = True) -> Replay:
+    """Requests in flight at a record, as an operation over a session's records.
 
     The log reports the count only now and then. Between reports it moves by +1 per arrival and -1
-    per completion; before the first report it is extended backwards (unknown without ``backfill``). All requests count, GPU or
-    not. A completion that carries neither a latency nor a count does not move it.
+    per completion; before the first report it is extended backwards (unknown without ``backfill``).
+    All requests count, GPU or not. A completion that carries neither a latency nor a count does not
+    move it.
     """
     counted = F.col("num_running_funcs").isNotNull() | F.col("e2etime").isNotNull()
     step = (
@@ -51,12 +52,13 @@ def with_running_count(events: DataFrame, plan: ScanPlan, backfill: bool = True)
         .otherwise(0)
         .cast("bigint")
     )
+    return Replay(F.col("num_running_funcs"), step, backfill=backfill)
+
+
+def with_running_count(events: DataFrame, plan: ScanPlan, backfill: bool = True) -> DataFrame:
+    """Requests in flight at each record, as ``running``."""
     return plan.compute(
-        events,
-        ["session_id"],
-        ["ts_ns", "seq"],
-        "ts_ns",
-        running=Replay(F.col("num_running_funcs"), step, backfill=backfill),
+        events, ["session_id"], ["ts_ns", "seq"], "ts_ns", running=running_count(backfill)
     )
 
 

@@ -325,25 +325,46 @@ class ScanPlan:
         ``order`` must be a total order within ``keys`` wherever it matters for the result. ``time``
         names the first order column where slices by time may be used.
         """
+        return self.compute_all(df, [(keys, ops)], order, time)
+
+    def compute_all(
+        self,
+        df: DataFrame,
+        passes: Sequence[tuple[Sequence[str], dict]],
+        order: Sequence[str],
+        time: str | None = None,
+    ) -> DataFrame:
+        """Like ``compute`` for several (keys, operations) of one order; the rows are stored once.
+
+        The keys of each are those that were measured or finer ones.
+        """
         kept = df.columns
+        every = {name: op for _, ops in passes for name, op in ops.items()}
         if self.is_whole:
-            window = Window.partitionBy(*keys).orderBy(*order)
-            return _select_results(_add_local(df, ops, window), kept, ops, sliced=False)
+            for keys, ops in passes:
+                df = _add_local(df, ops, Window.partitionBy(*keys).orderBy(*order))
+            return _select_results(df, kept, every, sliced=False)
         if self.mode == "time" and time is not None:
-            cut = self.sliced(df, time)
+            local = self.sliced(df, time)
         else:
-            cut = df.repartitionByRange(max(self.slices, 2), *keys, *order).withColumn(
+            # Ranges in the order of the coarsest keys are in order for the finer ones too.
+            coarse = passes[0][0] if len(passes) == 1 else self.keys
+            local = df.repartitionByRange(max(self.slices, 2), *coarse, *order).withColumn(
                 SLICE, F.spark_partition_id().cast("bigint")
             )
-        window = Window.partitionBy(*keys, SLICE).orderBy(*order)
-        depth = max(op.depth for op in ops.values())
-        local = _add_local(cut, ops, window).withColumn(
-            _LAST, F.lead(F.lit(1), depth).over(window).isNull()
-        )
-        # Both the end-of-slice table and the rows themselves are read from here.
+        for i, (keys, ops) in enumerate(passes):
+            window = Window.partitionBy(*keys, SLICE).orderBy(*order)
+            depth = max(op.depth for op in ops.values())
+            local = _add_local(local, ops, window).withColumn(
+                f"{_LAST}_{i}", F.lead(F.lit(1), depth).over(window).isNull()
+            )
+        # Both the end-of-slice tables and the rows themselves are read from here.
         local = cut_lineage(local)
-        carried = _carry(local, keys, order, ops)
-        return _select_results(_join_carry(local, carried, keys), kept, ops, sliced=True)
+        out = local
+        for i, (keys, ops) in enumerate(passes):
+            carried = _carry(local.filter(f"{_LAST}_{i}"), keys, order, ops, f"__key_{i}")
+            out = _join_carry(out, carried, keys, f"__key_{i}")
+        return _select_results(out, kept, every, sliced=True)
 
 
 def _few_or_stored(hot: DataFrame) -> DataFrame:
@@ -365,12 +386,11 @@ def _add_local(df, ops, window):
     return df
 
 
-def _carry(local, keys, order, ops):
+def _carry(ends, keys, order, ops, prefix):
+    """State on entry to each slice, from the last rows of the slices before it."""
     states = [c for name, op in ops.items() for c in op.state(name)]
-    ends = (
-        local.filter(_LAST)
-        .groupBy(*keys, SLICE)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, *states))).alias(_ENDS))
+    ends = ends.groupBy(*keys, SLICE).agg(
+        F.sort_array(F.collect_list(F.struct(*order, *states))).alias(_ENDS)
     )
     last = F.element_at(_ENDS, -1)
     ends = ends.select(*keys, SLICE, _ENDS, *[last[c].alias(c) for c in states])
@@ -386,14 +406,14 @@ def _carry(local, keys, order, ops):
                 cols.update(p[level])
         ends = ends.withColumns(cols)
         names += cols
-    renamed = [F.col(k).alias(f"__key_{i}") for i, k in enumerate([*keys, SLICE])]
+    renamed = [F.col(k).alias(f"{prefix}_{i}") for i, k in enumerate([*keys, SLICE])]
     return ends.select(*renamed, *names)
 
 
-def _join_carry(local, carried, keys):
+def _join_carry(local, carried, keys, prefix):
     match = F.lit(True)
     for i, k in enumerate([*keys, SLICE]):
-        match = match & local[k].eqNullSafe(carried[f"__key_{i}"])
+        match = match & local[k].eqNullSafe(carried[f"{prefix}_{i}"])
     return local.join(carried, match, "left")
 
 

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuescope import vocab
-from queuescope.functions.fields import display_time, status_flags
-from queuescope.operators.arrivals import with_gap, with_running_count
+from queuescope.functions.fields import display_time, seconds_between, status_flags
+from queuescope.operators.arrivals import running_count
 from queuescope.operators.lags import add_lag_probes, fold_lag_probes, with_global_lags
 from queuescope.operators.profiles import join_profile
 from queuescope.operators.queues import replay, with_total
-from queuescope.operators.scan import Limits, RunningSum, ScanPlan
+from queuescope.operators.scan import Lag, Limits, RunningSum, ScanPlan
 from queuescope.operators.traces import tag_traces
-from queuescope.session import cut_lineage
 
 _NEEDED = [
     "session_id", "seq", "ts_ns", "tid", "message", "fqdn", "queue", "queue_len", "new_state",
@@ -64,11 +63,7 @@ def _arrival_features(events, profile, lags: list[int], plan: ScanPlan, causal:
     named = {c: F.lit(None).cast("string") for c in _SESSION if c not in events.columns}
     events = events.withColumns(named).select(*_NEEDED, *_SESSION)
     rows = plan.co_locate(events, ["session_id"])
-    rows = _relevant(tag_traces(rows, plan))
-    if causal:
-        rows = _first_of_function(rows, plan)
-    rows = _with_gaps(rows, plan, lags)
-    rows = with_running_count(rows, plan, backfill=not causal)
+    rows = _with_history(_relevant(tag_traces(rows, plan)), plan, lags, causal)
     rows = add_lag_probes(_state_rows(rows, lags), lags, _NARROW)
     rows = replay(rows, plan, ["probe_ns", "kind", "seq"], "probe_ns")
     rows = fold_lag_probes(rows, lags)
@@ -86,38 +81,35 @@ def _relevant(tagged: DataFrame) -> DataFrame:
     return tagged.filter(moves | F.col("num_running_funcs").isNotNull()).drop("compute")
 
 
-def _first_of_function(rows: DataFrame, plan: ScanPlan) -> DataFrame:
-    """``is_cold_start`` of an arrival: no request of its function was completed before it."""
-    done = F.col("message") == vocab.COMPLETE
-    function = F.when(F.col("is_gpu_arrival"), F.col("outcome_fqdn")).when(done, F.col("fqdn"))
-    counted = plan.compute(
-        rows.withColumn("__function", function),
-        ["session_id", "__function"],
-        ["ts_ns", "seq"],
-        "ts_ns",
-        __done=RunningSum(F.coalesce(done, F.lit(False)).cast("bigint")),
-    )
-    cold = (F.col("__done") == 0).cast("int")
-    return counted.withColumn("is_cold_start", cold).select(*rows.columns)
-
-
-def _with_gaps(rows: DataFrame, plan: ScanPlan, lags) -> DataFrame:
-    """Gaps since the last GPU arrival, and since the last one of the same function.
+def _with_history(rows: DataFrame, plan: ScanPlan, lags, causal: bool) -> DataFrame:
+    """What the records before say of an arrival, all in one pass over the session's records.
 
-    Inside a session's partition other records simply form a group of their own. When sessions are
-    sliced, rows are written between steps, so arrivals go through these steps by themselves.
+    ``iat`` and ``iat_fqdn``: seconds since the last GPU arrival, and since the last one of the same
+    function; ``time_lag_<k>``; ``running``. With ``causal`` also ``is_cold_start``: no request of the
+    function was completed before. Other records simply form groups of their own.
     """
-    keys = ["session_id", "is_gpu_arrival"]
-    if plan.is_whole:
-        arrivals, others = rows, None
-    else:
-        rows = cut_lineage(rows)
-        arrivals, others = rows.filter("is_gpu_arrival"), rows.filter("not is_gpu_arrival")
-    arrivals = with_gap(arrivals, plan, keys, "iat", offsets=lags)
-    arrivals = with_gap(arrivals, plan, [*keys, "outcome_fqdn"], "iat_fqdn")
-    if others is None:
-        return arrivals
-    return arrivals.unionByName(others, allowMissingColumns=True)
+    time, done = F.col("ts_ns"), F.col("message") == vocab.COMPLETE
+    function = F.when(F.col("is_gpu_arrival"), F.col("outcome_fqdn")).when(done, F.col("fqdn"))
+    passes = [
+        (["session_id"], {"running": running_count(backfill=not causal)}),
+        (["session_id", "is_gpu_arrival"], {"gap": Lag({"__time": time}, [1, *lags])}),
+        (["session_id", "is_gpu_arrival", "outcome_fqdn"], {"same": Lag({"__same": time}, [1])}),
+    ]
+    if causal:
+        finished = RunningSum(F.coalesce(done, F.lit(False)).cast("bigint"))
+        passes.append((["session_id", "__function"], {"__done": finished}))
+    seen = plan.compute_all(
+        rows.withColumn("__function", function), passes, ["ts_ns", "seq"], "ts_ns"
+    )
+    if causal:
+        seen = seen.withColumn("is_cold_start", (F.col("__done") == 0).cast("int"))
+    gaps = {"iat": "__time_lag_1", "iat_fqdn": "__same_lag_1"}
+    return seen.select(
+        *rows.columns,
+        "running",
+        *[F.coalesce(seconds_between(time, F.col(c)), F.lit(0.0)).alias(n) for n, c in gaps.items()],
+        *[F.col(f"__time_lag_{k}").alias(f"time_lag_{k}") for k in lags],
+    )
 
 
 def _state_rows(rows: DataFrame, lags) -> DataFrame:
