@@ -28,7 +28,7 @@ WINDOW = 20
 
 #: Text bytes of one chunk, the unit in which texts are looked at. Larger chunks make fewer and
 #: fuller messages; on 100 TB take the text of a whole input partition.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Hashes that one bucket gets, on average.
 BUCKET_HASHES = 4_000_000
 #: Bits of a block's hash beyond the binary logarithm of their number. A chance match costs a
