@@ -17,9 +17,9 @@ BACKOFF = 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: N-grams that one bucket gets, on average; each chunk sends a distinct one once.
-BUCKET_NGRAMS = 4_000_000
+BUCKET_NGRAMS = 2_000_000
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
@@ -107,12 +107,14 @@ def _totals(counted: DataFrame) -> DataFrame:
         lists = [_unpack_hashes(x) for x in group["hashes"]]
         hashes = np.concatenate(lists)
         counts = np.concatenate([_unpack_counts(x) for x in group["counts"]])
+        cuts = np.cumsum([0] + [len(x) for x in lists])
+        del lists
         order = np.argsort(hashes, kind="stable")
-        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-        total = np.add.reduceat(counts[order], np.flatnonzero(new))
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        total = np.add.reduceat(counts[order], first)
         back = np.empty(len(hashes), np.int64)
-        back[order] = total[np.cumsum(new) - 1]
-        cuts = np.cumsum([0] + [len(x) for x in lists])
+        back[order] = np.repeat(total, np.diff(np.append(first, len(hashes))))
         return pd.DataFrame(
             {"chunk": group["chunk"].to_numpy(), "bucket": group["bucket"].to_numpy(),
              "data": [_pack_counts(back[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]}
