@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,22 @@ from queuescope.session import ensure_checkpoint_dir
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
 
+#: Bytes that Spark hands to a Python worker at a time while a table is stored.
+BATCH_BYTES = 8_000_000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Smaller Arrow batches than the session's, for steps that keep several copies of a text."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder of the session, so that no lost executor costs a rerun.
 
@@ -31,7 +48,8 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with batches_of(self.spark, BATCH_BYTES):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -123,7 +141,7 @@ def hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int =
         return out
     values = _byte_values(seed)
     base = 0x5851F42D4C957F2D + 2 * seed
-    stretch = 1 << 20
+    stretch = min(1 << 20, max(1, len(data)))
     longest = int((end - begin).max())
     powers = np.cumprod(np.full(stretch + longest, base, np.uint64))
     inverse = np.cumprod(np.full(stretch, pow(base, -1, 2**64), np.uint64))
@@ -153,6 +171,18 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the number of each value's group, and the size of each group."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    group = np.empty(len(values), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
+    return values[new], group, np.diff(np.append(np.flatnonzero(new), len(values)))
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` positions lie in at least one of the spans."""
     steps = np.zeros(n + 1, np.int64)
@@ -192,12 +222,14 @@ def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
 
 def shards(batch: pa.RecordBatch, texts: pa.Array, size: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Consecutive parts of a batch with up to ``size`` bytes of text, at least one row each."""
-    _, starts = text_buffer(texts)
+    starts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(starts, starts[at] + size, "right")) - 1)
         yield batch.slice(at, upto - at), texts.slice(at, upto - at)
         at = upto
+    # Arrow keeps freed memory for later; a task that waits for its next batch should not hold it.
+    pa.default_memory_pool().release_unused()
 
 
 def worker_state() -> dict:

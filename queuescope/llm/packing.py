@@ -16,9 +16,11 @@ from queuescope.llm.common import IS_WORD, Scratch, hash_words, shards, text_buf
 LENGTH = 4096
 END_ID = 2
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 2_000_000
+#: Units that are encoded in one call; the tokenizer's own records of a unit are large.
+ENCODE_UNITS = 1024
 #: Units whose ids a Python worker remembers.
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 400_000
 #: Run totals that one task adds up.
 BLOCK_RUNS = 1024
 #: Runs whose offsets (16 bytes each) are sent to every executor; beyond it they are joined by a shuffle.
@@ -79,13 +81,19 @@ class Units:
         self.begin = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, and the number of ids of each."""
+        flat, size = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(texts), ENCODE_UNITS):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + ENCODE_UNITS], add_special_tokens=False)]
+            size += map(len, ids)
+            flat.append(np.array([i for x in ids for i in x], np.uint32))
+        return np.concatenate(flat), np.array(size, np.int64)
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        new = self.encode(units)
-        size = np.concatenate([np.diff(self.begin), [len(x) for x in new]]).astype(np.int64)
-        flat = np.concatenate([self.flat, np.array([i for x in new for i in x], np.uint32)])
+        new, number = self.encode(units)
+        size = np.concatenate([np.diff(self.begin), number])
+        flat = np.concatenate([self.flat, new])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
         begin = (np.cumsum(size) - size)[order]
@@ -96,8 +104,8 @@ class Units:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids before each text (one more at the end)."""
         if not self.by_unit:
-            each = self.encode([t or "" for t in texts.to_pylist()])
-            return np.array([i for x in each for i in x], np.uint32), np.cumsum([0] + [len(x) for x in each])
+            ids, size = self.encode([t or "" for t in texts.to_pylist()])
+            return ids, np.concatenate(([0], np.cumsum(size)))
         data, starts = text_buffer(texts)
         raw, data = data, _LOWER[data]
         begin, end, before = word_spans(data, starts, IS_WORD, cuts_of(data))
@@ -120,7 +128,7 @@ class Units:
         if odd:
             parts = [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
             for k in odd:
-                parts[k] = np.array(self.encode([texts[k].as_py()])[0], np.uint32)
+                parts[k] = self.encode([texts[k].as_py()])[0]
             ids, upto = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
         return ids, upto
 
@@ -130,8 +138,20 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def id_type(config: str, end_id: int) -> str:
+    """Storage of ids: 16 bits if all ids of the tokenizer fit."""
+    parts = json.loads(config)
+    vocab = parts["model"]["vocab"]
+    largest = max([end_id, len(vocab), *(vocab.values() if isinstance(vocab, dict) else []), *(x["id"] for x in parts["added_tokens"])])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def tokens(docs: DataFrame, config: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document its ids with the end id (little-endian, 32 bits), and its place in the task's run."""
+    """Per document its ids with the end id, and its place in the task's run.
+
+    Ids are little-endian numbers of 16 bits where the vocabulary allows it, else of 32.
+    """
+    kind = id_type(config, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -144,9 +164,9 @@ def tokens(docs: DataFrame, config: str, end_id: int, id_col: str, text_col: str
         for whole in batches:
             for batch, texts in shards(whole, whole.column(1), SHARD_BYTES):
                 ids, upto = units.ids(texts)
-                end = np.array([end_id], "<u4").tobytes()
-                raw = memoryview(ids.astype("<u4").tobytes())
-                packed = [bytes(raw[4 * a : 4 * b]) + end for a, b in zip(upto, upto[1:], strict=False)]
+                end = np.array([end_id], kind).tobytes()
+                raw, width = memoryview(ids.astype(kind).tobytes()), len(end)
+                packed = [bytes(raw[width * a : width * b]) + end for a, b in zip(upto, upto[1:], strict=False)]
                 size = np.diff(upto) + 1
                 start = at + np.cumsum(size) - size
                 at += int(size.sum())
@@ -155,9 +175,9 @@ def tokens(docs: DataFrame, config: str, end_id: int, id_col: str, text_col: str
                     names=["run", "at", "doc_id", "n", "ids"],
                 )
 
-    kind = dict(docs.dtypes)[id_col]
+    id_kind = dict(docs.dtypes)[id_col]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"run long, at long, doc_id {kind}, n long, ids binary")
+    return narrow.mapInArrow(run, f"run long, at long, doc_id {id_kind}, n long, ids binary")
 
 
 def run_offsets(tokens_: DataFrame) -> DataFrame:
@@ -176,8 +196,9 @@ def run_offsets(tokens_: DataFrame) -> DataFrame:
     return inner.join(blocks, "block").select("run", (F.col("before") + F.col("inside")).alias("base"))
 
 
-def pieces(placed: DataFrame, length: int) -> DataFrame:
+def pieces(placed: DataFrame, length: int, stored_type: str) -> DataFrame:
     """Cut each document where a sequence ends. ``placed`` has (doc_id, n, first, ids)."""
+    width = int(stored_type[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +212,10 @@ def pieces(placed: DataFrame, length: int) -> DataFrame:
             start = begin - first[doc]
             ids = batch.column(3)
             raw = [memoryview(x.as_buffer()) for x in ids]
-            parts = [raw[d][4 * a : 4 * (a + s)] for d, a, s in zip(doc, start, size, strict=True)]
+            parts = [
+                np.frombuffer(raw[d][width * a : width * (a + s)], stored_type).astype("<u4").tobytes()
+                for d, a, s in zip(doc, start, size, strict=True)
+            ]
             columns = [start, size, sequence, begin - sequence * length, n[doc]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), *map(pa.array, columns), pa.array(parts, pa.binary())],
@@ -228,4 +252,4 @@ def pack(
     offsets = run_offsets(stored)
     few = offsets.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
     placed = stored.join(F.broadcast(offsets) if few else offsets, "run")
-    return pieces(placed.withColumn("first", F.col("base") + F.col("at")), length)
+    return pieces(placed.withColumn("first", F.col("base") + F.col("at")), length, id_type(config, end_id))
