@@ -189,18 +189,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every linked node, root included: alternating large and small stars.
 
     A round replaces links by links to the smallest neighbour, which keeps components as they are;
-    every step is a minimum per node and an equality join, so a hub's links need not meet in one
-    task. The rounds end when the links no longer change, each component then being one star.
+    every step is a minimum per node and an equality join. The minima are stored, so that the join
+    deals out the links anew and adaptive execution can split those of a hub. The rounds end when the links no longer change, each component then being one star.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = scratch.store(edges.select(low, high).where("a <> b").distinct(), "edges0")
     mark = None
     for k in range(1, 1000):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{k}")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         large = scratch.store(large.where("a <> b").distinct(), f"large{k}")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = scratch.store(large.groupBy("b").agg(F.min("a").alias("m")), f"smallest{k}")
         joined = large.join(least, "b")
         small = joined.select("m", "a").union(joined.select("m", "b")).toDF("a", "b")
         edges = scratch.store(small.where("a <> b").distinct(), f"edges{k}")
