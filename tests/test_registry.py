@@ -16,11 +16,11 @@ TABLES = (
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
-#: Queries that build a plan without a job but for counting rows; the others fit, store or look up bounds.
+#: Queries that fit, store, number sessions or look up bounds; the others only count rows before they run.
 WITH_JOBS = {
     "features_lagged_time", "features_lagged_range", "describe_ranked", "histogram", "histogram_log",
     "baseline_fit", "grid_search", "feature_importance", "scored_results", "batch_score",
-    "stump_results", "stump_metrics", "estimator_comparison", "table_round_trip",
+    "stump_results", "stump_metrics", "estimator_comparison", "table_round_trip", "fold_assignment",
 }
 
 
@@ -60,7 +60,7 @@ def test_building_a_plan_starts_no_job_beyond_counting_rows(spark):
         for name in sorted(of_the_library(QUERIES) - WITH_JOBS):
             before = len(tracker.getJobIdsForGroup("building"))
             QUERIES[name](spark, DATA)
-            # Each reader of the log counts its rows (from the file footers) and looks up file schemas.
+            # Each reader looks up file schemas and counts rows (from the file footers) or rows per key.
             started = len(tracker.getJobIdsForGroup("building")) - before
             assert started <= 8, (name, started)
     finally:
