@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.llm.common import IS_WORD, Scratch, bits_for, chunks, hash_words, mix, open_chunk, text_buffer, window_hashes, word_spans
+from queuescope.llm.common import IS_WORD, Scratch, bits_for, chunks, grouped, hash_words, mix, open_chunk, text_buffer, window_hashes, word_spans
 
 #: Weight of the shorter n-gram where the longer one is unseen.
 BACKOFF = 0.4
@@ -58,14 +58,15 @@ class Grams:
         raw = _LOWER[raw]
         begin, end, self.counts = word_spans(raw, starts, IS_WORD)
         words = hash_words(raw, begin, end)
-        doc = np.repeat(np.arange(len(texts)), np.diff(self.counts))
+        del raw, begin, end
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.counts))
         #: The second word of each pair.
         self.second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         pairs = window_hashes(words, 2)[self.second - 1]
         self.doc = np.concatenate([doc, doc[self.second]])
         self.hashes = np.concatenate([words, pairs])
         self.n_words = len(words)
-        self.distinct, self.gram, self.number = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        self.distinct, self.gram, self.number = grouped(self.hashes)
 
     def parts(self, bucket_bits: int) -> list[tuple[int, slice]]:
         """(bucket, entries) by the first bits of the hash."""
@@ -77,8 +78,7 @@ class Grams:
 
     def others(self, total: np.ndarray) -> np.ndarray:
         """For each word and pair, how often all other documents have it."""
-        key = mix(self.hashes + mix(self.doc.astype(np.uint64) + np.uint64(1)))
-        _, own, number = np.unique(key, return_inverse=True, return_counts=True)
+        _, own, number = grouped(mix(self.hashes + mix(self.doc.astype(np.uint64) + np.uint64(1))))
         return total[self.gram] - number[own]
 
 
