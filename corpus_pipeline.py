@@ -15,7 +15,7 @@ from queuescope.llm.common import Scratch
 
 
 def determined_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a score of at least 0.5; those without letters go."""
+    """Documents whose text has a letter, however low the score of their language."""
     return langid.drop_undetermined(docs, queries.language_network(docs))
 
 

@@ -261,14 +261,14 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     return narrow.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def drop_undetermined(docs: DataFrame, network: Network | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is determined with at least this score, with all columns of ``docs``."""
+def drop_undetermined(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows that ``identify`` does not call ``und``, whatever their score, with all columns of ``docs``."""
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in shards(whole, whole.column(place).cast(pa.string()), SHARD_BYTES):
-                names, score = label(texts, network)
-                yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, score, strict=True)]))
+                names, _ = label(texts, network)
+                yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -84,3 +84,13 @@ def test_odd_rows(spark, network):
     assert langid.identify(docs.limit(0), network).collect() == []
     nothing = langid.train(spark.createDataFrame([(None, "x"), ("en", None), ("en", "12")], "lang string, text string"))
     assert nothing is None and {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_low_scores_stay(spark):
+    network = langid.Network.new(["de", "en", "fr", "nl"])
+    network.out[:] = 0  # no evidence: every language has the same share
+    texts = ["A.", "Re.", "This.", "Von.", "the der und of", None, "", "12 !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in langid.identify(docs, network).collect()}
+    assert all(0 < scores[k] < 0.5 for k in range(5))
+    assert sorted(r.doc_id for r in langid.drop_undetermined(docs, network).collect()) == [0, 1, 2, 3, 4]
