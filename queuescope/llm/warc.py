@@ -322,7 +322,8 @@ def lookup(archive: Archive, queries: DataFrame) -> DataFrame:
                     line = blocks.iloc[b]
                     file.seek(int(line["offset"]))
                     text = gzip.decompress(file.read(int(line["length"]))).decode()
-                    lines = [x.split(" ", 2) for x in text.splitlines()]
+                    # A key may have line separators other than \n, which clean() leaves as they are.
+                    lines = [x.split(" ", 2) for x in text.split("\n")[:-1]]
                     places = [(x[0].encode(), int(x[1])) for x in lines]
                     for key, number in wanted[b]:
                         at = bisect_left(places, (key, -1 if number is None else number))

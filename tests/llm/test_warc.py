@@ -70,3 +70,12 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     scratch = Scratch(spark, "t")
     assert warc.read_pages(warc.write_archive(pages, scratch), scratch).collect() == []
+
+
+def test_urls_with_line_separators(spark):
+    urls = ["http://e.org/a\u0085b", "http://e.org/\u2028", "http://e.org/x\u2029y?\u0085z", "no\u2028url", "http://e.org/plain"]
+    rows = [(k, u, f"<p>{k // 2}") for k, u in enumerate(urls)]
+    scratch = Scratch(spark, "t")
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(archive, scratch).collect()]
+    assert sorted(got, key=str) == plain(rows, 0)
