@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -26,7 +27,7 @@ from queuescope.llm.common import Scratch, numbered
 BLOCK_LINES = 3000
 #: Revisits (16 bytes each) that are sent to every task; beyond it they are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
-#: Index parts whose first keys are sent to every task; beyond it the join with them is left to Spark.
+#: Index parts whose first keys are sent to a task; more parts are searched in several passes over the queries.
 BROADCAST_PARTS = 100_000
 #: Bytes of payload in one batch of read records.
 READ_BYTES = 16_000_000
@@ -281,12 +282,15 @@ def lookup(archive: Archive, queries: DataFrame) -> DataFrame:
     A query goes to the index parts that can have its key by a binary search of the parts' first keys,
     within a part to its blocks by one of the directory, and within a block by one of its lines. Only
     blocks with a query are read. Keys that the archive does not have give no row.
+
+    The driver holds the parts' first keys. A task gets at most ``BROADCAST_PARTS`` of them; the queries
+    are passed once for each so many parts.
     """
-    folder = archive.folder
-    firsts = archive.directory.where("block = 0").select("key", "row", "part").limit(BROADCAST_PARTS + 1).collect()
-    if len(firsts) > BROADCAST_PARTS:
-        raise ValueError(f"more than {BROADCAST_PARTS} index parts: write the index with fewer, larger parts")
+    folder, most = archive.folder, BROADCAST_PARTS
+    firsts = archive.directory.where("block = 0").select("key", "row", "part").collect()
     starts = sorted((r.key.encode(), r.row, r.part) for r in firsts)
+    # Each run of parts ends with the first key of the next one.
+    runs = [starts[at : at + most + 1] for at in range(0, len(starts), most)] or [[]]
 
     def reach(keys: list, key: bytes, row: int | None) -> range:
         """Places of the parts, blocks or lines, by their first (key, row), that may have the query."""
@@ -294,16 +298,20 @@ def lookup(archive: Archive, queries: DataFrame) -> DataFrame:
         high = (key, 1 << 63) if row is None else low
         return range(max(0, bisect_right(keys, low) - 1), bisect_right(keys, high))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [s[:2] for s in starts]
-        for batch in batches:
-            out = [
-                (starts[p][2], key, row)
-                for key, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                if key is not None
-                for p in reach(keys, key.encode(), row)
-            ]
-            yield _batch(out, pa.schema([("part", pa.int64()), ("key", pa.string()), ("row", pa.int64())]))
+    def route(own: list[tuple]):
+        def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = [s[:2] for s in own]
+            for batch in batches:
+                out = [
+                    (own[p][2], key, row)
+                    for key, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                    if key is not None
+                    for p in reach(keys, key.encode(), row)
+                    if p < most
+                ]
+                yield _batch(out, pa.schema([("part", pa.int64()), ("key", pa.string()), ("row", pa.int64())]))
+
+        return to_parts
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         system, path = _files(folder)
@@ -334,7 +342,7 @@ def lookup(archive: Archive, queries: DataFrame) -> DataFrame:
         return frame.astype({"row": "int64", "id": "Int64", "offset": "int64", "length": "int64"})
 
     asked = queries.select(F.col("key").cast("string"), F.col("row").cast("long")).distinct()
-    asked = asked.mapInArrow(route, "part long, key string, row long")
+    asked = reduce(DataFrame.union, [asked.mapInArrow(route(own), "part long, key string, row long") for own in runs])
     # A number that is missing is -1, since pandas would turn a column with NULLs into floats.
     nothing = [F.lit(v).cast(t) for v, t in ((-1, "long"), (None, "string"), (-1, "long"), (-1, "long"))]
     blocks = archive.directory.select("part", "key", "row", "block", "file", "offset", "length")

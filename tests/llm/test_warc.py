@@ -79,3 +79,22 @@ def test_urls_with_line_separators(spark):
     archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(archive, scratch).collect()]
     assert sorted(got, key=str) == plain(rows, 0)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_more_parts_than_a_task_gets(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_PARTS", most)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    rows = [(k, "http://hot.org/" if k % 3 else f"http://h{k}.org/", f"<p>{k % 50}") for k in range(120)]
+    scratch, name = Scratch(spark, "t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
+    finally:
+        spark.conf.set(name, old)
+    assert archive.directory.where("block = 0").count() > 3
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(archive, scratch).collect()]
+    assert sorted(got, key=str) == plain(rows, 0)
+    asked = spark.createDataFrame([("org,hot)/", None), ("org,h0)/", None), ("a", None), ("z", 1)], "key string, row long")
+    assert warc.lookup(archive, asked).count() == 81
