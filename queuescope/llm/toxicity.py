@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from queuescope.llm.common import mix
 
 #: Labelled rows the lexicon is learned from: at most so many of either label, chosen by hash, and so
-#: many characters of each.
+#: many characters for each of them on average. Texts are whole; one that does not fit any more is left out.
 SAMPLE_TOXIC = 1500
 SAMPLE_CLEAN = 3000
 SAMPLE_CHARS = 20_000
@@ -216,9 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = marks.where(F.col("toxic_") == toxic).select("id_")
         # At most ``most`` ids, so the broadcast is bounded.
         ids = own.orderBy(F.xxhash64("id_"), "id_").limit(most)
-        text = F.col(text_col).substr(F.lit(1), F.lit(SAMPLE_CHARS)).alias("text_")
-        few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id_"), "left_semi").select(text)
-        rows += [(r.text_ or "", toxic) for r in few.limit(2 * most).collect()]
+        text = F.coalesce(F.col(text_col), F.lit("")).alias("text_")
+        few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id_")).select("id_", text)
+        sizes = few.groupBy("id_").agg(F.sum(F.length("text_")).alias("chars"), F.count(F.lit(1)).alias("n"))
+        chosen, chars, n = [], 0, 0
+        for r in sizes.orderBy(F.xxhash64("id_"), "id_").collect():
+            if chars + r.chars <= most * SAMPLE_CHARS and n + r.n <= 2 * most:
+                chosen, chars, n = [*chosen, (r.id_,)], chars + r.chars, n + r.n
+        if chosen:
+            ids = docs.sparkSession.createDataFrame(chosen, f"id_ {dict(marks.dtypes)['id_']}")
+            few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id_")).select(text)
+            rows += [(r.text_, toxic) for r in few.collect()]
     rows.sort()
     return learn([t for t, _ in rows], [t for _, t in rows])
 

@@ -79,3 +79,13 @@ def test_odd_rows(spark):
         rows = toxicity.score(docs, lexicon).collect()
         assert len(rows) == 5 and all(0 <= r.score < 0.01 and r.hits == 0 for r in rows)
         assert toxicity.score(docs.limit(0), lexicon).collect() == []
+
+
+def test_learns_from_whole_texts(spark, monkeypatch):
+    start = "alpha beta gamma " * 1500
+    rows = [(k, start + " ".join(f"{'zorg' if k % 2 else 'fine'} w{k}x{j}" for j in range(10))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert " zorg " in toxicity.train(docs, labels).entries
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1)
+    assert toxicity.train(docs, labels).entries == {}
