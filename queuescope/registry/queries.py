@@ -35,7 +35,8 @@ from queuescope.sources.profiles import parse_profiles
 
 LAGS = vocab.DEFAULT_LAGS
 TEST_SESSIONS = [5, 6, 7]
-#: A grid that touches every parameter of the operator's own grid with few fits.
+#: A small grid with few fits: depth and features vary, trees and leaf size have one value each. The
+#: SQL twin of ``grid_search`` names these settings.
 SMALL_GRID = {
     "numTrees": [3], "maxDepth": [5, 8], "minInstancesPerNode": [20], "featureSubsetStrategy": ["sqrt", "all"],
 }
