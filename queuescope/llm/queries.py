@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, langid, lm, packing, simhash, substring, tokencount, toxicity, warc
+from queuescope.llm import decontam, exact, fracsketch, langid, lm, packing, simhash, substring, tokencount, toxicity, warc
 from queuescope.llm.common import Scratch, crc_mod
 
 
@@ -95,6 +95,18 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_components(_table(spark, folder, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fracsketch.fingerprints(_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fracsketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fracsketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 ORACLES = {
     "op4_lm_scores": r"""
         WITH w AS MATERIALIZED (
@@ -205,6 +217,33 @@ ORACLES = {
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM m
     """,
+    "op11_document_fingerprints": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+        o AS (SELECT doc_id, text, n, row_number() OVER w AS k,
+                     coalesce(lead(text) OVER w, first_value(text) OVER w) AS after
+              FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+        e AS (SELECT *, substr(text, 1, n - n // 2) || substr(after, 1, n // 2) AS edited FROM o),
+        texts AS (SELECT DISTINCT unnest([text, edited, after]) AS t FROM e),
+        words AS (SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+        hashes AS MATERIALIZED (
+            SELECT t, list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1),
+                                     lambda i: md5(array_to_string(list_slice(w, i, i + 4), ' '))) AS h FROM words),
+        low AS (SELECT t, h, list_filter(h, lambda x: x < '20000000') AS x FROM hashes),
+        s AS MATERIALIZED (
+            SELECT t, list_sort(list_distinct(list_transform(
+                       CASE WHEN len(x) > 0 THEN x WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END,
+                       lambda y: substr(y, 1, 16)))) AS s
+            FROM low)
+        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+               array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
+               CASE WHEN least(len(a.s), len(b.s)) > 0
+                    THEN len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s))
+                    ELSE CAST(len(a.s) = len(b.s) AS DOUBLE) END AS near_edited,
+               CASE WHEN least(len(a.s), len(c.s)) > 0
+                    THEN len(list_intersect(a.s, c.s)) / least(len(a.s), len(c.s))
+                    ELSE CAST(len(a.s) = len(c.s) AS DOUBLE) END AS near_next
+        FROM e JOIN s a ON a.t = text JOIN s b ON b.t = edited JOIN s c ON c.t = after
+    """,
 }
 
 QUERIES = [
@@ -218,4 +257,5 @@ QUERIES = [
     op8_exact_dedup,
     op9_warc,
     op10_simhash_near_dedup,
+    op11_document_fingerprints,
 ]
