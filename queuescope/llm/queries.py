@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, fracsketch, langid, lm, packing, simhash, substring, tokencount, toxicity, warc
+from queuescope.llm import decontam, exact, fracsketch, langid, lm, merkle, packing, simhash, substring, tokencount, toxicity, warc
 from queuescope.llm.common import Scratch, crc_mod
 
 
@@ -107,6 +107,26 @@ def op11_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(_table(spark, folder, "documents"))
+
+
+def document_manifest(docs: DataFrame) -> DataFrame:
+    """Proof of each document, and whether the row as it is found (some are tampered with) still gives the root."""
+    found = merkle.manifest(merkle.document_leaves(docs), Scratch(docs.sparkSession, "merkle"))
+    found = merkle.fold(found.withColumn("claim", F.coalesce("tampered", "leaf")), "claim", "folded")
+    text = lambda c: F.lower(F.hex(c))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        F.sha2(text("path"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 ORACLES = {
     "op4_lm_scores": r"""
         WITH w AS MATERIALIZED (
@@ -244,6 +264,61 @@ ORACLES = {
                     ELSE CAST(len(a.s) = len(c.s) AS DOUBLE) END AS near_next
         FROM e JOIN s a ON a.t = text JOIN s b ON b.t = edited JOIN s c ON c.t = after
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, lang, n_chars, row_number() OVER () AS r,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                       || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   -- CRC-32 of the decimal doc_id, byte by byte and bit by bit.
+                   xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+            FROM documents),
+        hashed AS (
+            SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+                        THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS bad
+            FROM texts),
+        leaves AS MATERIALIZED (
+            SELECT *, coalesce('1' || lang, '0') AS tree, count(*) OVER (PARTITION BY lang) AS n,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k
+            FROM hashed),
+        up AS (
+            SELECT tree, 0 AS level, k, n, leaf AS node FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, k // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY k))
+            FROM up WHERE n > 1 GROUP BY tree, level, k // 2),
+        subroots AS MATERIALIZED (
+            SELECT tree, level AS height, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS k, count(*) OVER () AS n
+            FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, k, n, subroot AS node FROM subroots
+            UNION ALL
+            SELECT level + 1, k // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY k))
+            FROM top WHERE n > 1 GROUP BY level, k // 2),
+        below AS (
+            SELECT r, g.level AS step, (l.k >> g.level) % 2 = 1 AS is_right, u.node AS other
+            FROM leaves l JOIN subroots USING (tree), unnest(range(height)) AS g(level)
+            LEFT JOIN up u ON u.tree = l.tree AND u.level = g.level AND u.k = xor(l.k >> g.level, 1)),
+        above AS (
+            SELECT r, height + g.level AS step, (s.k >> g.level) % 2 = 1 AS is_right, t.node AS other
+            FROM leaves l JOIN subroots s USING (tree), unnest(range((SELECT max(level) FROM top))) AS g(level)
+            LEFT JOIN top t ON t.level = g.level AND t.k = xor(s.k >> g.level, 1)),
+        path AS MATERIALIZED (SELECT * FROM below UNION ALL SELECT * FROM above),
+        folded AS (
+            SELECT r, 0 AS step, coalesce(bad, leaf) AS node FROM leaves
+            UNION ALL
+            SELECT f.r, f.step + 1, CASE WHEN is_right THEN sha256(other || f.node) ELSE sha256(f.node || coalesce(other, '')) END
+            FROM folded f JOIN path p ON p.r = f.r AND p.step = f.step),
+        proof AS (SELECT r, coalesce(string_agg(other, '' ORDER BY step), '') AS text FROM path GROUP BY r),
+        root AS (SELECT node AS root FROM top WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof.text, '')) AS proof_sha256, f.node AS folded_root,
+               f.node = root AS verified
+        FROM leaves l JOIN subroots s USING (tree) CROSS JOIN root LEFT JOIN proof USING (r)
+        JOIN (SELECT r, arg_max(node, step) AS node FROM folded GROUP BY r) f USING (r)
+    """,
 }
 
 QUERIES = [
@@ -258,4 +333,5 @@ QUERIES = [
     op9_warc,
     op10_simhash_near_dedup,
     op11_document_fingerprints,
+    op12_merkle_manifest,
 ]
