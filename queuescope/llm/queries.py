@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.llm import decontam, exact, fracsketch, langid, lm, merkle, packing, simhash, substring, tokencount, toxicity, warc
+from queuescope.llm import decontam, exact, fracsketch, langid, lm, merkle, negatives, packing, simhash, substring, tokencount, toxicity, warc
 from queuescope.llm.common import Scratch, crc_mod
 
 
@@ -127,6 +127,16 @@ def document_manifest(docs: DataFrame) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return mined_negatives(_table(spark, folder, "embeddings"))
+
+
+def mined_negatives(rows: DataFrame) -> DataFrame:
+    """Every seventh vector has its label moved on by one first; every hundredth is an anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 ORACLES = {
     "op4_lm_scores": r"""
         WITH w AS MATERIALIZED (
@@ -319,6 +329,26 @@ ORACLES = {
         FROM leaves l JOIN subroots s USING (tree) CROSS JOIN root LEFT JOIN proof USING (r)
         JOIN (SELECT r, arg_max(node, step) AS node FROM folded GROUP BY r) f USING (r)
     """,
+    "op13_hard_negatives": r"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same,
+                   CAST(list_inner_product(CAST(a.x AS DOUBLE[]), CAST(o.x AS DOUBLE[])) AS BIGINT) AS score
+            FROM v a, v o WHERE a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+               s.other AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }
 
 QUERIES = [
@@ -334,4 +364,5 @@ QUERIES = [
     op10_simhash_near_dedup,
     op11_document_fingerprints,
     op12_merkle_manifest,
+    op13_hard_negatives,
 ]
