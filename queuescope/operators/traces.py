@@ -20,7 +20,7 @@ def is_gpu_outcome() -> Column:
     )
 
 
-def _trace_attributes() -> dict[str, Column]:
+def trace_attributes() -> dict[str, Column]:
     """Aggregates over the records of one trace."""
     order = ["ts_ns", "seq"]
     return {
@@ -39,7 +39,7 @@ def trace_table(events: DataFrame) -> DataFrame:
 
     A partial aggregate: a trace with very many records is reduced before the shuffle.
     """
-    attributes = _trace_attributes()
+    attributes = trace_attributes()
     return (
         events.filter("tid is not null")
         .groupBy(*TRACE)
@@ -54,7 +54,7 @@ def tag_traces(events: DataFrame, plan: ScanPlan) -> DataFrame:
     partition, without a further exchange. Otherwise the small trace table is joined back, and
     adaptive execution splits a hot trace.
     """
-    attributes = _trace_attributes()
+    attributes = trace_attributes()
     if plan.is_whole:
         window = Window.partitionBy(*TRACE)
         tagged = events.withColumns({name: a.over(window) for name, a in attributes.items()})

@@ -521,6 +521,10 @@ ORACLES: dict[str, str] = {
     "target_queue": sql("tgt", """
         select session_id, tid, fqdn, len as target_queue_len, status as target_queue_status
         from tgt"""),
+    "stream_replay": sql("hist", "select session_id, queue, ts_ns, seq, change, len, status, delta from hist"),
+    "stream_target_queue": sql("tgt", """
+        select session_id, tid, fqdn, len as target_queue_len, status as target_queue_status
+        from tgt"""),
     "others_queue": sql("feat", """
         select session_id, tid, target_queue_len, others_len_queue from feat"""),
     "lag_target": sql(_LAGGED, f"""

@@ -32,6 +32,9 @@ from queuescope.session import cut_lineage, ensure_checkpoint_dir
 from queuescope.sources import logs as L
 from queuescope.sources import tables as Tab
 from queuescope.sources.profiles import parse_profiles
+from queuescope.streaming.jobs import ReplayJob
+from queuescope.streaming.replay import REPLAYED, at_arrivals, history
+from queuescope.streaming.traces import end_of_log
 
 LAGS = vocab.DEFAULT_LAGS
 TEST_SESSIONS = [5, 6, 7]
@@ -326,6 +329,36 @@ def target_queue(spark, sf_dir):
     )
 
 
+def _streamed(spark, sf_dir) -> DataFrame:
+    """The log as files that a stream takes in one after the other, replayed to its end.
+
+    Records of the test log may lie far from the others of their trace, so they may come as late as
+    the log is long.
+    """
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    events, _ = _log(spark, sf_dir)
+    span = X.raw_events(spark, sf_dir).agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last")).first()
+    if span.last is None:
+        return spark.createDataFrame([], REPLAYED)
+    length = span.last - span.first
+    delay = f"{length // 1_000_000_000 + 1} seconds"
+    files = posixpath.join(out, "events")
+    events.repartitionByRange(4, "ts_ns").write.parquet(files)
+    end_of_log(events, span.last, length, 2 * length).write.mode("append").parquet(files)
+    return ReplayJob(spark, files, events.schema, out, delay, delay, delay, files=2).run()
+
+
+def stream_replay(spark, sf_dir):
+    return history(_streamed(spark, sf_dir))
+
+
+def stream_target_queue(spark, sf_dir):
+    return at_arrivals(_streamed(spark, sf_dir)).select(
+        "session_id", "tid", F.col("queue").alias("fqdn"),
+        F.col("len").alias("target_queue_len"), F.col("status").alias("target_queue_status"),
+    )
+
+
 def others_queue(spark, sf_dir):
     return _features(spark, sf_dir, profile=False).select(
         "session_id", "tid", "target_queue_len", "others_len_queue"
@@ -657,4 +690,5 @@ QUERIES = [
     random_split, session_split, model_metrics, session_sequences,
     fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
+    stream_replay, stream_target_queue,
 ]
