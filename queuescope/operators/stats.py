@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queuescope.operators import sketches
 from queuescope.operators.scan import RunningSum, ScanPlan
 from queuescope.session import cut_lineage
 
@@ -48,14 +49,20 @@ def quantiles(
     value: str,
     probabilities: Sequence[float],
     plan: ScanPlan | None = None,
+    error: float | None = None,
 ) -> DataFrame:
-    """Exact quantiles per key with linear interpolation, as array ``quantiles``, and count ``n``.
+    """Quantiles per key as array ``quantiles``, and count ``n``.
+
+    Exact, with linear interpolation, unless ``error`` says how far a rank may be off as a share of
+    the group's rows; then they are values of the group, found by sketches of bounded size.
 
     ``percentile`` holds all distinct values of a group in one task, so it serves small groups
     only. Otherwise equal values are counted first and the counts are stored; all else comes from
     them: running counts over the sorted distinct values give ranks, and the values at the wanted
     ranks are picked by an aggregate.
     """
+    if error is not None:
+        return sketches.sketch_quantiles(sketches.quantile_sketches(df, keys, value, error), keys, probabilities)
     known = _known(df, keys, value)
     plan = plan or ScanPlan.measure(known, keys)
     if plan.is_whole:
@@ -115,11 +122,18 @@ def _interpolated(probabilities: Sequence[float]) -> Column:
     return F.array(*out)
 
 
-def describe(df: DataFrame, value: str, plan: ScanPlan | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum; one row from one aggregate."""
+def describe(
+    df: DataFrame, value: str, plan: ScanPlan | None = None, error: float | None = None
+) -> DataFrame:
+    """Count, mean, sample deviation, minimum, quartiles and maximum; one row from one aggregate.
+
+    With ``error`` the quartiles come from a sketch whose ranks may be off by that share of the rows.
+    """
+    ends = [F.min("__value").alias("min"), F.max("__value").alias("max")]
+    if error is not None:
+        return _sketched(sketches.numbers(df, [], value), ends, error)
     known = _known(df, [], value)
     plan = plan or ScanPlan.measure(known)
-    ends = [F.min("__value").alias("min"), F.max("__value").alias("max")]
     if plan.is_whole:
         row = known.agg(
             F.count(F.lit(1)).alias("count"),
@@ -139,6 +153,21 @@ def describe(df: DataFrame, value: str, plan: ScanPlan | None = None) -> DataFra
     return row.select("count", "mean", "std", "min", *quarters, "max")
 
 
+def _sketched(known: DataFrame, ends: Sequence[Column], error: float) -> DataFrame:
+    row = known.agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg("__value").alias("mean"),
+        F.stddev_samp("__value").alias("std"),
+        *ends,
+        sketches.sketch_of(F.col("__value"), error).alias("__sketch"),
+    )
+    quarters = [
+        F.when(F.col("count") > 0, sketches.estimate(F.col("__sketch"), p, F.col("min"), F.col("max"))).alias(c)
+        for p, c in zip(QUARTILES, ["q25", "q50", "q75"], strict=True)
+    ]
+    return row.select("count", "mean", "std", "min", *quarters, "max")
+
+
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin includes its upper edge.
 
@@ -178,11 +207,19 @@ def bin_number(value: Column, lo: float, width: float, bins: int) -> Column:
 
 
 def box_summary(
-    df: DataFrame, keys: Sequence[str], value: str, plan: ScanPlan | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    plan: ScanPlan | None = None,
+    error: float | None = None,
 ) -> DataFrame:
-    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier count per key."""
+    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier count per key.
+
+    With ``error`` the quartiles are those of a sketch (see ``quantiles``); whiskers and outliers are
+    exact for these quartiles.
+    """
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__x"))
-    quarters = quantiles(known, keys, "__x", QUARTILES, plan).select(
+    quarters = quantiles(known, keys, "__x", QUARTILES, plan, error).select(
         *keys, "n", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(["q25", "q50", "q75"])]
     )
     reach = (F.col("q75") - F.col("q25")) * F.lit(WHISKER)
@@ -224,7 +261,7 @@ def correlation(
 def session_series(
     df: DataFrame, session: int, columns: Sequence[str], time: str, seq: str
 ) -> DataFrame:
-    """Chosen columns of one session in time order."""
+    """Chosen columns of one session in time order; ``sketches.reduced_series`` thins a long one out."""
     return df.filter(F.col("session_id") == session).select(*columns).orderBy(time, seq)
 
 

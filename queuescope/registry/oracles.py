@@ -570,6 +570,32 @@ ORACLES: dict[str, str] = {
         from (select avg(e2etime) as m from done group by session_id)"""),
     "describe": sql("done", _describe("done", "e2etime", 6)),
     "describe_prices": _describe("lineitem", "l_extendedprice", 4),
+    "describe_sketched": """
+        select count(l_extendedprice) as "count", round(avg(l_extendedprice), 4) as mean,
+               round(stddev_samp(l_extendedprice), 4) as std, round(min(l_extendedprice), 4) as "min",
+               round(max(l_extendedprice), 4) as "max", true as ranks_within
+        from lineitem""",
+    "box_sketched": sql("done", """
+        select fqdn, count(*) as n, true as ranks_within, true as outliers_agree, true as whiskers_agree
+        from done where e2etime is not null group by fqdn"""),
+    "quantiles_merged": sql("done", """
+        select fqdn, count(*) as n, min(e2etime) as least, max(e2etime) as most, true as ranks_within
+        from done where e2etime is not null group by fqdn"""),
+    "series_reduced": sql("feat", """
+        , known as (select session_id, invocation_ts_ns, seq, tid, e2etime,
+                           min(invocation_ts_ns) over s as first, max(invocation_ts_ns) over s as last
+                    from feat where e2etime is not null window s as (partition by session_id)),
+        parts as (select *, (invocation_ts_ns - first)::hugeint * 10 // (last - first + 1) as part from known),
+        placed as (select *,
+                          row_number() over (partition by session_id, part order by invocation_ts_ns, seq) as a,
+                          row_number() over (partition by session_id, part order by invocation_ts_ns desc, seq desc) as b,
+                          row_number() over (partition by session_id, part order by e2etime, invocation_ts_ns, seq) as c,
+                          row_number() over (partition by session_id, part order by e2etime desc, invocation_ts_ns, seq) as d
+                   from parts)
+        select session_id, invocation_ts_ns, seq, tid, e2etime from placed where 1 in (a, b, c, d)"""),
+    "scatter_sample": sql("feat", """
+        select session_id, tid, others_len_queue, e2etime from feat
+        qualify row_number() over (partition by session_id order by md5('=' || session_id || ',=' || tid)) <= 25"""),
     "histogram": sql("done", _histogram("done", "e2etime", 20)),
     "histogram_log": sql(
         "done",

@@ -17,6 +17,7 @@ from queuescope.operators import arrivals as A
 from queuescope.operators import errors as E
 from queuescope.operators import model as M
 from queuescope.operators import queues as Q
+from queuescope.operators import sketches as K
 from queuescope.operators import stats as S
 from queuescope.operators import traces as T
 from queuescope.operators.asof import asof_lookup
@@ -490,6 +491,54 @@ def describe_prices(spark, sf_dir):
     return rounded(S.describe(X.table(spark, sf_dir, "lineitem"), "l_extendedprice"), 4)
 
 
+#: Share of the rows that a sketched rank may be off.
+RANK_ERROR = 0.01
+_PROBABILITIES = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+
+
+def _all_within(gaps):
+    return F.forall(gaps, lambda g: g <= RANK_ERROR)
+
+
+def describe_sketched(spark, sf_dir):
+    """The exact columns, and whether the rank of each sketched quartile is within the error."""
+    items = X.table(spark, sf_dir, "lineitem").select("l_extendedprice", F.lit(0).alias("all"))
+    row = S.describe(items, "l_extendedprice", error=RANK_ERROR)
+    quartiles = row.select(F.lit(0).alias("all"), F.array("q25", "q50", "q75").alias("quantiles"))
+    gaps = K.rank_gaps(items, ["all"], "l_extendedprice", quartiles, S.QUARTILES)
+    known = row.withColumn("all", F.lit(0)).join(gaps, "all")
+    return rounded(known.select("count", "mean", "std", "min", "max", _all_within("gaps").alias("ranks_within")), 4)
+
+
+def box_sketched(spark, sf_dir):
+    """Boxes from sketches: their quartiles' ranks, and whiskers and outliers against the quartiles."""
+    done = _outcomes(spark, sf_dir)
+    boxes = S.box_summary(done, ["fqdn"], "e2etime", error=RANK_ERROR)
+    quartiles = boxes.select("fqdn", F.array("q25", "q50", "q75").alias("quantiles"))
+    gaps = K.rank_gaps(done, ["fqdn"], "e2etime", quartiles, S.QUARTILES)
+    reach = (F.col("q75") - F.col("q25")) * S.WHISKER
+    low, high = F.col("e2etime") < F.col("q25") - reach, F.col("e2etime") > F.col("q75") + reach
+    inside = F.when(~(low | high), F.col("e2etime"))
+    again = done.filter("e2etime is not null").join(boxes, "fqdn").groupBy("fqdn").agg(
+        (F.sum((low | high).cast("int")) == F.max("outliers")).alias("outliers_agree"),
+        ((F.min(inside) == F.max("whisker_low")) & (F.max(inside) == F.max("whisker_high"))).alias("whiskers_agree"),
+    )
+    return boxes.join(gaps, "fqdn").join(again, "fqdn").select(
+        "fqdn", "n", _all_within("gaps").alias("ranks_within"), "outliers_agree", "whiskers_agree"
+    )
+
+
+def quantiles_merged(spark, sf_dir):
+    """Quantiles of each function from the stored sketches of its sessions, without a second pass over the rows."""
+    done = _outcomes(spark, sf_dir)
+    fine = cut_lineage(K.quantile_sketches(done, ["session_id", "fqdn"], "e2etime", RANK_ERROR))
+    merged = K.merge_sketches(fine, ["fqdn"])
+    found = K.sketch_quantiles(merged, ["fqdn"], _PROBABILITIES)
+    gaps = K.rank_gaps(done, ["fqdn"], "e2etime", found.drop("n"), _PROBABILITIES)
+    ends = merged.select("fqdn", "n", F.col("min").alias("least"), F.col("max").alias("most"))
+    return ends.join(gaps, "fqdn").select("fqdn", "n", "least", "most", _all_within("gaps").alias("ranks_within"))
+
+
 def histogram(spark, sf_dir):
     return rounded(S.histogram(_outcomes(spark, sf_dir), "e2etime", 20))
 
@@ -539,6 +588,20 @@ def session_series(spark, sf_dir):
     return S.session_series(features, 0, columns, "invocation_ts_ns", "seq")
 
 
+def series_reduced(spark, sf_dir):
+    """Each session's line of latencies, drawn by at most 40 points."""
+    features = _features(spark, sf_dir, profile=False)
+    rows = features.select("session_id", "invocation_ts_ns", "seq", "tid", "e2etime")
+    return K.reduced_series(rows, "e2etime", 40, time="invocation_ts_ns")
+
+
+def scatter_sample(spark, sf_dir):
+    """At most 25 points (length of the other queues, latency) of each session."""
+    features = _features(spark, sf_dir, profile=False)
+    rows = features.select("session_id", "tid", "others_len_queue", "e2etime")
+    return K.sampled_points(rows, 25, ["session_id", "tid"])
+
+
 def union_sessions(spark, sf_dir):
     errors = current_estimate_errors(spark, sf_dir).select("session_id", "tid", "gpu_est_total")
     outcomes = _outcomes(spark, sf_dir).select("session_id", "tid", "e2etime")
@@ -691,4 +754,5 @@ QUERIES = [
     fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
     stream_replay, stream_target_queue,
+    describe_sketched, box_sketched, quantiles_merged, series_reduced, scatter_sample,
 ]

@@ -21,7 +21,7 @@ WITH_JOBS = {
     "features_lagged_time", "features_lagged_range", "describe_ranked", "histogram", "histogram_log",
     "baseline_fit", "grid_search", "feature_importance", "scored_results", "batch_score",
     "stump_results", "stump_metrics", "estimator_comparison", "table_round_trip", "fold_assignment",
-    "stream_replay", "stream_target_queue",
+    "stream_replay", "stream_target_queue", "quantiles_merged",
 }
 
 
