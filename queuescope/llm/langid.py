@@ -218,6 +218,10 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", p
     return network
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 def label(texts: pa.Array, network: Network | None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text.
 
@@ -234,7 +238,7 @@ def label(texts: pa.Array, network: Network | None) -> tuple[list[str], np.ndarr
     share = np.exp(total)
     share /= share.sum(axis=1, keepdims=True)
     best = share.argmax(axis=1)
-    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    letters = has_letter(texts)
     names = [network.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
     return names, np.where(letters, share.max(axis=1), 0.0)
 
@@ -262,13 +266,19 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
 
 def drop_undetermined(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """The rows that ``identify`` does not call ``und``, whatever their score, with all columns of ``docs``."""
+    """The rows that ``identify`` does not call ``und``, whatever their score, with all columns of ``docs``.
+
+    Without a network no language can be told, and the rows whose text has a letter stay.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in shards(whole, whole.column(place).cast(pa.string()), SHARD_BYTES):
-                names, _ = label(texts, network)
-                yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+                stays = has_letter(texts)
+                if network is not None:
+                    names, _ = label(texts, network)
+                    stays &= np.array([n != UNDETERMINED for n in names], bool)
+                yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

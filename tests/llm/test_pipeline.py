@@ -95,3 +95,15 @@ def test_stages_keep_the_columns_and_take_odd_tables(spark, folder):
         number = kept.count()
         assert number == (5 if name in ("language_id", "benchmark_decontamination") else 3), name
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, folder).collect() == []
+
+
+def test_corpus_without_a_language(spark, tmp_path):
+    """Only texts without a letter go in the first stage, although no language can be learned."""
+    texts = ["one clean text here", "ein anderer sauberer Text", "日本", "A.", "123 456", "", None, "one  clean text here"]
+    rows = [(k, t, None, "s", None) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "another thing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    name, first = corpus_pipeline.STAGES[0]
+    assert sorted(r.doc_id for r in first(spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 3, 7]
+    assert sorted({p.doc_id for p in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == [1, 2, 3, 7]
