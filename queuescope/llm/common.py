@@ -9,6 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,31 +131,129 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+#: Longest word that is hashed together with others; longer ones are hashed one by one.
+SHORT_WORD = 64
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _part(eights: np.ndarray, begin: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """Eight bytes of each word from its ``8 * k``-th on, zeros behind its end."""
+    return eights[begin + 8 * k] & _FIRST_BYTES[np.minimum(length - 8 * k, 8)]
+
+
+#: Words of up to so many bytes have the same hash only if they are the same.
+SURE_WORD = 7
+
+
 def hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands.
+    """A 64-bit hash of each word, the same wherever the word stands; no word is empty.
 
-    The bytes of a word are the digits of a polynomial; a running sum over a stretch of text gives
-    all words of the stretch, and the inverse power moves each to the origin.
+    Words of up to ``SURE_WORD`` bytes and their lengths are turned into a hash reversibly. Longer ones
+    are mixed in parts of eight bytes, each part after the parts before it have been mixed; words over
+    ``SHORT_WORD`` bytes get their XXH3. Hashes of another ``seed`` are independent.
     """
-    out = np.empty(len(begin), np.uint64)
-    if not len(begin):
-        return out
-    values = _byte_values(seed)
-    base = 0x5851F42D4C957F2D + 2 * seed
-    stretch = min(1 << 20, max(1, len(data)))
-    longest = int((end - begin).max())
-    powers = np.cumprod(np.full(stretch + longest, base, np.uint64))
-    inverse = np.cumprod(np.full(stretch, pow(base, -1, 2**64), np.uint64))
-    at = 0
-    while at < len(begin):
-        upto = max(at + 1, int(np.searchsorted(begin, begin[at] + stretch)))
-        origin, stop = int(begin[at]), int(end[upto - 1])
-        sums = np.zeros(stop - origin + 1, np.uint64)
-        np.cumsum(values[data[origin:stop]] * powers[: stop - origin], out=sums[1:])
-        b = begin[at:upto] - origin
-        out[at:upto] = (sums[end[at:upto] - origin] - sums[b]) * inverse[b]
-        at = upto
-    return mix(out + (end - begin).astype(np.uint64))
+    length, eights = end - begin, _eights(data)
+    start = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    head = length.astype(np.uint64) << np.uint64(56)
+    sure = length <= SURE_WORD
+    out = mix((_part(eights, begin, length, 0) * sure | head) ^ start)
+    now, k = np.flatnonzero(~sure & (length <= SHORT_WORD)), 0
+    while len(now):
+        out[now] = mix(out[now] ^ _part(eights, begin[now], length[now], k))
+        k += 1
+        now = now[length[now] > 8 * k]
+    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def same_words(
+    data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_begin: np.ndarray, other_end: np.ndarray
+) -> np.ndarray:
+    """Whether each word is the other word beside it; the two have the same hash."""
+    length = end - begin
+    out = length == other_end - other_begin
+    ours, theirs = _eights(data), _eights(other)
+    now, k = np.flatnonzero(out & (length > SURE_WORD) & (length <= SHORT_WORD)), 0
+    while len(now):
+        same = _part(ours, begin[now], length[now], k) == _part(theirs, other_begin[now], length[now], k)
+        out[now[~same]] = False
+        k += 1
+        now = now[same & (length[now] > 8 * k)]
+    for i in np.flatnonzero(out & (length > SHORT_WORD)).tolist():
+        out[i] = np.array_equal(data[begin[i] : end[i]], other[other_begin[i] : other_end[i]])
+    return out
+
+
+def distinct_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and one place of each distinct word, and the number of every word's distinct word.
+
+    Words are compared by their bytes, so distinct words may share a hash; hashes rise but for those.
+    """
+    hashes, first, of = np.unique(hash_words(data, begin, end), return_index=True, return_inverse=True)
+    first_of = first[of]
+    wrong = np.flatnonzero(~same_words(data, begin, end, data, begin[first_of], end[first_of]))
+    if len(wrong):  # another word of the same hash
+        known: dict[bytes, int] = {}
+        places = []
+        for i in wrong.tolist():
+            word = data[begin[i] : end[i]].tobytes()
+            if word not in known:
+                known[word] = len(first) + len(known)
+                places.append((hashes[of[i]], i))
+            of[i] = known[word]
+        hashes = np.concatenate([hashes, np.array([h for h, _ in places], np.uint64)])
+        first = np.concatenate([first, [i for _, i in places]])
+    return hashes, first, of
+
+
+class KnownWords:
+    """Words that a worker has seen, numbered in the order of their first sight; compared by bytes."""
+
+    def __init__(self) -> None:
+        #: Hashes, sorted, and the number of the word behind each; a hash stands for one word.
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: Word k is data[begin[k]:begin[k + 1]].
+        self.data, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def numbers(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each distinct word, and those that were new, in the order of their numbers.
+
+        A word whose hash stands for another word is new each time.
+        """
+        out = np.full(len(keys), -1)
+        taken = np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            taken = self.keys[at] == keys
+            hit = np.flatnonzero(taken)
+            known = self.number[at[hit]]
+            same = same_words(data, begin[hit], end[hit], self.data, self.begin[known], self.begin[known + 1])
+            out[hit[same]] = known[same]
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out, []
+        new = [data[b:e].tobytes() for b, e in zip(begin[missing].tolist(), end[missing].tolist(), strict=True)]
+        out[missing] = len(self) + np.arange(len(new))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(end[missing] - begin[missing])])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(new), np.uint8)])
+        free = missing[~taken[missing]]
+        free = free[np.unique(keys[free], return_index=True)[1]]
+        self.keys, self.number = np.concatenate([self.keys, keys[free]]), np.concatenate([self.number, out[free]])
+        order = np.argsort(self.keys)
+        self.keys, self.number = self.keys[order], self.number[order]
+        return out, new
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queuescope.llm.common import Scratch, byte_table, covered, hash_words, runs, shards, text_buffer, word_spans
+from queuescope.llm.common import Scratch, byte_table, covered, distinct_words, hash_words, runs, same_words, shards, text_buffer, word_spans
 
 WINDOW = 13
 
@@ -31,19 +31,70 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _IS_WORD = byte_table([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words, and the number of words before each text."""
-    data, starts = text_buffer(texts)
-    data = _LOWER[data]
-    begin, end, counts = word_spans(data, starts, _IS_WORD)
-    return hash_words(data, begin, end), counts
+@dataclass
+class Words:
+    """The lower-cased words of texts: where each stands, and the number of words before each text."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        data, starts = text_buffer(texts)
+        data = _LOWER[data]
+        return cls(data, *word_spans(data, starts, _IS_WORD))
+
+    def hashes(self, seed: int) -> np.ndarray:
+        return hash_words(self.data, self.begin, self.end, seed)
+
+
+@dataclass
+class Alphabet:
+    """Distinct words, sorted by a hash that tells them apart; a text's words are compared by bytes."""
+
+    data: np.ndarray  #: the words back to back
+    begin: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    seed: int
+
+    @classmethod
+    def of(cls, words: Words) -> Alphabet:
+        _, first, _ = distinct_words(words.data, words.begin, words.end)
+        distinct = [words.data[b:e] for b, e in zip(words.begin[first], words.end[first], strict=True)]
+        size = np.array([len(w) for w in distinct], np.int64)
+        data = np.concatenate([np.zeros(0, np.uint8), *distinct])
+        end = np.cumsum(size)
+        seed = 1
+        while len(np.unique(hashes := hash_words(data, end - size, end, seed))) < len(distinct):
+            seed += 1
+        order = np.argsort(hashes)
+        return cls(data, (end - size)[order], end[order], hashes[order], seed)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def symbols(self, words: Words) -> np.ndarray:
+        """The place of each word in the alphabet, -1 for another word."""
+        if not len(self):
+            return np.full(len(words.begin), -1)
+        hashes = words.hashes(self.seed)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        known = np.flatnonzero(self.hashes[at] == hashes)
+        own = at[known]
+        same = same_words(words.data, words.begin[known], words.end[known], self.data, self.begin[own], self.end[own])
+        out = np.full(len(at), -1)
+        out[known[same]] = own[same]
+        return out
 
 
 @dataclass
 class Phrases:
     """Distinct phrases over the alphabet of the benchmark's words, and the items that have them."""
 
-    alphabet: np.ndarray  #: sorted word hashes; symbol 0 is no word, k + 1 the k-th
+    alphabet: Alphabet  #: symbol 0 is no word, k + 1 the k-th
     symbols: np.ndarray  #: one row per phrase, filled from the right, 0 on the left
     length: np.ndarray
     item_from: np.ndarray  #: phrase k is in items[item_from[k]:item_from[k + 1]]
@@ -52,9 +103,9 @@ class Phrases:
 
     @classmethod
     def of(cls, names: list, texts: list, window: int) -> Phrases:
-        hashes, counts = words_of(pa.array(texts, pa.string()))
-        alphabet = np.unique(hashes)
-        symbols = (np.searchsorted(alphabet, hashes) + 1).astype(np.int32)
+        words = Words.of(pa.array(texts, pa.string()))
+        counts, alphabet = words.counts, Alphabet.of(words)
+        symbols = (alphabet.symbols(words) + 1).astype(np.int32)
         rows, item = [], []
         for k in range(len(texts)):
             own = symbols[counts[k] : counts[k + 1]]
@@ -187,16 +238,17 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     The shard's alphabet is that of the phrases: any other word ends a stretch, as the end of a
     document does, and a stretch shorter than the shortest phrase can hold none, so it is left out.
     """
-    hashes, counts = words_of(texts)
-    n = len(texts)
+    words = Words.of(texts)
+    n, counts, n_words = len(texts), words.counts, len(words.begin)
     nothing = counts, np.zeros(0, np.int64), np.zeros(0, np.int64), [[] for _ in range(n)]
-    if not len(hashes) or not len(phrases.symbols):
+    if not n_words or not len(phrases.symbols):
         return nothing
-    symbol = np.minimum(np.searchsorted(phrases.alphabet, hashes), len(phrases.alphabet) - 1)
-    known = phrases.alphabet[symbol] == hashes
+    symbol = phrases.alphabet.symbols(words)
+    del words
+    known = symbol >= 0
     start, end = runs(known)
     inner = counts[1:-1]
-    cut = np.unique(inner[(inner > 0) & (inner < len(hashes))])
+    cut = np.unique(inner[(inner > 0) & (inner < n_words)])
     cut = cut[known[cut] & known[cut - 1]]
     start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     long = end - start >= phrases.length.min()
@@ -236,9 +288,9 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     if not hits:
         return nothing
     hit = np.unique(np.concatenate(hits, axis=1), axis=1)
-    mark = covered(hit[0], hit[1], len(hashes))
+    mark = covered(hit[0], hit[1], n_words)
     start, end = runs(mark)
-    cut = np.unique(inner[(inner > 0) & (inner < len(hashes))])
+    cut = np.unique(inner[(inner > 0) & (inner < n_words)])
     cut = cut[mark[cut] & mark[cut - 1]]
     start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     named = [set() for _ in range(n)]

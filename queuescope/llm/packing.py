@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queuescope.llm.common import IS_WORD, Scratch, hash_words, shards, text_buffer, word_spans, worker_state
+from queuescope.llm.common import IS_WORD, KnownWords, Scratch, distinct_words, shards, text_buffer, word_spans, worker_state
 
 LENGTH = 4096
 END_ID = 2
@@ -60,7 +60,7 @@ def cuts_of(data: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Token ids of text units, encoded once each and remembered by hash."""
+    """Token ids of text units, encoded once each and remembered; a remembered unit is compared by its bytes."""
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
@@ -77,9 +77,12 @@ class Units:
             and not any(x["lstrip"] or x["rstrip"] or x["normalized"] for x in parts["added_tokens"])
         )
         self.added = [x["content"] for x in parts["added_tokens"]]
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = KnownWords()
+        #: Known unit k has the ids flat[begin[k]:begin[k + 1]].
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids of each."""
@@ -90,16 +93,10 @@ class Units:
             flat.append(np.array([i for x in ids for i in x], np.uint32))
         return np.concatenate(flat), np.array(size, np.int64)
 
-    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        new, number = self.encode(units)
-        size = np.concatenate([np.diff(self.begin), number])
-        flat = np.concatenate([self.flat, new])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        begin = (np.cumsum(size) - size)[order]
-        self.keys, size = keys[order], size[order]
-        self.begin = np.concatenate([[0], np.cumsum(size)])
-        self.flat = flat[_ranges(begin, size)]
+    def _learn(self, units: list[bytes]) -> None:
+        ids, number = self.encode([u.decode() for u in units])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(number)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids before each text (one more at the end)."""
@@ -109,15 +106,13 @@ class Units:
         data, starts = text_buffer(texts)
         raw, data = data, _LOWER[data]
         begin, end, before = word_spans(data, starts, IS_WORD, cuts_of(data))
-        hashes = hash_words(data, begin, end)
-        keys, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_UNITS:
-            self.keys, self.begin, self.flat = self.keys[:0], self.begin[:1], self.flat[:0]
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(missing):
-            self._learn(keys[missing], [data[begin[i] : end[i]].tobytes().decode() for i in first[missing]])
-        at = np.searchsorted(self.keys, keys)[unit]
+        keys, first, unit = distinct_words(data, begin, end)
+        if len(self.known) > CACHE_UNITS:
+            self._forget()
+        number, new = self.known.numbers(data, begin[first], end[first], keys)
+        if new:
+            self._learn(new)
+        at = number[unit]
         size = self.begin[at + 1] - self.begin[at]
         ids = self.flat[_ranges(self.begin[at], size)]
         upto = np.concatenate([[0], np.cumsum(size)])[before]

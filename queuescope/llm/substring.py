@@ -64,15 +64,23 @@ class Chunk:
 
     def __init__(self, data: bytes, window: int):
         self.ids, self.texts = open_chunk(data)
-        raw, starts = text_buffer(self.texts)
-        begin, end, self.counts = word_spans(raw, starts, IS_WORD)
-        self.words = hash_words(raw, begin, end)
+        self.counts, self.words = self.hashed(1)
         self.window = window
         self.block = (window + 1) // 2  # a window of 2n - 1 words has a whole block of n
         doc = np.repeat(np.arange(len(self.texts)), np.diff(self.counts))
         self.place = np.arange(len(self.words)) - self.counts[doc]
         self.left = self.counts[doc + 1] - np.arange(len(self.words))
 
+    def hashed(self, seed: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words before each text, and a hash of each word; 0 for words not asked for."""
+        raw, starts = text_buffer(self.texts)
+        begin, end, counts = word_spans(raw, starts, IS_WORD)
+        if asked is None:
+            return counts, hash_words(raw, begin, end, seed)
+        out = np.zeros(len(begin), np.uint64)
+        out[asked] = hash_words(raw, begin[asked], end[asked], seed)
+        return counts, out
+
     def blocks(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, hash, whether a reference block) of every rolling block in texts that have a window."""
         at = np.flatnonzero((self.left >= self.block) & (self.place + self.left >= self.window))
@@ -93,7 +101,8 @@ class Chunk:
         """The distinct windows of the chunk, each with its earliest place, and the entry of each window."""
         entry = np.zeros(len(at), ENTRY)
         entry["hash"] = window_hashes(self.words, self.window)[at]
-        entry["check"] = window_hashes(self.words, self.window, seed=2)[at] >> np.uint64(32)
+        _, again = self.hashed(2, covered(at, at + self.window, len(self.words)))
+        entry["check"] = window_hashes(again, self.window, seed=2)[at] >> np.uint64(32)
         doc = np.searchsorted(self.counts, at, "right") - 1
         entry["no_id"] = self.ids.is_null().to_numpy(zero_copy_only=False)[doc]
         entry["id"] = np.nan_to_num(self.ids.fill_null(0).to_numpy())[doc]
@@ -107,7 +116,7 @@ class Chunk:
         return entry[new], of
 
 
-#: A window: 96 bits of hash, and the place that decides which of equal windows is first.
+#: A window: 64 and 32 bits of two hashes with word hashes of their own, and the place that decides which of equal windows is first.
 ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("no_id", "u1"), ("id", "<i8"), ("word", "<u4")])
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.llm.common import IS_WORD, hash_words, shards, text_buffer, word_spans, worker_state
+from queuescope.llm.common import IS_WORD, KnownWords, distinct_words, shards, text_buffer, word_spans, worker_state
 from queuescope.llm.packing import cuts_of
 
 SHARD_BYTES = 16_000_000
@@ -47,8 +47,12 @@ class Counter:
                 node = node.setdefault(c, {})
             node[""] = score
         self.byte = min(pieces.values(), default=0.0) - 10.0
-        self.keys = np.zeros(0, np.uint64)
-        self.counts = np.zeros(0, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Units without and with a blank before them, and the tokens of each.
+        self.known = [KnownWords(), KnownWords()]
+        self.counts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def count_sorted(self, units: list[str]) -> list[int]:
         """Token counts of distinct, sorted pre-tokens.
@@ -98,24 +102,25 @@ class Counter:
         head = np.ones(len(begin), bool)
         head[1:] = begin[1:] != end[:-1]
         head[before[:-1][before[:-1] < len(head)]] = True
-        hashes = hash_words(data, begin, end) ^ head.astype(np.uint64)
-        keys, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_UNITS:
-            self.keys, self.counts = self.keys[:0], self.counts[:0]
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(missing):
-            new = [
-                (BLANK if head[i] else "") + data[begin[i] : end[i]].tobytes().decode() for i in first[missing]
-            ]
-            order = sorted(range(len(new)), key=new.__getitem__)
-            counts = np.empty(len(new), np.int64)
-            counts[order] = self.count_sorted([new[k] for k in order])
-            self.keys = np.concatenate([self.keys, keys[missing]])
-            self.counts = np.concatenate([self.counts, counts])
-            order = np.argsort(self.keys)
-            self.keys, self.counts = self.keys[order], self.counts[order]
-        each = self.counts[np.searchsorted(self.keys, keys)][unit]
+        keys, first, unit = distinct_words(data, begin, end)
+        if sum(map(len, self.known)) > CACHE_UNITS:
+            self._forget()
+        each = np.empty(len(unit), np.int64)
+        for blank in (0, 1):
+            own = np.flatnonzero(head == blank)
+            present = np.zeros(len(first), bool)
+            present[unit[own]] = True
+            some = np.flatnonzero(present)
+            number, new = self.known[blank].numbers(data, begin[first[some]], end[first[some]], keys[some])
+            if new:
+                written = [BLANK * blank + u.decode() for u in new]
+                order = sorted(range(len(new)), key=written.__getitem__)
+                counts = np.empty(len(new), np.int64)
+                counts[order] = self.count_sorted([written[k] for k in order])
+                self.counts[blank] = np.concatenate([self.counts[blank], counts])
+            of = np.zeros(len(first), np.int64)
+            of[some] = self.counts[blank][number]
+            each[own] = of[unit[own]]
         return np.diff(np.concatenate(([0], np.cumsum(each)))[before]), np.diff(before)
 
 

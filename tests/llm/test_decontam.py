@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from queuescope.llm import decontam
+from tests.llm.words import thue_morse
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -92,3 +93,21 @@ def test_index_counts_and_locates():
     texts = pa.array(["Aa b", None, "b aA"])
     found = decontam.search_shard(texts, decontam.Phrases.of(["i"], ["AA b"], 13))
     assert found[1].tolist() == [0] and found[2].tolist() == [2] and found[3] == [["i"], [], []]
+
+
+def test_words_of_one_polynomial_hash(spark):
+    for size in (512, 2048):
+        word, other = thue_morse(size)
+        docs = spark.createDataFrame([(1, f"so {word} it is"), (2, f"so {other} it is")], "doc_id long, text string")
+        bench = spark.createDataFrame([("a", word), ("b", f"x {other}")], "item_id string, text string")
+        assert rows_of(decontam.contamination(docs, bench)) == {1: (4, [1], ["a"]), 2: (4, [], [])}
+
+
+def test_alphabet_of_words_with_one_hash(monkeypatch):
+    """Hashes of a first seed that all collide: words are still told apart, by another seed or by bytes."""
+    plain_hash = decontam.hash_words
+    monkeypatch.setattr(decontam, "hash_words", lambda d, b, e, seed=1: plain_hash(d, b, e, seed) & np.uint64(0 if seed < 3 else 7))
+    phrases = decontam.Phrases.of(["i"], ["the cat"], 13)
+    assert phrases.alphabet.seed >= 3
+    _, start, end, items = decontam.search_shard(pa.array(["a dog and the cat or cats", "cat the"]), phrases)
+    assert (start.tolist(), end.tolist(), items) == ([3], [5], [["i"], []])

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from queuescope.llm import lm
+from tests.llm.words import thue_morse
 
 
 def plain(texts):
@@ -65,3 +66,10 @@ def test_packed_numbers():
         for top in (200, 2**40):
             counts = rng.integers(0, top, n)
             assert (lm._unpack_counts(lm._pack_counts(counts)) == counts).all()
+
+
+def test_words_of_one_polynomial_hash(spark):
+    texts = [" ".join(t) for size in (512, 2048) for w, o in [thue_morse(size)] for t in ((w, "x"), (o, "y"), (w, "x", "y"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_backoff, r.n_unseen, round(r.log_score, 9)) for r in lm.backoff_scores(docs).collect()}
+    assert got == {k: (n, b, u, round(s, 9)) for k, (n, b, u, s) in enumerate(plain(texts))}

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from queuescope.llm import packing
+from queuescope.llm import common, packing
+from tests.llm.words import thue_morse
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,6 +37,32 @@ def test_units_give_the_tokenizer_s_ids(tokenizer):
         assert [(t, g) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
 
 
+@pytest.mark.parametrize("size", [512, 2048])
+def test_words_of_one_polynomial_hash(tokenizer, size):
+    import pyarrow as pa
+
+    texts = [f"a {w} b" for w in thue_morse(size)] * 2
+    ids, upto = packing.Units(open(PATH).read()).ids(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)]
+    assert got == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert got[0] != got[1]
+
+
+def test_units_that_share_a_key(tokenizer, monkeypatch):
+    """With two keys for all units, every unit still gets its own ids."""
+    import pyarrow as pa
+
+    plain = common.hash_words
+    monkeypatch.setattr(common, "hash_words", lambda *a, **k: plain(*a, **k) & np.uint64(1))
+    monkeypatch.setattr(common, "SURE_WORD", 0)
+    texts = odd_texts()[:300]
+    units = packing.Units(open(PATH).read())
+    for part in (texts[:100], texts[50:200], texts):
+        ids, upto = units.ids(pa.array(part))
+        got = [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)]
+        assert got == [x.ids for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+
 def test_other_tokenizers_are_used_on_whole_texts():
     import pyarrow as pa
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from queuescope.llm import substring
+from tests.llm.words import thue_morse
 
 
 def plain(rows, window):
@@ -70,3 +71,12 @@ def test_sorted_numbers_round_trip():
         values = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
         assert (substring._unpack_sorted(substring._pack_sorted(values)) == values).all()
     assert len(substring._unpack_sorted(substring._pack_sorted(np.zeros(0, np.uint64)))) == 0
+
+
+def test_words_of_one_polynomial_hash(spark):
+    for size in (512, 2048):
+        word, other = thue_morse(size)
+        around = [f"w{k}" for k in range(19)]
+        rows = [(1, " ".join([word, *around])), (2, " ".join([other, *around])), (3, " ".join([other, *around]))]
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.kept for r in got} == {1: rows[0][1], 2: rows[1][1], 3: ""}

@@ -6,6 +6,7 @@ from tokenizers import Tokenizer, models
 
 import public_tokenizers
 from queuescope.llm import tokencount
+from tests.llm.words import thue_morse
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,13 @@ def test_odd_rows(spark, pieces):
     assert sorted((str(r.doc_id), r.n_pretokens) for r in got) == [("1", 0), ("1", 0), ("2", 2), ("2", 2), ("None", 2)]
     assert tokencount.count_tokens(docs.limit(0), pieces).collect() == []
     assert {r.n_tokens for r in tokencount.count_tokens(docs, {}).collect()} == {0, 2 * len("▁a".encode())}
+
+
+def test_words_of_one_polynomial_hash():
+    pieces = {"a": -1.0, "b": -1.0, "ab": -1.5, "abb": -1.2}
+    for size in (512, 2048):
+        word, other = thue_morse(size)
+        counter = tokencount.Counter(pieces)
+        want = [plain("▁" + w, pieces, counter.byte)[1] for w in (word, other)]
+        assert counter.of(pa.array([word, other]))[0].tolist() == want
+        assert want[0] != want[1]
