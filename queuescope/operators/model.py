@@ -71,11 +71,11 @@ def session_split(
     return df.withColumn("is_test", F.col(session).isin(list(test_sessions)))
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
+def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 
 
-def _forest(**settings) -> RandomForestRegressor:
+def forest(**settings) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features", labelCol=LABEL, predictionCol=PREDICTED, seed=vocab.SEED, **settings
     )
@@ -83,7 +83,7 @@ def _forest(**settings) -> RandomForestRegressor:
 
 def fit_forest(train: DataFrame, features: Sequence[str], **settings) -> PipelineModel:
     """A forest with the given settings behind an assembler that fixes the feature order."""
-    return Pipeline(stages=[_assembler(features), _forest(**settings)]).fit(train)
+    return Pipeline(stages=[assembler(features), forest(**settings)]).fit(train)
 
 
 def baseline_forest(train: DataFrame, features: Sequence[str], max_depth: int = 30) -> PipelineModel:
@@ -113,15 +113,15 @@ def grid_search(
     ``with_folds``). The feature vectors are made once and stored; the fits read label, vector and fold.
     """
     grid = grid or vocab.FOREST_GRID
-    forest = _forest()
+    estimator = forest()
     builder = ParamGridBuilder()
     for name, values in grid.items():
-        builder = builder.addGrid(forest.getParam(name), list(values))
-    assembler = _assembler(features)
+        builder = builder.addGrid(estimator.getParam(name), list(values))
+    vectors = assembler(features)
     dealt = with_folds(train, folds, session, fold_by).withColumnRenamed("fold", "__fold")
-    search_rows = cut_lineage(assembler.transform(dealt).select("features", LABEL, "__fold"))
+    search_rows = cut_lineage(vectors.transform(dealt).select("features", LABEL, "__fold"))
     search = CrossValidator(
-        estimator=forest,
+        estimator=estimator,
         estimatorParamMaps=builder.build(),
         evaluator=RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTED, metricName="mse"),
         numFolds=folds,
@@ -130,7 +130,7 @@ def grid_search(
         seed=vocab.SEED,
     )
     found = search.fit(search_rows)
-    return PipelineModel(stages=[assembler, found.bestModel]), found
+    return PipelineModel(stages=[vectors, found.bestModel]), found
 
 
 def session_folds(rows: DataFrame, folds: int = vocab.FOLDS, session: str = "session_id") -> DataFrame:

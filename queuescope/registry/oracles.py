@@ -408,10 +408,46 @@ ORACLES: dict[str, str] = {
                round(avg(abs(e2etime - rf_prediction)), 4) as mae
         from stump group by is_test"""),
     "baseline_fit": sql("train", "select is_test, count(*) as n from train group by is_test"),
-    "grid_search": """
-        select 3 as "numTrees", d as "maxDepth", 20 as "minInstancesPerNode",
-               s as "featureSubsetStrategy", true as has_error
-        from (values (5), (8)) a(d), (values ('sqrt'), ('all')) b(s)""",
+    "grid_search": f"""
+        select unnest({vocab.FOREST_GRID["numTrees"]}) as "numTrees", "maxDepth", "minInstancesPerNode",
+               "featureSubsetStrategy", true as error_is_plausible
+        from (select unnest({vocab.FOREST_GRID["maxDepth"]}) as "maxDepth")
+        cross join (select unnest({vocab.FOREST_GRID["minInstancesPerNode"]}) as "minInstancesPerNode")
+        cross join (select unnest({vocab.FOREST_GRID["featureSubsetStrategy"]}) as "featureSubsetStrategy")""",
+    "grid_closed_form": sql("train", """
+        , f as (select is_cold_start, log_latency, (dense_rank() over (order by session_id) - 1) % 3 as fold from train),
+        folds as (select unnest(range(3)) as held),
+        means as (select held, avg(log_latency) as mean from f join folds on fold <> held group by held),
+        groups as (select held, is_cold_start, avg(log_latency) as mean from f join folds on fold <> held
+                   group by held, is_cold_start),
+        errors as (select held, avg((log_latency - m.mean) ** 2) as flat,
+                          avg((log_latency - coalesce(g.mean, m.mean)) ** 2) as split
+                   from f join means m on fold = m.held
+                   left join groups g using (held, is_cold_start) group by held),
+        mse as (select avg(flat) as flat, avg(split) as split from errors)
+        select t::bigint as "numTrees", d::bigint as "maxDepth", l::bigint as "minInstancesPerNode",
+               round(case when d = 1 and l = 1 then split else flat end, 6) as mse
+        from mse, (values (1), (2)) a(t), (values (0), (1)) b(d), (values (1), (100000000)) c(l)"""),
+    "forest_cells": sql("train", """
+        , p as (select is_cold_start, "is_status_Active", avg(log_latency) as log_mean from train where not is_test
+                group by all)
+        select session_id, tid, is_cold_start, "is_status_Active", round(log_mean, 6) as predicted_log,
+               round(exp(log_mean) - 1, 6) as rf_prediction, round((e2etime - (exp(log_mean) - 1)) ** 2, 6) as squared_error
+        from train join p using (is_cold_start, "is_status_Active")"""),
+    "importance_cells": sql("train", """
+        , t as (select is_cold_start as a, "is_status_Active" as b, log_latency as y from train where not is_test),
+        -- Sums of squares around the means: of all rows, of the groups of either flag, of the four cells.
+        s as (select var_pop(y) * count(*) as everything from t),
+        by_a as (select sum(q) as q from (select var_pop(y) * count(*) as q from t group by a)),
+        by_b as (select sum(q) as q from (select var_pop(y) * count(*) as q from t group by b)),
+        cells as (select sum(q) as q from (select var_pop(y) * count(*) as q from t group by a, b)),
+        gains as (select everything - by_a.q as gain_a, everything - by_b.q as gain_b, by_a.q - cells.q as after_a,
+                         by_b.q - cells.q as after_b, everything - cells.q as whole
+                  from s, by_a, by_b, cells)
+        select 'is_cold_start' as feature, round(case when gain_a >= gain_b then gain_a else after_b end / whole, 6) as importance
+        from gains
+        union all
+        select 'is_status_Active', round(case when gain_a >= gain_b then after_a else gain_b end / whole, 6) from gains"""),
     "feature_importance": f"""
         select unnest({_MODEL_INPUTS}) as feature, true as is_share, 1.0::double as total""",
     "scored_results": sql("train", """

@@ -15,6 +15,7 @@ from queuescope import vocab
 from queuescope.functions import fields as fx
 from queuescope.operators import arrivals as A
 from queuescope.operators import errors as E
+from queuescope.operators import forest_grid as G
 from queuescope.operators import model as M
 from queuescope.operators import queues as Q
 from queuescope.operators import sketches as K
@@ -39,10 +40,9 @@ from queuescope.streaming.traces import end_of_log
 
 LAGS = vocab.DEFAULT_LAGS
 TEST_SESSIONS = [5, 6, 7]
-#: A small grid with few fits: depth and features vary, trees and leaf size have one value each. The
-#: SQL twin of ``grid_search`` names these settings.
+#: A part of the full grid for the tuning job, with two values of each parameter.
 SMALL_GRID = {
-    "numTrees": [3], "maxDepth": [5, 8], "minInstancesPerNode": [20], "featureSubsetStrategy": ["sqrt", "all"],
+    "numTrees": [50, 100], "maxDepth": [10, 15], "minInstancesPerNode": [30, 50], "featureSubsetStrategy": ["sqrt", "all"],
 }
 #: A forest whose predictions have a closed form: the means of the two groups of ``is_cold_start``.
 STUMP = {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
@@ -685,12 +685,58 @@ def baseline_fit(spark, sf_dir):
     return scored.groupBy("is_test").agg(F.count("rf_prediction").alias("n"))
 
 
+def _label_spread(rows):
+    """Error of the forest that knows nothing: the variance of the labels."""
+    return rows.agg(F.var_pop(M.LABEL)).first()[0]
+
+
 def grid_search(spark, sf_dir):
-    """Each setting of the grid and whether it has an error."""
-    rows = _training_rows(spark, sf_dir)
-    _, search = M.grid_search(rows.filter("not is_test"), M.feature_names(rows), SMALL_GRID)
-    scores = spark.createDataFrame(M.grid_scores(search))
-    return scores.select(*SMALL_GRID, (F.col("mse") > 0).alias("has_error"))
+    """All 90 settings, and whether the error of each is of the size of the labels' variance."""
+    rows = _training_rows(spark, sf_dir).filter("not is_test")
+    found = G.search(rows, M.feature_names(rows))
+    spread = _label_spread(rows)
+    scores = spark.createDataFrame(found.scores)
+    return scores.select(*vocab.FOREST_GRID, F.col("mse").between(0.1 * spread, 2.5 * spread).alias("error_is_plausible"))
+
+
+#: A grid whose errors have a closed form: without bootstrap every tree is the same, a tree of depth 0 is the
+#: mean, one of depth 1 on a flag the means of two groups, and too large a leaf size forbids the split.
+CLOSED_GRID = {"numTrees": [1, 2], "maxDepth": [0, 1], "minInstancesPerNode": [1, 100_000_000]}
+
+
+def grid_closed_form(spark, sf_dir):
+    """Validation errors of a search on one flag, over folds of whole sessions."""
+    rows = M.model_rows(_features(spark, sf_dir, profile=False), session="session_id")
+    found = G.search(cut_lineage(rows), ["is_cold_start"], CLOSED_GRID, bootstrap=False, featureSubsetStrategy="all")
+    return rounded(spark.createDataFrame(found.scores).select(*CLOSED_GRID, "mse"))
+
+
+#: Two flags, all of whose splits a deep enough tree makes: it predicts the mean of each of the four groups.
+CELLS = ["is_cold_start", "is_status_Active"]
+
+
+def _cell_forest(rows):
+    return M.fit_forest(rows, CELLS, numTrees=2, maxDepth=2, bootstrap=False, featureSubsetStrategy="all")
+
+
+def _cell_rows(spark, sf_dir):
+    rows = M.model_rows(_features(spark, sf_dir, profile=False), session="session_id")
+    return cut_lineage(M.session_split(rows, TEST_SESSIONS))
+
+
+def forest_cells(spark, sf_dir):
+    """Predictions of a forest of two levels, stored and loaded again, for every row."""
+    rows = _cell_rows(spark, sf_dir)
+    path = posixpath.join(ensure_checkpoint_dir(spark), f"forest-{uuid.uuid4().hex}")
+    M.save_model(_cell_forest(rows.filter("not is_test")), path)
+    scored = M.score(M.load_model(path), rows)
+    return rounded(scored.select("session_id", "tid", *CELLS, "predicted_log", "rf_prediction", "squared_error"))
+
+
+def importance_cells(spark, sf_dir):
+    """Importances of the two flags: the impurity that their splits take away, as shares."""
+    model = _cell_forest(_cell_rows(spark, sf_dir).filter("not is_test"))
+    return rounded(spark.createDataFrame(M.feature_importance(model), "feature string, importance double"))
 
 
 def feature_importance(spark, sf_dir):
@@ -754,5 +800,6 @@ QUERIES = [
     fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
     stream_replay, stream_target_queue,
+    grid_closed_form, forest_cells, importance_cells,
     describe_sketched, box_sketched, quantiles_merged, series_reduced, scatter_sample,
 ]

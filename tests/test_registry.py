@@ -22,6 +22,7 @@ WITH_JOBS = {
     "baseline_fit", "grid_search", "feature_importance", "scored_results", "batch_score",
     "stump_results", "stump_metrics", "estimator_comparison", "table_round_trip", "fold_assignment",
     "stream_replay", "stream_target_queue", "quantiles_merged",
+    "grid_closed_form", "forest_cells", "importance_cells",
 }
 
 
