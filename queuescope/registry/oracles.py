@@ -395,6 +395,36 @@ ORACLES: dict[str, str] = {
     "table_round_trip": sql("req", f"""
         select session_id, tid, seq, fqdn, e2etime,
                {_case('session_id', SESSION_POLICIES)} as policy from req"""),
+    "stored_sessions": sql("req", f"""
+        select policy, session_id, tid, seq, fqdn, e2etime
+        from (select *, {_case('session_id', SESSION_POLICIES)} as policy from req)
+        where session_id between 1 and 6 and session_id <> 2
+              and policy in ({", ".join(f"'{p}'" for p in SESSION_POLICIES[:4])})"""),
+    "stored_chosen": sql("req", f"""
+        , best as (select session_id from req group by session_id
+                   order by round(avg(e2etime), 6) desc nulls last, session_id limit 2)
+        select {_case('session_id', SESSION_POLICIES)} as policy, session_id, tid, seq, fqdn, e2etime
+        from req where session_id in (from best)"""),
+    "rejected_lines": """
+        select event_id as seq, case when event_id % 17 = 0 then 'no JSON record' else 'no readable time' end as reason,
+               case event_id % 17 when 0 then '{"timestamp":"' || left(strftime(ts, '%Y-%m-%d'), 6)
+                                  when 1 then '{"level":"INFO","tar' else '{"timestamp":"soon",' end as line_start
+        from events where event_id % 17 < 3""",
+    "accepted_events": f"""
+        select event_id as seq, epoch_us(ts) * 1000 as ts_ns, {_TRACE} as tid, value as e2etime,
+               case when event_id % 5 <> 0 then cast(props->>'$.k' as bigint) end as queue_len
+        from events where event_id % 17 > 2""",
+    "line_counts": """
+        select count(*) as lines, count(*) filter (event_id % 17 > 2) as events,
+               count(*) filter (event_id % 17 = 0) as not_json, count(*) filter (event_id % 17 in (1, 2)) as no_time
+        from events""",
+    "catalog_extended": sql("paths", f"""
+        , k as (select distinct path, regexp_replace(path, '/worker1[.]log$', '') as session_key, user_id % 2 = 0 as later
+                from paths where path not like '%precleanup%')
+        select row_number() over (order by later, session_key) - 1 as session_id, session_key,
+               {_path_level(1)} as duration, {_path_level(4)} as workload,
+               {_path_level(5)} as repetition, {_path_level(6)} as policy
+        from k"""),
     "describe_ranked": _describe("lineitem", "l_extendedprice", 4),
     "fold_assignment": sql("req", """
         select session_id, ((dense_rank() over (order by session_id) - 1) % 3)::int as fold

@@ -28,6 +28,7 @@ from queuescope.operators.sequences import session_sequences as pack_sequences
 from queuescope.plans.estimate import current_estimate_errors as estimate_errors
 from queuescope.operators.scan import Limits, ScanPlan
 from queuescope.plans.features import arrival_features, plan_for
+from queuescope.plans.ingest import sort_lines
 from queuescope.plans.training import compare_estimators, tune, with_policy_features, write_tuned
 from queuescope.registry import adapter as X
 from queuescope.session import cut_lineage, ensure_checkpoint_dir
@@ -164,6 +165,44 @@ def coerce_fields(spark, sf_dir):
     return typed.select("seq", "ts_ns", shown, "e2etime", "queue_len")
 
 
+def _mixed_lines(spark, sf_dir) -> DataFrame:
+    """The log's lines; some are cut off, some have no time or no readable one."""
+    lines, n = _lines(spark, sf_dir), F.col("seq")
+    no_time = F.regexp_replace("line", '^\\{"timestamp":"[^"]*",', "{")
+    bad_time = F.regexp_replace("line", '^\\{"timestamp":"[^"]*"', '{"timestamp":"soon"')
+    text = F.when(n % 17 == 0, F.left("line", F.lit(20))).when(n % 17 == 1, no_time).when(n % 17 == 2, bad_time)
+    return lines.select("seq", F.coalesce(text, F.col("line")).alias("line"))
+
+
+def _sorted_lines(spark, sf_dir):
+    out = posixpath.join(ensure_checkpoint_dir(spark), f"lines-{uuid.uuid4().hex}")
+    return sort_lines(_mixed_lines(spark, sf_dir), out)
+
+
+def rejected_lines(spark, sf_dir):
+    """Lines that are no events, with their order and reason."""
+    return _sorted_lines(spark, sf_dir).rejected.select("seq", "reason", F.left("line", F.lit(20)).alias("line_start"))
+
+
+def accepted_events(spark, sf_dir):
+    """Events of the same lines; none stands for a rejected line."""
+    return _sorted_lines(spark, sf_dir).events.select("seq", "ts_ns", "tid", "e2etime", "queue_len")
+
+
+def line_counts(spark, sf_dir):
+    """Lines of each kind, counted while they were written."""
+    counts = _sorted_lines(spark, sf_dir).counts
+    return spark.createDataFrame([counts], "lines long, events long, not_json long, no_time long")
+
+
+def catalog_extended(spark, sf_dir):
+    """A stored catalog of every other user's logs, extended by the logs of all: known numbers stay."""
+    paths = _paths(spark, sf_dir).filter(L.is_session_of(F.col("path"), None))
+    stored = posixpath.join(ensure_checkpoint_dir(spark), f"catalog-{uuid.uuid4().hex}")
+    L.update_catalog(spark, stored, paths.filter(F.regexp_extract("path", "x/([0-9]+)/", 1).cast("int") % 2 == 1))
+    return L.update_catalog(spark, stored, paths)
+
+
 def trace_id(spark, sf_dir):
     return L.typed_events(L.parse_lines(_lines(spark, sf_dir), "line")).select("seq", "tid")
 
@@ -771,6 +810,31 @@ def batch_score(spark, sf_dir):
     return scored.select("session_id", "tid", F.col("rf_prediction").isNotNull().alias("is_scored"))
 
 
+def _stored_requests(spark, sf_dir) -> str:
+    """Requests as a table by policy, clustered by session; its path."""
+    events, _ = _log(spark, sf_dir)
+    requests = T.arrivals_with_outcome(events).select("session_id", "tid", "seq", "fqdn", "e2etime")
+    labelled = requests.withColumn("policy", X.pick(F.col("session_id"), X.SESSION_POLICIES))
+    path = posixpath.join(ensure_checkpoint_dir(spark), f"requests-{uuid.uuid4().hex}")
+    Tab.write_table(labelled, path, ["policy"], ["session_id"])
+    return path
+
+
+def stored_sessions(spark, sf_dir):
+    """Some policies and sessions of the stored table; the other folders are not read."""
+    path = _stored_requests(spark, sf_dir)
+    rows = Tab.read_sessions(spark, path, X.SESSION_POLICIES[:4], range(1, 7), without=[2])
+    return rows.select("policy", "session_id", "tid", "seq", "fqdn", "e2etime")
+
+
+def stored_chosen(spark, sf_dir):
+    """Requests of the sessions with the longest mean latency: found on the stored table, read from it again."""
+    path = _stored_requests(spark, sf_dir)
+    means = Tab.read_table(spark, path).groupBy("policy", "session_id").agg(F.round(F.avg("e2etime"), 6).alias("mean"))
+    chosen = means.orderBy(F.desc("mean"), "session_id").limit(2)
+    return Tab.read_chosen(spark, path, chosen).select("policy", "session_id", "tid", "seq", "fqdn", "e2etime")
+
+
 def table_round_trip(spark, sf_dir):
     """Requests written as Parquet by policy, read, written as CSV, and read again."""
     events, _ = _log(spark, sf_dir)
@@ -800,6 +864,7 @@ QUERIES = [
     fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
     stream_replay, stream_target_queue,
+    stored_sessions, stored_chosen, rejected_lines, accepted_events, line_counts, catalog_extended,
     grid_closed_form, forest_cells, importance_cells,
     describe_sketched, box_sketched, quantiles_merged, series_reduced, scatter_sample,
 ]

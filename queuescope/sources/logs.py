@@ -14,6 +14,8 @@ from queuescope.functions.fields import display_time, nanos, policy_name, trace_
 from queuescope.operators.scan import Limits, ScanPlan, position
 
 CORRUPT = "_corrupt_record"
+#: Why a line is rejected.
+NOT_JSON, NO_TIME = "no JSON record", "no readable time"
 
 #: Log files that are numbered in one task.
 CATALOG_LIMITS = Limits(group_rows=50_000, slice_rows=25_000)
@@ -96,6 +98,42 @@ def read_worker_logs(
     return rows.withColumn("session_key", session_key(F.col("path")))
 
 
+def read_log_lines(
+    spark: SparkSession, root: str, policy: str | None = None, include_precleanup: bool = False
+) -> DataFrame:
+    """(path, session_key, seq, line): the lines of all session logs below ``root``, in one scan.
+
+    Blank lines are left out, as JSON readers do. ``seq`` follows the order of lines within a file.
+    """
+    path = F.col("_metadata.file_path")
+    scan = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", vocab.LOG_FILE)
+        .text(root)
+    )
+    kept = scan.filter(_wanted(path, policy, include_precleanup))
+    lines = kept.select(path.alias("path"), _row_order(spark).alias("seq"), F.col("value").alias("line"))
+    return lines.filter("trim(line) <> ''").withColumn("session_key", session_key(F.col("path")))
+
+
+def judged_lines(lines: DataFrame, text: str = "line") -> DataFrame:
+    """JSON lines parsed into the raw record columns, and ``reason``: why a line is no event, else NULL.
+
+    A line is rejected if it is no JSON object of the record's form, or if its time cannot be read. A
+    rejected line has NULL in all record columns, and keeps its text; of the others the text is dropped.
+    """
+    schema = T.StructType([*vocab.RAW_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    kept = [c for c in lines.columns if c != text]
+    parsed = lines.withColumn("__record", F.from_json(F.col(text), schema, options))
+    record = F.col("__record")
+    no_json = record.isNull() | record[CORRUPT].isNotNull() | ~F.trim(text).startswith("{")
+    reason = F.when(no_json, NOT_JSON).when(nanos(record["timestamp"]).isNull(), NO_TIME)
+    judged = parsed.withColumn("reason", reason)
+    fields = [F.when(F.col("reason").isNull(), record[f]).alias(f) for f in vocab.RAW_RECORD.fieldNames()]
+    return judged.select(*kept, "reason", F.when(F.col("reason").isNotNull(), F.col(text)).alias(text), *fields)
+
+
 def list_logs(
     spark: SparkSession, root: str, policy: str | None = None, include_precleanup: bool = False
 ) -> DataFrame:
@@ -145,8 +183,13 @@ def coerce_fields(df: DataFrame, types: dict[str, str] | None = None, strict=Fal
     return df.withColumns(casts)
 
 
-def typed_events(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Typed event table from raw records (see ``vocab.FIELD_TYPES``)."""
+def typed_events(records: DataFrame, strict: bool = False, keep: Iterable[str] = ()) -> DataFrame:
+    """Typed event table from raw records (see ``vocab.FIELD_TYPES``), and the columns ``keep`` that there are.
+
+    Records of lines that could not be parsed (see ``CORRUPT``) are no events and are left out.
+    """
+    if CORRUPT in records.columns:
+        records = records.filter(F.col(CORRUPT).isNull())
     flat = flatten_fields(records, vocab.FIELD_TYPES)
     flat = flat.withColumn("tid", trace_id(F.col("fields")["tid"], F.col("span")["tid"]))
     typed = coerce_fields(flat, strict=strict)
@@ -161,6 +204,7 @@ def typed_events(records: DataFrame, strict: bool = False) -> DataFrame:
         "target",
         "tid",
         *vocab.FIELD_TYPES,
+        *[c for c in keep if c in records.columns],
     )
 
 
@@ -181,6 +225,41 @@ def session_catalog(paths: DataFrame) -> DataFrame:
     )
 
 
+def logs_of(records: DataFrame) -> DataFrame:
+    """The distinct paths of records or lines, found by the tasks that read them."""
+    return records.select("path").distinct()
+
+
+def extended_catalog(known: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows that ``paths`` add to a catalog of the form of ``session_catalog``.
+
+    Known sessions are left out by an anti-join on their keys. New ones are numbered from the largest
+    known number on, in the order of their keys, so no session's number ever changes, however the new
+    keys sort among the old ones.
+    """
+    # One number; a catalog with no row begins at 0.
+    after = known.agg(F.coalesce(F.max("session_id") + 1, F.lit(0))).first()[0]
+    keyed = paths.select("path").distinct().withColumn("session_key", session_key(F.col("path")))
+    new = keyed.join(known.select("session_key"), "session_key", "left_anti")
+    added = session_catalog(new.select("path"))
+    return added.withColumn("session_id", F.col("session_id") + F.lit(after))
+
+
+def update_catalog(spark: SparkSession, stored: str, paths: DataFrame) -> DataFrame:
+    """Add the sessions of ``paths`` to the catalog stored at ``stored``, made if it is not there.
+
+    New rows are appended as files of their own. One job at a time may update a catalog. The result is
+    the whole catalog.
+    """
+    kinds = "session_id bigint, session_key string, duration string, workload string, repetition string, policy string"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stored)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(kinds).parquet(stored) if there else spark.createDataFrame([], kinds)
+    added = extended_catalog(known, paths).select(*[c.split(" ")[0] for c in kinds.split(", ")])
+    added.write.mode("append").parquet(stored)
+    return spark.read.schema(kinds).parquet(stored)
+
+
 def number_sessions(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Records of several logs with the number, policy and workload of their session.
 

@@ -23,6 +23,7 @@ WITH_JOBS = {
     "stump_results", "stump_metrics", "estimator_comparison", "table_round_trip", "fold_assignment",
     "stream_replay", "stream_target_queue", "quantiles_merged",
     "grid_closed_form", "forest_cells", "importance_cells",
+    "stored_sessions", "stored_chosen", "rejected_lines", "accepted_events", "line_counts", "catalog_extended",
 }
 
 
