@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queuescope import vocab
-from queuescope.operators.scan import LastKnown, Replay, RunningSum, ScanPlan
+from queuescope.operators.asof import last_per_key
+from queuescope.operators.scan import Lag, LastKnown, Replay, RunningSum, ScanPlan
 
 QUEUE = ["session_id", "queue"]
 
@@ -112,3 +113,71 @@ def queue_columns(
             F.coalesce(f"status_{i}", F.lit(vocab.INITIAL_STATE)).alias(f"{q}_status")
         )
     return wide.filter("kind = 1").select("session_id", "tid", "ts_ns", "seq", *columns)
+
+
+#: Arrivals that one row stands for while intervals are spread out.
+SPREAD = 4096
+
+
+def queue_intervals(states: DataFrame, arrivals: DataFrame, plan: ScanPlan) -> tuple[DataFrame, DataFrame]:
+    """State of all queues at all arrivals as intervals, and the arrivals with their ``place`` in the session.
+
+    An interval (session_id, queue, first, last, len, status) says what the arrivals of these places see
+    in a queue. One pass in time order counts arrivals; a change ends the interval of the change before
+    it, and the last change of a queue holds to the end. Changes that no arrival sees make no interval,
+    so there are at most as many as changes, however many queues and arrivals there are.
+    """
+    stacked = states.select(
+        "session_id", "ts_ns", F.lit(0).alias("kind"), "seq", "queue", "len", "status"
+    ).unionByName(
+        arrivals.select("session_id", "ts_ns", F.lit(1).alias("kind"), "seq", "tid"),
+        allowMissingColumns=True,
+    )
+    counted = plan.compute(
+        stacked, ["session_id"], ["ts_ns", "kind", "seq"], "ts_ns", place=RunningSum(F.col("kind").cast("bigint"))
+    )
+    placed = counted.filter("kind = 1").select("session_id", "tid", "ts_ns", "seq", "place")
+    changes = counted.filter("kind = 0").select(
+        *QUEUE, "ts_ns", "seq", "len", "status", (F.col("place") + 1).alias("first")
+    )
+    values = {c: F.col(c) for c in ("len", "status", "first")}
+    seen = plan.compute(changes, QUEUE, ["ts_ns", "seq"], "ts_ns", was=Lag(values, [1]))
+    ended = seen.select(
+        *QUEUE, F.col("first_lag_1").alias("first"), (F.col("first") - 1).alias("last"),
+        F.col("len_lag_1").alias("len"), F.col("status_lag_1").alias("status"),
+    )
+    totals = placed.groupBy("session_id").agg(F.max("place").alias("last"))
+    open_ = last_per_key(changes, QUEUE, ["ts_ns", "seq"]).join(totals, "session_id")
+    both = ended.unionByName(open_.select(*ended.columns))
+    return both.filter("first <= last"), placed
+
+
+def queue_maps(states: DataFrame, arrivals: DataFrame, plan: ScanPlan) -> DataFrame:
+    """Arrivals with ``queues``: a map from the name of each queue that has changed to (len, status).
+
+    The number of queues does not show in the plan. Intervals are cut, then spread over their arrivals,
+    and a group is one arrival with its queues.
+    """
+    intervals, placed = queue_intervals(states, arrivals, plan)
+    begin = F.explode(F.sequence("first", "last", F.lit(SPREAD)))
+    cut = intervals.withColumn("__from", begin)
+    until = F.least(F.col("last"), F.col("__from") + (SPREAD - 1))
+    spread = cut.select(
+        "session_id", F.explode(F.sequence("__from", until)).alias("place"),
+        F.struct("queue", F.struct("len", "status").alias("state")).alias("entry"),
+    )
+    maps = spread.groupBy("session_id", "place").agg(F.map_from_entries(F.collect_list("entry")).alias("queues"))
+    joined = placed.join(maps, ["session_id", "place"], "left")
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<len:bigint,status:string>>"))
+    return joined.select("session_id", "tid", "ts_ns", "seq", F.coalesce("queues", nothing).alias("queues"))
+
+
+def wide_arrays(rows: DataFrame, queues: Sequence[str]) -> DataFrame:
+    """``queues`` of ``queue_maps`` as arrays ``lens`` and ``statuses`` in the order of the names."""
+    names = F.array(*[F.lit(q) for q in queues]).cast("array<string>")
+    state = lambda q: F.try_element_at("queues", q)
+    return rows.select(
+        "session_id", "tid", "ts_ns", "seq",
+        F.transform(names, lambda q: F.coalesce(state(q)["len"], F.lit(0))).alias("lens"),
+        F.transform(names, lambda q: F.coalesce(state(q)["status"], F.lit(vocab.INITIAL_STATE))).alias("statuses"),
+    )

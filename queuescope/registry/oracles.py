@@ -710,3 +710,5 @@ ORACLES: dict[str, str] = {
                     from feat))
         group by session_id, part"""),
 }
+
+ORACLES["queue_wide_map"] = ORACLES["queue_wide"]

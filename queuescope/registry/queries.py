@@ -423,6 +423,17 @@ def queue_wide(spark, sf_dir):
     return Q.queue_columns(_states(events, plan), _requests(events), plan, X.FUNCTIONS)
 
 
+def queue_wide_map(spark, sf_dir):
+    """The same rows from maps of all queues; the names are needed for the columns only."""
+    events, plan = _log(spark, sf_dir)
+    rows = Q.wide_arrays(Q.queue_maps(_states(events, plan), _requests(events), plan), X.FUNCTIONS)
+    columns = []
+    for i, q in enumerate(X.FUNCTIONS):
+        columns += [F.col("lens")[i].alias(f"{q}_len"), F.col("statuses")[i].alias(f"{q}_status")]
+    return rows.select("session_id", "tid", "ts_ns", "seq", *columns)
+
+
+
 def features_base(spark, sf_dir):
     return _features(spark, sf_dir)
 
@@ -864,7 +875,7 @@ QUERIES = [
     fold_assignment, stump_results, stump_metrics,
     baseline_fit, grid_search, feature_importance, scored_results, batch_score,
     stream_replay, stream_target_queue,
-    stored_sessions, stored_chosen, rejected_lines, accepted_events, line_counts, catalog_extended,
+    queue_wide_map, stored_sessions, stored_chosen, rejected_lines, accepted_events, line_counts, catalog_extended,
     grid_closed_form, forest_cells, importance_cells,
     describe_sketched, box_sketched, quantiles_merged, series_reduced, scatter_sample,
 ]
