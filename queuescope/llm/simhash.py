@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -195,7 +196,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = scratch.store(edges.select(low, high).where("a <> b").distinct(), "edges0")
     mark = None
-    for k in range(1, 1000):
+    for k in count(1):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = scratch.store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{k}")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
