@@ -25,8 +25,14 @@ from queuescope.llm.common import Scratch, numbered
 
 #: Index lines in one compressed block.
 BLOCK_LINES = 3000
-#: Revisits (16 bytes each) that are sent to every task; beyond it they are joined by a shuffle.
+#: Lines of one index part, on average, which one task writes and searches.
+INDEX_LINES = 300_000
+#: Bytes of records that one task reads back, on average.
+TASK_BYTES = 32_000_000
+#: Revisits that are sent to every task, and the characters of the URLs that they name; beyond either they
+#: are joined by a shuffle.
 BROADCAST_REVISITS = 500_000
+BROADCAST_CHARS = 16_000_000
 #: Index parts whose first keys are sent to a task; more parts are searched in several passes over the queries.
 BROADCAST_PARTS = 100_000
 #: Bytes of payload in one batch of read records.
@@ -114,25 +120,28 @@ def _files(uri: str):
 
 
 def _decide(rows: DataFrame, row: str, id_col: str, html_col: str, url_col: str, least: int, scratch: Scratch) -> DataFrame:
-    """(row, to_row, to_id, to_url) of every revisit: of equal payloads all but that with the largest id."""
+    """(row, to_row, to_id, to_url) of every revisit: of equal payloads all but that with the largest id.
+
+    Payloads are equal if their SHA-256 is, since texts of one size with the same SHA-1 can be made.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = [(t or "").encode() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), pa.array(map(payload_digest, payloads), pa.string()),
+                [*(batch.column(k) for k in range(3)), pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()),
                  pa.array(map(len, payloads), pa.int64())],
                 names=["row", "id", "url", "digest", "size"],
             )
 
     narrow = rows.select(row, F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     seen = scratch.store(
-        narrow.mapInArrow(digest, "row long, id long, url string, digest string, size long"), "digests"
+        narrow.mapInArrow(digest, "row long, id long, url string, digest binary, size long"), "digests"
     ).where(F.col("size") >= least)
     last = F.max(F.struct(F.col("id").isNotNull().alias("has_id"), "id", "row", "url")).alias("last")
-    groups = seen.groupBy("digest", "size").agg(last, F.count("*").alias("n")).where("n > 1")
+    groups = seen.groupBy("digest").agg(last, F.count("*").alias("n")).where("n > 1")
     # One side has each payload once; adaptive execution splits the rows of a frequent one.
-    joined = seen.drop("url").join(groups, ["digest", "size"]).where("row <> last.row")
+    joined = seen.drop("url").join(groups, "digest").where("row <> last.row")
     return joined.select(
         F.col("row").alias(row), F.col("last.row").alias("to_row"), F.col("last.id").alias("to_id"), F.col("last.url").alias("to_url")
     )
@@ -196,8 +205,9 @@ def _index(captures: DataFrame, folder: str) -> DataFrame:
     """Write the capture lines in key order as compressed blocks; a directory row for each block.
 
     The lines are range-partitioned on key and record, so the captures of a frequent host, even of one
-    URL, spread over as many parts as they need.
+    URL, spread over as many parts as they need. The number of parts follows the number of lines.
     """
+    parts = 1 + captures.count() // INDEX_LINES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _files(folder)
@@ -229,16 +239,22 @@ def _index(captures: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return captures.repartitionByRange("key", "row").sortWithinPartitions("key", "row").mapInArrow(write, DIRECTORY)
+    return captures.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").mapInArrow(write, DIRECTORY)
 
 
 @dataclass
 class Archive:
-    """``folder`` has the archives and the index parts; ``directory`` one row for each index block."""
+    """``folder`` has the archives and the index parts; ``directory`` one row for each index block.
+
+    ``manifest`` (file, records, bytes), stored in the folder's ``manifest``, names the files that
+    belong to the archive. A failed or repeated task may have left others, which nothing refers to.
+    """
 
     folder: str
     directory: DataFrame
     captures: DataFrame
+    manifest: DataFrame
+    size: int  #: bytes of all records
 
 
 def write_archive(
@@ -261,7 +277,8 @@ def write_archive(
     folder = folder or f"{scratch.folder}/archive"
     rows, row = numbered(pages, scratch)
     revisits = scratch.store(_decide(rows, row, id_col, html_col, url_col, least, scratch), "revisits")
-    few = revisits.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    number, chars = revisits.agg(F.count("*"), F.sum(F.length("to_url"))).first()
+    few = number <= BROADCAST_REVISITS and (chars or 0) <= BROADCAST_CHARS
     plain = rows.select(
         F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
@@ -269,7 +286,11 @@ def write_archive(
     decided = plain.join(F.broadcast(revisits) if few else revisits, "row", "left")
     captures = scratch.store(_write(decided.select("row", "id", "url", "html", "to_row", "to_id", "to_url"), folder), "captures")
     directory = scratch.store(_index(captures, folder), "directory")
-    return Archive(folder, directory, captures)
+    files = captures.groupBy("file").agg(F.count("*").alias("records"), F.max(F.col("offset") + F.col("length")).alias("bytes"))
+    index = directory.groupBy("file").agg(F.lit(0).cast("long").alias("records"), F.max(F.col("offset") + F.col("length")).alias("bytes"))
+    files.union(index).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    manifest = pages.sparkSession.read.schema("file string, records long, bytes long").parquet(f"{folder}/manifest")
+    return Archive(folder, directory, captures, manifest, captures.agg(F.sum("length")).first()[0] or 0)
 
 
 FOUND = "key string, row long, type string, id long, file string, offset long, length long"
@@ -387,8 +408,10 @@ def read_records(archive: Archive, places: DataFrame, with_payload: bool = True)
         if file is not None:
             file.close()
 
-    # Ranges of (file, offset) keep the reads of a task in order and split a large file.
-    ordered = places.select("id", "file", "offset", "length").repartitionByRange("file", "offset")
+    # Ranges of (file, offset) keep the reads of a task in order and split a large file. A place is a few
+    # bytes, the record behind it any number, so the number of tasks follows the archive's bytes.
+    tasks = 1 + archive.size // TASK_BYTES
+    ordered = places.select("id", "file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     return ordered.sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 

@@ -33,8 +33,9 @@ def plain(rows, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("least", "bound"), [(0, 500_000), (30, 0)])
-def test_round_trip(spark, monkeypatch, least, bound):
+@pytest.mark.parametrize(("least", "bound", "chars"), [(0, 500_000, 16_000_000), (30, 0, 16_000_000), (0, 500_000, 9)])
+def test_round_trip(spark, monkeypatch, least, bound, chars):
+    monkeypatch.setattr(warc, "BROADCAST_CHARS", chars)
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     monkeypatch.setattr(warc, "READ_BYTES", 2000)
     monkeypatch.setattr(warc, "BROADCAST_REVISITS", bound)
@@ -55,7 +56,12 @@ def test_round_trip(spark, monkeypatch, least, bound):
     by_row = {r.row: r for r in found}
     assert {bytes(r.payload) for r in found if r.type == "response"} <= {(h or "").encode() for h in htmls}
     assert len(by_row) == 60 and archive.directory.count() > 20
-    for file in Path(archive.folder.removeprefix("file:")).glob("*.warc.gz"):
+    folder = Path(archive.folder.removeprefix("file:"))
+    told = {r.file: (r.records, r.bytes) for r in archive.manifest.collect()}
+    assert set(told) == {f.name for f in folder.glob("*.gz")}
+    assert sum(n for n, _ in told.values()) == len(rows)
+    assert all((folder / f).stat().st_size == size for f, (_, size) in told.items())
+    for file in folder.glob("*.warc.gz"):
         raw = gzip.decompress(file.read_bytes())  # members one after the other, as any reader takes them
         assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and raw.endswith(b"\r\n\r\n")
 
@@ -86,13 +92,10 @@ def test_more_parts_than_a_task_gets(spark, monkeypatch, most):
     monkeypatch.setattr(warc, "BROADCAST_PARTS", most)
     monkeypatch.setattr(warc, "BLOCK_LINES", 4)
     rows = [(k, "http://hot.org/" if k % 3 else f"http://h{k}.org/", f"<p>{k % 50}") for k in range(120)]
-    scratch, name = Scratch(spark, "t"), "spark.sql.adaptive.coalescePartitions.enabled"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
-    finally:
-        spark.conf.set(name, old)
+    scratch = Scratch(spark, "t")
+    monkeypatch.setattr(warc, "INDEX_LINES", 15)
+    monkeypatch.setattr(warc, "TASK_BYTES", 5_000)
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch)
     assert archive.directory.where("block = 0").count() > 3
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(archive, scratch).collect()]
     assert sorted(got, key=str) == plain(rows, 0)
