@@ -249,10 +249,9 @@ class KnownWords:
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(end[missing] - begin[missing])])
         self.data = np.concatenate([self.data, np.frombuffer(b"".join(new), np.uint8)])
         free = missing[~taken[missing]]
-        free = free[np.unique(keys[free], return_index=True)[1]]
-        self.keys, self.number = np.concatenate([self.keys, keys[free]]), np.concatenate([self.number, out[free]])
-        order = np.argsort(self.keys)
-        self.keys, self.number = self.keys[order], self.number[order]
+        free = free[np.unique(keys[free], return_index=True)[1]]  # in the order of their keys
+        at = np.searchsorted(self.keys, keys[free])
+        self.keys, self.number = np.insert(self.keys, at, keys[free]), np.insert(self.number, at, out[free])
         return out, new
 
 

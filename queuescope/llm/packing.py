@@ -19,8 +19,8 @@ END_ID = 2
 SHARD_BYTES = 2_000_000
 #: Units that are encoded in one call; the tokenizer's own records of a unit are large.
 ENCODE_UNITS = 1024
-#: Units whose ids a Python worker remembers.
-CACHE_UNITS = 400_000
+#: Units whose ids a Python worker remembers, some 60 bytes each.
+CACHE_UNITS = 1_500_000
 #: Run totals that one task adds up.
 BLOCK_RUNS = 1024
 #: Runs whose offsets (16 bytes each) are sent to every executor; beyond it they are joined by a shuffle.
