@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from queuescope.llm.common import IS_WORD, Scratch, bits_for, chunks, grouped, hash_words, mix, open_chunk, text_buffer, window_hashes, word_spans
 
+#: Words of the longest n-gram.
+ORDER = 2
 #: Weight of the shorter n-gram where the longer one is unseen.
 BACKOFF = 0.4
 #: Count of a word that no other document has.
@@ -50,9 +52,9 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 class Grams:
-    """The words and word pairs of a chunk, as hashes, and how often it has each."""
+    """The n-grams of a chunk up to ``order`` words, as hashes, and how often it has each."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, order: int):
         self.ids, texts = open_chunk(data)
         raw, starts = text_buffer(texts)
         raw = _LOWER[raw]
@@ -60,12 +62,17 @@ class Grams:
         words = hash_words(raw, begin, end)
         del raw, begin, end
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.counts))
-        #: The second word of each pair.
-        self.second = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-        pairs = window_hashes(words, 2)[self.second - 1]
-        self.doc = np.concatenate([doc, doc[self.second]])
-        self.hashes = np.concatenate([words, pairs])
         self.n_words = len(words)
+        #: The last word of each n-gram, for n = 1, 2 ...
+        self.ends = [np.arange(len(words))]
+        hashes = [words]
+        for n in range(2, order + 1):
+            at = np.flatnonzero(doc[n - 1 :] == doc[: 1 - n]) + n - 1
+            hashes.append(window_hashes(words, n)[at - n + 1])
+            self.ends.append(at)
+        self.doc = np.concatenate([doc[at] for at in self.ends])
+        self.hashes = np.concatenate(hashes)
+        del words, hashes, doc
         self.distinct, self.gram, self.number = grouped(self.hashes)
 
     def parts(self, bucket_bits: int) -> list[tuple[int, slice]]:
@@ -76,19 +83,19 @@ class Grams:
         cuts = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
         return [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
 
-    def others(self, total: np.ndarray) -> np.ndarray:
-        """For each word and pair, how often all other documents have it."""
+    def others(self, total: np.ndarray) -> list[np.ndarray]:
+        """For each n and each n-gram, how often all other documents have it."""
         _, own, number = grouped(mix(self.hashes + mix(self.doc.astype(np.uint64) + np.uint64(1))))
-        return total[self.gram] - number[own]
+        return np.split(total[self.gram] - number[own], np.cumsum([len(at) for at in self.ends])[:-1])
 
 
-def _counted(stored: DataFrame, bucket_bits: int) -> DataFrame:
+def _counted(stored: DataFrame, bucket_bits: int, order: int) -> DataFrame:
     """(bucket, chunk, hashes, counts): the chunk's distinct n-grams."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = Grams(data.as_py())
+                grams = Grams(data.as_py(), order)
                 parts = grams.parts(bucket_bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()),
@@ -123,23 +130,24 @@ def _totals(counted: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").applyInPandas(add, "chunk long, bucket long, data binary")
 
 
-def _scored(parts: DataFrame, all_words: int) -> DataFrame:
+def _scored(parts: DataFrame, all_words: int, order: int) -> DataFrame:
     def score(group: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(group.loc[group["kind"] == "text", "data"].iloc[0])
+        grams = Grams(group.loc[group["kind"] == "text", "data"].iloc[0], order)
         told = group[group["kind"] == "counts"].sort_values("bucket")
         total = np.concatenate([np.zeros(0, np.int64), *map(_unpack_counts, told["data"])])
         others = grams.others(total)
-        word, pair = others[: grams.n_words], others[grams.n_words :]
+        word, words = others[0], grams.doc[: grams.n_words]
         size = np.diff(grams.counts)
-        rest = np.maximum(all_words - size, 1)[grams.doc[: grams.n_words]]
-        value = np.log(np.maximum(word, UNSEEN) / rest)
-        second = grams.second
-        seen = pair > 0
-        value[second[~seen]] += np.log(BACKOFF)
-        value[second[seen]] = np.log(pair[seen] / word[second[seen] - 1])
-        sums = np.concatenate(([0.0], np.cumsum(value)))
+        value = np.log(np.maximum(word, UNSEEN) / np.maximum(all_words - size, 1)[words])
         backoff, unseen = np.zeros(grams.n_words, np.int64), (word == 0).astype(np.int64)
-        backoff[second[~seen]] = 1
+        place = np.empty(grams.n_words, np.int64)
+        for n in range(1, order):
+            at, seen, shorter = grams.ends[n], others[n] > 0, others[n - 1]
+            place[grams.ends[n - 1]] = np.arange(len(shorter))  # of the shorter n-gram that ends at a word
+            value[at[~seen]] += np.log(BACKOFF)
+            value[at[seen]] = np.log(others[n][seen] / shorter[place[at[seen] - 1]])
+            backoff[at] = ~seen
+        sums = np.concatenate(([0.0], np.cumsum(value)))
         per = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[grams.counts])
         # A running sum loses digits over a chunk; each document is added up for itself.
         full = np.flatnonzero(size)
@@ -154,14 +162,15 @@ def _scored(parts: DataFrame, all_words: int) -> DataFrame:
     )
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_backoff``, ``n_unseen``, ``log_score``.
 
-    A-Z are lower-cased and words split at ASCII white space. Each word is scored given the one before,
-    by the counts of all other documents: the share of the pair among the first word's occurrences;
-    if no other document has the pair, ``BACKOFF`` times the word's own share of all words, in which an
-    unseen word counts ``UNSEEN``. ``log_score`` is the sum of natural logarithms. The first word of a
-    document has no word before it and counts as no backoff.
+    A-Z are lower-cased and words split at ASCII white space. Each word is scored given up to ``order - 1``
+    words before it, by the counts of all other documents: the share of the n-gram among the occurrences
+    of the words before; if no other document has the n-gram, ``BACKOFF`` times the score given one word
+    less. A word alone has its share of all words, in which an unseen word counts ``UNSEEN``. ``log_score``
+    is the sum of natural logarithms. ``n_backoff`` counts the words whose longest n-gram is unseen; the
+    first words of a document have shorter ones, and the very first none.
 
     The corpus counts are a table of n-gram hashes in buckets by the hash's first bits. Texts are taken
     chunk by chunk; a chunk sends each distinct n-gram once with its count, the bucket adds up and
@@ -175,8 +184,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "lm")
     stored = scratch.store(chunks(docs, CHUNK_BYTES), "chunks")
     words = stored.agg(F.sum("words")).first()[0] or 0
-    bucket_bits = bits_for(2 * words, BUCKET_NGRAMS)
-    totals = scratch.store(_totals(_counted(stored, bucket_bits)), "totals")
+    bucket_bits = bits_for(order * words, BUCKET_NGRAMS)
+    totals = scratch.store(_totals(_counted(stored, bucket_bits, order)), "totals")
     none = F.lit(None).cast("long").alias("bucket")
     text = stored.select("chunk", F.lit("text").alias("kind"), none, "data")
-    return _scored(text.union(totals.select("chunk", F.lit("counts").alias("kind"), "bucket", "data")), words)
+    return _scored(text.union(totals.select("chunk", F.lit("counts").alias("kind"), "bucket", "data")), words, order)

@@ -10,32 +10,28 @@ from queuescope.llm import lm
 from tests.llm.words import thue_morse
 
 
-def plain(texts):
+def plain(texts, order=2):
     docs = [[w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w] for t in texts]
-    words, pairs = Counter(), Counter()
+    grams = lambda d: Counter(tuple(d[k : k + n]) for n in range(1, order + 1) for k in range(len(d) - n + 1))
+    everything, total, out = sum(map(grams, docs), Counter()), sum(map(len, docs)), []
     for d in docs:
-        words.update(d)
-        pairs.update(zip(d, d[1:], strict=False))
-    total, out = sum(words.values()), []
-    for d in docs:
-        own, own_pairs = Counter(d), Counter(zip(d, d[1:], strict=False))
+        own = grams(d)
+        left = lambda g: everything[g] - own[g]  # noqa: B023, E731
         score, backoff, unseen = 0.0, 0, 0
         for k, w in enumerate(d):
-            left = words[w] - own[w]
-            unseen += left == 0
-            share = max(left, 0.5) / max(total - len(d), 1)
-            if k:
-                pair = d[k - 1], w
-                seen = pairs[pair] - own_pairs[pair]
-                backoff += not seen
-                share = seen / (words[d[k - 1]] - own[d[k - 1]]) if seen else 0.4 * share
+            unseen += left((w,)) == 0
+            share = max(left((w,)), 0.5) / max(total - len(d), 1)
+            for n in range(2, min(order, k + 1) + 1):
+                gram = tuple(d[k - n + 1 : k + 1])
+                share = left(gram) / left(gram[:-1]) if left(gram) else 0.4 * share
+            backoff += k > 0 and not left(tuple(d[max(0, k - order + 1) : k + 1]))
             score += math.log(share)
         out.append((len(d), backoff, unseen, score))
     return out
 
 
-@pytest.mark.parametrize("size", [500, 16_000_000])
-def test_matches_brute_force(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "order"), [(500, 2), (16_000_000, 2), (700, 3), (16_000_000, 5), (700, 1)])
+def test_matches_brute_force(spark, monkeypatch, size, order):
     monkeypatch.setattr(lm, "CHUNK_BYTES", size)
     monkeypatch.setattr(lm, "BUCKET_NGRAMS", 300)
     rng = random.Random(1)
@@ -44,8 +40,8 @@ def test_matches_brute_force(spark, monkeypatch, size):
     texts += [None, "", "once", "once", texts[4], texts[4], "the " * 5000]
     rows = [(k if k % 9 else None, t, 1) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, chunk int").repartition(3)
-    want = plain(texts)
-    got = lm.backoff_scores(docs).collect()
+    want = plain(texts, order)
+    got = lm.backoff_scores(docs, order=order).collect()
     key = lambda r: (str(r[0]), *r[1:4], round(r[4], 6) + 0.0)
     have = [key((r.doc_id, r.n_words, r.n_backoff, r.n_unseen, r.log_score)) for r in got]
     assert sorted(have) == sorted(key((i, *w)) for (i, _, _), w in zip(rows, want, strict=True))
