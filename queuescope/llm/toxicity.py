@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.llm.common import mix
+from queuescope.llm.common import Scratch, mix
 
 #: Labelled rows the lexicon is learned from: at most so many of either label, chosen by hash, and so
 #: many characters for each of them on average. Texts are whole; one that does not fit any more is left out.
 SAMPLE_TOXIC = 1500
 SAMPLE_CLEAN = 3000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 4_000
 #: Entries of a lexicon, the heaviest first.
 MAX_ENTRIES = 5000
 #: Places with different neighbours in which an entry must stand in toxic texts; copies add none.
@@ -211,22 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A lexicon from a bounded sample of the labelled documents; with NULL labels left out."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("id_")).agg((F.max(label_col) > 0).alias("toxic_"))
+    both = ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))
+    # At most so many ids of each label, so the broadcast is bounded.
+    ids = [marks.where(F.col("toxic_") == t).orderBy(F.xxhash64("id_"), "id_").limit(n) for t, n in both]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_")
+    found = docs.join(F.broadcast(ids[0].union(ids[1])), F.col(id_col) == F.col("id_")).select("id_", "toxic_", text)
+    few = Scratch(docs.sparkSession, "toxicity").store(found, "sample")
+    sizes = few.groupBy("id_", "toxic_").agg(F.sum(F.length("text_")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    chosen, used = [], {t: (0, 0) for t, _ in both}
+    for r in sizes.orderBy(F.xxhash64("id_"), "id_").collect():
+        most, (chars, n) = dict(both)[r.toxic_], used[r.toxic_]
+        if chars + r.chars <= most * SAMPLE_CHARS and n + r.n <= 2 * most:
+            chosen.append((r.id_,))
+            used[r.toxic_] = chars + r.chars, n + r.n
     rows = []
-    for toxic, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN)):
-        own = marks.where(F.col("toxic_") == toxic).select("id_")
-        # At most ``most`` ids, so the broadcast is bounded.
-        ids = own.orderBy(F.xxhash64("id_"), "id_").limit(most)
-        text = F.coalesce(F.col(text_col), F.lit("")).alias("text_")
-        few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id_")).select("id_", text)
-        sizes = few.groupBy("id_").agg(F.sum(F.length("text_")).alias("chars"), F.count(F.lit(1)).alias("n"))
-        chosen, chars, n = [], 0, 0
-        for r in sizes.orderBy(F.xxhash64("id_"), "id_").collect():
-            if chars + r.chars <= most * SAMPLE_CHARS and n + r.n <= 2 * most:
-                chosen, chars, n = [*chosen, (r.id_,)], chars + r.chars, n + r.n
-        if chosen:
-            ids = docs.sparkSession.createDataFrame(chosen, f"id_ {dict(marks.dtypes)['id_']}")
-            few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id_")).select(text)
-            rows += [(r.text_, toxic) for r in few.collect()]
+    if chosen:
+        ids = docs.sparkSession.createDataFrame(chosen, f"id_ {dict(marks.dtypes)['id_']}")
+        rows = [(r.text_, r.toxic_) for r in few.join(F.broadcast(ids), "id_").collect()]
     rows.sort()
     return learn([t for t, _ in rows], [t for _, t in rows])
 
