@@ -16,7 +16,7 @@ from queuescope.llm.common import Scratch, byte_table, covered, distinct_words,
 WINDOW = 13
 
 #: Benchmark characters that are searched in one pass over the documents.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 #: Passes whose phrases are in memory at the same time; then the documents are stored.
 CHAIN = 4
 #: Bytes of text behind one FM-index, at least one document.
@@ -106,19 +106,22 @@ class Phrases:
         words = Words.of(pa.array(texts, pa.string()))
         counts, alphabet = words.counts, Alphabet.of(words)
         symbols = (alphabet.symbols(words) + 1).astype(np.int32)
-        rows, item = [], []
-        for k in range(len(texts)):
-            own = symbols[counts[k] : counts[k + 1]]
-            for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-                part = own[at : at + window]
-                rows.append(np.concatenate([np.zeros(window - len(part), np.int32), part]))
-                item.append(k)
-        if not rows:
+        size = np.diff(counts)
+        # A window begins at every word with enough words of its item behind it; a short item is one window.
+        own = np.repeat(np.arange(len(texts)), size)
+        left = counts[own + 1] - np.arange(len(own))
+        begin = np.flatnonzero((left >= window) | (left == np.minimum(size, window)[own]))
+        length = np.minimum(left[begin], window)
+        if not len(begin):
             return cls(alphabet, np.zeros((0, window), np.int32), *(np.zeros(n, np.int64) for n in (0, 1, 0)), names)
-        phrases, phrase = np.unique(np.stack(rows), axis=0, return_inverse=True)
+        back = np.arange(window) - window + length[:, None]  # filled from the right
+        rows = np.where(back >= 0, symbols[np.maximum(begin[:, None] + back, 0)], np.int32(0))
+        del back
+        item = own[begin]
+        phrases, phrase = np.unique(rows, axis=0, return_inverse=True)
         order = np.argsort(phrase.ravel(), kind="stable")
         item_from = np.searchsorted(phrase.ravel()[order], np.arange(len(phrases) + 1))
-        return cls(alphabet, phrases, (phrases > 0).sum(axis=1), item_from, np.array(item)[order], names)
+        return cls(alphabet, phrases, (phrases > 0).sum(axis=1), item_from, item[order], names)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
