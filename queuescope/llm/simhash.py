@@ -205,6 +205,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(least, "b")
         small = joined.select("m", "a").union(joined.select("m", "b")).toDF("a", "b")
         edges = scratch.store(small.where("a <> b").distinct(), f"edges{k}")
+        for old in (f"least{k}", f"large{k}", f"smallest{k}", f"edges{k - 1}"):  # the new links stand for them
+            scratch.drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
