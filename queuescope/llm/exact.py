@@ -160,7 +160,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when they agree after all ASCII white space is deleted. Of equal texts the one
     with the most code points in the original stays, of these the one with the smallest id.
 
-    A NULL text counts as empty, and all empty texts are equal. A NULL id comes after all others.
+    Ids are whole numbers. A NULL text counts as empty, and all empty texts are equal. A NULL id comes after all others.
     Repeated rows are equal texts; one of them stays, and ``group_size`` counts each. An empty table
     gives an empty result. Other columns are not read.
     """

@@ -176,7 +176,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunk by chunk; a chunk sends each distinct n-gram once with its count, the bucket adds up and
     answers with the corpus count, and the answers meet the chunk's n-grams again.
 
-    A NULL or empty text has no words and score 0. A repeated row is another document, so it has the
+    Ids are whole numbers. A NULL or empty text has no words and score 0. A repeated row is another document, so it has the
     n-grams of its copy. Rows without an id are documents like any other. An empty table gives an empty
     result. Other columns are not read.
     """

@@ -245,7 +245,7 @@ def near_components(
     fingerprint 0. Documents with fingerprints within ``max_distance`` bits are linked, and
     ``component_id`` is the smallest id that links reach.
 
-    A NULL text has no words. A NULL id is larger than all others, so it names a component only where
+    Ids are whole numbers. A NULL text has no words. A NULL id is larger than all others, so it names a component only where
     no document has an id. Repeated rows share a fingerprint. An empty table gives an empty result.
     Other columns are not read.
     """

@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     equal windows are found by 96 bits of hash, and removed windows that touch form maximal spans.
     A chunk sends each hash once, so frequent passages weigh no more than others.
 
-    A NULL or empty text has no words. Rows without an id come after all others; among rows with the
+    Ids are whole numbers. A NULL or empty text has no words. Rows without an id come after all others; among rows with the
     same id, which repeated rows are too, one is earlier by its place in the table. Texts shorter than
     a window stay as they are. An empty table gives an empty result. Other columns are not read.
     """

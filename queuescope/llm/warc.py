@@ -271,7 +271,7 @@ def write_archive(
     The payload is the html in UTF-8, empty for NULL. Of equal payloads of at least ``least`` bytes the
     row with the largest id is a response and the others are revisits of it; a NULL id is smaller than
     all others, and among repeated ids the later row counts as larger. Smaller payloads are responses.
-    A NULL or unreadable URL gets a key of its own. An empty table gives an archive without files.
+    Ids are whole numbers. A NULL or unreadable URL gets a key of its own. An empty table gives an archive without files.
     ``folder`` must be one that all executors share.
     """
     folder = folder or f"{scratch.folder}/archive"
