@@ -19,7 +19,7 @@ UNDETERMINED = "und"
 #: read, so any text is a number of equal steps; only a text's last segment is filled up.
 SEGMENT = 64
 HIDDEN = 8
-#: Training texts: at most so many per language, chosen by hash, and so many bytes of each.
+#: Training texts: at most so many per language, chosen by hash, and a piece of so many characters of each.
 SAMPLE_PER_LANG = 256
 SAMPLE_BYTES = 512
 EPOCHS = 5
@@ -187,9 +187,10 @@ def segments(texts: pa.Array, length: int = SEGMENT) -> tuple[np.ndarray, np.nda
     begin = starts[:-1][doc] + length * (np.arange(len(doc)) - (np.cumsum(lanes) - lanes)[doc])
     lengths = np.minimum(length, starts[1:][doc] - begin)
     padded = np.concatenate([data, np.full(length, _PAD, np.uint8)])
-    out = padded[np.arange(length)[:, None] + begin]
-    out[np.arange(length)[:, None] >= lengths] = _PAD
-    return out, lengths, doc
+    out = np.lib.stride_tricks.sliding_window_view(padded, length)[begin]  # a copy as long as the texts
+    short = np.flatnonzero(lengths < length)
+    out[short] = np.where(np.arange(length) < lengths[short, None], out[short], np.uint8(_PAD))
+    return out.T, lengths, doc
 
 
 def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
