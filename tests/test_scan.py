@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuescope.operators.asof import asof_lookup, last_per_key
-from queuescope.operators.scan import Lag, LastKnown, Limits, Replay, RunningSum, ScanPlan, position
+from queuescope.operators.scan import Lag, LastKnown, Limits, Replay, RunningSum, ScanPlan, _carry, position
+from queuescope.registry.adapter import measured
 
 WAYS = ["whole", "time", "range"]
 
@@ -134,3 +135,30 @@ def test_last_per_key(spark):
     df = spark.createDataFrame(rows, "k string, t int, seq int, v string")
     got = {tuple(r) for r in last_per_key(df, ["k"], ["t", "seq"]).collect()}
     assert got == {("a", 1, 2, None), ("b", 5, 0, "z")}
+
+
+def test_tasks_and_ranges_follow_the_rows(spark):
+    """Slices are spread over tasks in proportion."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    by_time = ScanPlan.measure(df, ["k"], "t", Limits(group_rows=500, slice_rows=100))
+    assert by_time.mode == "time" and by_time.spread(df, ["k", "t"]).rdd.getNumPartitions() == 10
+
+
+def test_entered_lags_are_no_longer_than_the_longest(spark):
+    """A slice is entered with the rows that a lag can reach, not with those of all slices they may lie in."""
+    df = spark.range(60).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
+    ends = df.select("k", (F.col("t") / 10).cast("bigint").alias("__slice"), "t", F.col("t").alias("__back_v"))
+    carried = _carry(ends, ["k"], ["t"], {"back": Lag({"v": F.col("t")}, [3])}, "__key")
+    assert carried.agg(F.max(F.size("__back_in"))).first()[0] == 3
+
+
+def test_lags_count_in_the_plan_of_the_log(spark, tmp_path):
+    """A request is looked at once more for each lag, so the same log is sliced earlier with lags."""
+    rows = spark.range(800).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 16).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    limits = Limits(group_rows=200, slice_rows=50)
+    assert measured(spark, str(tmp_path), limits).is_whole
+    assert measured(spark, str(tmp_path), limits, slack=4).mode == "time"
