@@ -138,10 +138,13 @@ def test_last_per_key(spark):
 
 
 def test_tasks_and_ranges_follow_the_rows(spark):
-    """Slices are spread over tasks in proportion."""
+    """Slices are spread over tasks in proportion, and tiny limits do not make a range of every few rows."""
     df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
     by_time = ScanPlan.measure(df, ["k"], "t", Limits(group_rows=500, slice_rows=100))
     assert by_time.mode == "time" and by_time.spread(df, ["k", "t"]).rdd.getNumPartitions() == 10
+    tiny = ScanPlan.measure(df, ["k"], None, Limits(group_rows=4, slice_rows=1))
+    assert tiny.mode == "range" and tiny.slices == 1000
+    assert ScanPlan.measure(df, ["k"], None, Limits(group_rows=4, slice_rows=8)).slices == 500
 
 
 def test_entered_lags_are_no_longer_than_the_longest(spark):
