@@ -72,3 +72,18 @@ def test_full_grid_has_ninety_settings(rows, monkeypatch):
     monkeypatch.setattr(M, "forest", lambda **s: fits.append(s) or plain(numTrees=1, maxDepth=1))
     found = G.search(rows, NAMES)
     assert len(found.scores) == 90 and len(fits) == 15 * vocab.FOLDS + 1
+
+
+def test_scoring_shuffles_no_row_per_tree(rows, monkeypatch):
+    """The values of the leaves are looked up in the tasks, not joined to a copy of each row for each tree."""
+    known, unseen = vectors(rows.filter("id % 3 > 0")), vectors(rows.filter("id % 3 = 0"))
+    model = M.forest(numTrees=3, maxDepth=3).fit(known)
+    monkeypatch.setattr(G.F, "posexplode", None)
+    errors = G.prefix_errors(model, unseen, [3], [3])
+    assert errors[3, 3][0] / errors[3, 3][1] == pytest.approx(mse(model.transform(unseen)), rel=1e-9)
+
+
+def test_no_rows_to_score(rows):
+    known = vectors(rows)
+    model = M.forest(numTrees=2, maxDepth=2).fit(known)
+    assert G.prefix_errors(model, known.filter("id < 0"), [1, 2], [2]) == {(1, 2): (0.0, 0), (2, 2): (0.0, 0)}
