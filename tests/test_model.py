@@ -121,3 +121,21 @@ def test_metrics_of_a_constant_target(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, p double")
     (r,) = M.model_metrics(df, "y", "p").collect()
     assert r.r2_log is None and r.n == 2
+
+
+def test_a_fit_has_a_task_per_core_however_many_partitions_its_rows_have(spark, monkeypatch):
+    seen, fit = [], M.Pipeline.fit
+
+    def spied(self, dataset, params=None):
+        seen.append((dataset.rdd.getNumPartitions(), self.getStages()[-1].getCacheNodeIds()))
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(M.Pipeline, "fit", spied)
+    cores = spark.sparkContext.defaultParallelism
+    value = F.when(F.col("id") % 2 == 0, 1.0).otherwise(3.0)
+    rows = spark.range(0, 400, 1, 5 * cores).select((F.col("id") % 2).alias("flag"), value.alias(M.LABEL), "id")
+    model = M.fit_forest(rows, ["flag"], numTrees=1, maxDepth=2, bootstrap=False)
+    assert seen == [(cores, True)]
+    scored = M.predict(model, rows)
+    assert scored.filter(F.col("predicted_log") == F.col(M.LABEL)).count() == 400
+    assert [M.fit_parts(n, 12) for n in (0, 12 * M.FIT_ROWS, 12 * M.FIT_ROWS + 1)] == [12, 12, 13]
