@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,49 +21,63 @@ REPLAYED = f"{QUEUE_ROW}, len bigint, status string, delta bigint"
 #: What is kept of a queue between batches: its state, and the rows that are still ahead of the watermark.
 STATE = "len bigint, status string, pending binary"
 
-_COLUMNS = [c.split(" ")[0] for c in REPLAYED.split(", ")]
-_INPUT = [c.split(" ")[0] for c in QUEUE_ROW.split(", ")]
+# A name of this module, so that tasks need no other module of the package.
+_INITIAL_STATE = vocab.INITIAL_STATE
+_KINDS = {"bigint": "Int64", "int": "Int32"}
+_COLUMNS = {name: _KINDS.get(kind, object) for name, kind in (c.split(" ") for c in REPLAYED.split(", "))}
+#: The columns of a queue's rows but those of its key; times and kinds are never NULL.
+_WAITING = {
+    c: {"ts_ns": "int64", "kind": "int32"}.get(c, _COLUMNS[c])
+    for c in (c.split(" ")[0] for c in QUEUE_ROW.split(", ")) if c not in QUEUE
+}
 
 
-def _step(rows: list[dict], length: int, status: str) -> tuple[list[dict], int, str]:
-    """Sets and takes in order of time; a change at an arrival's time comes before it."""
-    out = []
-    for row in sorted(rows, key=lambda r: (r["ts_ns"], r["kind"], r["seq"])):
-        before = length
-        if row["kind"] == 0:
-            if row["set_len"] is not None:
-                length = int(row["set_len"])
-            elif row["take"]:
-                length = max(0, length - 1)
-            status = row["set_status"] or status
-        out.append({**row, "len": length, "status": status, "delta": length - before})
-    return out, length, status
+def _last(given: np.ndarray) -> np.ndarray:
+    """For each row the place of the last one up to it that is given; -1 where there is none."""
+    return np.maximum.accumulate(np.where(given, np.arange(len(given)), -1))
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_COLUMNS)
-    kinds = {c.split(" ")[0]: c.split(" ")[1] for c in REPLAYED.split(", ")}
-    return frame.astype({c: {"bigint": "Int64", "int": "Int32"}.get(kinds[c], object) for c in _COLUMNS})
+def _step(rows: pd.DataFrame, length: int, status: str) -> tuple[pd.DataFrame, int, str]:
+    """Sets and takes in order of time; a change at an arrival's time comes before it.
+
+    Between two sets the length only falls, so it is the length set less the takes since, and not below 0.
+    """
+    if rows.empty:
+        return rows.assign(len=[], status=[], delta=[]), length, status
+    seq = rows["seq"].fillna(np.iinfo(np.int64).min).to_numpy("int64")
+    rows = rows.iloc[np.lexsort((seq, rows["kind"].to_numpy(), rows["ts_ns"].to_numpy()))]
+    change = rows["kind"].to_numpy() == 0
+    given = rows["set_len"].notna().to_numpy()
+    takes = change & ~given & (rows["take"].fillna(0).to_numpy("int64") != 0)
+    gone, at = np.cumsum(takes), _last(change & given)
+    level = np.where(at < 0, length, rows["set_len"].fillna(0).to_numpy("int64")[at])
+    since = gone - np.where(at < 0, 0, gone[at])
+    lengths = np.where(since > 0, np.maximum(level - since, 0), level)
+    named = rows["set_status"].to_numpy()
+    at = _last(change & rows["set_status"].fillna("").ne("").to_numpy())
+    statuses = np.where(at < 0, status, named[at])
+    delta = np.diff(lengths, prepend=length)
+    return rows.assign(len=lengths, status=statuses, delta=delta), int(lengths[-1]), str(statuses[-1])
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows that the watermark has passed go through the queue in order; the others wait."""
-    length, status, packed = state.get if state.exists else (0, vocab.INITIAL_STATE, None)
-    pending = pickle.loads(packed) if packed else []
+    length, status, packed = state.get if state.exists else (0, _INITIAL_STATE, None)
+    parts = [pickle.loads(packed)] if packed else []
     if not state.hasTimedOut:
-        for frame in frames:
-            plain = frame[_INPUT].astype(object)
-            pending += plain.where(plain.notna(), None).to_dict("records")
+        parts += [frame[list(_WAITING)].astype(_WAITING) for frame in frames]
+    parts = [p for p in parts if len(p)] or [pd.DataFrame({c: [] for c in _WAITING}).astype(_WAITING)]
+    pending = pd.concat(parts, ignore_index=True)
     watermark = state.getCurrentWatermarkMs()
-    passed = (watermark + 1) * 1_000_000  # a record of that time or later is not late
-    ready = [r for r in pending if r["ts_ns"] < passed]
-    pending = [r for r in pending if r["ts_ns"] >= passed]
-    out, length, status = _step(ready, length, status)
-    state.update((length, status, pickle.dumps(pending) if pending else None))
-    if pending:
-        state.setTimeoutTimestamp(max(min(r["ts_ns"] for r in pending) // 1_000_000 + 1, watermark + 1))
-    if out:
-        yield _frame(out)
+    passed = pending["ts_ns"] < (watermark + 1) * 1_000_000  # a record of that time or later is not late
+    out, length, status = _step(pending[passed], length, status)
+    pending = pending[~passed]
+    state.update((length, status, pickle.dumps(pending) if len(pending) else None))
+    if len(pending):
+        state.setTimeoutTimestamp(max(int(pending["ts_ns"].min()) // 1_000_000 + 1, watermark + 1))
+    if len(out):
+        named = {name: None if pd.isna(value) else value for name, value in zip(QUEUE, key, strict=True)}
+        yield out.assign(**named)[list(_COLUMNS)].astype(_COLUMNS)
 
 
 def replayed(rows: DataFrame) -> DataFrame:
