@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from queuescope import vocab
 from queuescope.operators import forest_grid as G
 from queuescope.operators import model as M
+from queuescope.operators import trees as T
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,83 @@ def test_no_rows_to_score(rows):
     known = vectors(rows)
     model = M.forest(numTrees=2, maxDepth=2).fit(known)
     assert G.prefix_errors(model, known.filter("id < 0"), [1, 2], [2]) == {(1, 2): (0.0, 0), (2, 2): (0.0, 0)}
+
+
+@pytest.fixture(scope="module")
+def stepped(rows):
+    """Features of few values, so that the thresholds are those between all of them."""
+    steps = [F.floor(F.col(c) * k).cast("double").alias(c) for c, k in zip(NAMES, (2, 7, 20, 31))]
+    return rows.select("session_id", "tid", "id", *steps, M.LABEL).coalesce(2).cache()
+
+
+def coded(rows, fold="cast(session_id % 3 as int)"):
+    return vectors(rows).selectExpr("features", M.LABEL, f"{fold} as __fold", "id")
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_without_draws_a_forest_is_the_one_that_spark_fits(stepped, least):
+    known = coded(stepped)
+    plain = M.forest(numTrees=2, maxDepth=6, minInstancesPerNode=least, bootstrap=False, featureSubsetStrategy="all")
+    own, spark_s = G.fitted(known, G.packed(known, plain), plain), plain.fit(known)
+    a, b = ({r.id: r.prediction for r in m.transform(known).collect()} for m in (own, spark_s))
+    assert a == pytest.approx(b, rel=1e-9)
+    assert own.featureImportances.toArray() == pytest.approx(spark_s.featureImportances.toArray(), rel=1e-9)
+    assert own.getNumTrees == 2 and own.getOrDefault("maxDepth") == 6 and own.totalNumNodes == spark_s.totalNumNodes
+
+
+def test_errors_are_those_of_forests_that_spark_fits(stepped):
+    """With some rows on both sides, since of two features that part few rows alike either may be taken."""
+    both = coded(stepped)
+    plain = M.forest(numTrees=5, maxDepth=6, minInstancesPerNode=25, bootstrap=False, featureSubsetStrategy="all")
+    found = G.validated(both, G.packed(both, plain), [(fold, plain) for fold in range(3)], [2, 5], [0, 3, 6])
+    for fold in range(3):
+        model = plain.fit(both.filter(f"__fold <> {fold}"))
+        wanted = G.prefix_errors(model, both.filter(f"__fold = {fold}"), [2, 5], [0, 3, 6])
+        assert set(found[fold]) == set(wanted)
+        for key, (total, n) in wanted.items():
+            assert found[fold][key] == (pytest.approx(total, rel=1e-9), n)
+
+
+def test_search_fits_no_forest_over_all_tasks_where_rows_fit_one(rows, monkeypatch):
+    """45 fits of 100 trees by Spark, a level of all trees at a time, took most of the time of the full grid."""
+    seen, fit = [], G.RandomForestRegressor.fit
+    monkeypatch.setattr(G.RandomForestRegressor, "fit", lambda self, known: seen.append(known.count()) or fit(self, known))
+    found = G.search(rows, NAMES, {"numTrees": [3], "maxDepth": [3], "featureSubsetStrategy": ["sqrt", "all"]})
+    assert seen == [1] and len(found.scores) == 2  # the form of a stored forest
+
+
+def test_more_rows_than_fit_a_task_are_fitted_by_spark(stepped, monkeypatch):
+    grid = {"numTrees": [1, 3], "maxDepth": [0, 2, 4], "minInstancesPerNode": [1, 40]}
+    own = G.search(stepped, NAMES, grid, bootstrap=False, featureSubsetStrategy="all")
+    monkeypatch.setattr(G, "TASK_BYTES", 0)
+    spark_s = G.search(stepped, NAMES, grid, bootstrap=False, featureSubsetStrategy="all")
+    for a, b in zip(own.scores, spark_s.scores, strict=True):
+        assert a == b | {"mse": pytest.approx(b["mse"], rel=1e-9)}
+
+
+def test_blocks_and_pieces_do_not_change_errors(rows, monkeypatch):
+    both = coded(rows)
+    drawn = M.forest(numTrees=7, maxDepth=4, minInstancesPerNode=2, featureSubsetStrategy="sqrt")
+    pack = G.packed(both, drawn)
+    once = G.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
+    monkeypatch.setattr(G, "BLOCK_ROWS", 23)
+    monkeypatch.setattr(G, "TASKS_PER_CORE", 1)
+    again = G.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
+    for a, b in zip(once, again, strict=True):
+        assert a == {k: (pytest.approx(total, rel=1e-9), n) for k, (total, n) in b.items()}
+
+
+def test_labels_must_be_known(rows):
+    unknown = coded(rows.withColumn(M.LABEL, F.when(F.col("id") > 3, F.col(M.LABEL))))
+    with pytest.raises(ValueError, match="NaN"):
+        G.packed(unknown, M.forest())
+
+
+def test_thresholds_leave_equal_shares():
+    values = T.np.repeat(T.np.arange(1000.0), 3)
+    parts = [T.summary(values[k::2], most=100) for k in range(2)]
+    assert all(len(v) == 100 and n.sum() == 1500 for v, n in parts)
+    edges = T.thresholds(*(T.np.concatenate(x) for x in zip(*parts)), 8)
+    assert edges == pytest.approx([1000 * k / 8 for k in range(1, 8)], abs=15)
+    assert T.thresholds(T.np.array([3.0, 1.0, 3.0]), T.np.array([1, 2, 3]), 32) == pytest.approx([2.0])
+    assert [T.subset_size(s, 20, 9) for s in ("auto", "all", "sqrt", "log2", "onethird", "3", "0.5")] == [7, 20, 5, 5, 7, 3, 10]
