@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queuescope import vocab
 from queuescope.operators import forest_grid as G
+from queuescope.operators import grown as W
 from queuescope.operators import model as M
 from queuescope.operators import trees as T
 
@@ -105,7 +106,7 @@ def coded(rows, fold="cast(session_id % 3 as int)"):
 def test_without_draws_a_forest_is_the_one_that_spark_fits(stepped, least):
     known = coded(stepped)
     plain = M.forest(numTrees=2, maxDepth=6, minInstancesPerNode=least, bootstrap=False, featureSubsetStrategy="all")
-    own, spark_s = G.fitted(known, G.packed(known, plain), plain), plain.fit(known)
+    own, spark_s = W.fitted(known, W.packed(known, plain), plain), plain.fit(known)
     a, b = ({r.id: r.prediction for r in m.transform(known).collect()} for m in (own, spark_s))
     assert a == pytest.approx(b, rel=1e-9)
     assert own.featureImportances.toArray() == pytest.approx(spark_s.featureImportances.toArray(), rel=1e-9)
@@ -116,7 +117,7 @@ def test_errors_are_those_of_forests_that_spark_fits(stepped):
     """With some rows on both sides, since of two features that part few rows alike either may be taken."""
     both = coded(stepped)
     plain = M.forest(numTrees=5, maxDepth=6, minInstancesPerNode=25, bootstrap=False, featureSubsetStrategy="all")
-    found = G.validated(both, G.packed(both, plain), [(fold, plain) for fold in range(3)], [2, 5], [0, 3, 6])
+    found = W.validated(both, W.packed(both, plain, "__fold"), [(fold, plain) for fold in range(3)], [2, 5], [0, 3, 6])
     for fold in range(3):
         model = plain.fit(both.filter(f"__fold <> {fold}"))
         wanted = G.prefix_errors(model, both.filter(f"__fold = {fold}"), [2, 5], [0, 3, 6])
@@ -127,8 +128,8 @@ def test_errors_are_those_of_forests_that_spark_fits(stepped):
 
 def test_search_fits_no_forest_over_all_tasks_where_rows_fit_one(rows, monkeypatch):
     """45 fits of 100 trees by Spark, a level of all trees at a time, took most of the time of the full grid."""
-    seen, fit = [], G.RandomForestRegressor.fit
-    monkeypatch.setattr(G.RandomForestRegressor, "fit", lambda self, known: seen.append(known.count()) or fit(self, known))
+    seen, fit = [], W.RandomForestRegressor.fit
+    monkeypatch.setattr(W.RandomForestRegressor, "fit", lambda self, known: seen.append(known.count()) or fit(self, known))
     found = G.search(rows, NAMES, {"numTrees": [3], "maxDepth": [3], "featureSubsetStrategy": ["sqrt", "all"]})
     assert seen == [1] and len(found.scores) == 2  # the form of a stored forest
 
@@ -136,7 +137,7 @@ def test_search_fits_no_forest_over_all_tasks_where_rows_fit_one(rows, monkeypat
 def test_more_rows_than_fit_a_task_are_fitted_by_spark(stepped, monkeypatch):
     grid = {"numTrees": [1, 3], "maxDepth": [0, 2, 4], "minInstancesPerNode": [1, 40]}
     own = G.search(stepped, NAMES, grid, bootstrap=False, featureSubsetStrategy="all")
-    monkeypatch.setattr(G, "TASK_BYTES", 0)
+    monkeypatch.setattr(W, "TASK_BYTES", 0)
     spark_s = G.search(stepped, NAMES, grid, bootstrap=False, featureSubsetStrategy="all")
     for a, b in zip(own.scores, spark_s.scores, strict=True):
         assert a == b | {"mse": pytest.approx(b["mse"], rel=1e-9)}
@@ -145,11 +146,11 @@ def test_more_rows_than_fit_a_task_are_fitted_by_spark(stepped, monkeypatch):
 def test_blocks_and_pieces_do_not_change_errors(rows, monkeypatch):
     both = coded(rows)
     drawn = M.forest(numTrees=7, maxDepth=4, minInstancesPerNode=2, featureSubsetStrategy="sqrt")
-    pack = G.packed(both, drawn)
-    once = G.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
-    monkeypatch.setattr(G, "BLOCK_ROWS", 23)
-    monkeypatch.setattr(G, "TASKS_PER_CORE", 1)
-    again = G.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
+    pack = W.packed(both, drawn, "__fold")
+    once = W.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
+    monkeypatch.setattr(W, "BLOCK_ROWS", 23)
+    monkeypatch.setattr(W, "TASKS_PER_CORE", 1)
+    again = W.validated(both, pack, [(0, drawn), (2, drawn)], [3, 7], [1, 4])
     for a, b in zip(once, again, strict=True):
         assert a == {k: (pytest.approx(total, rel=1e-9), n) for k, (total, n) in b.items()}
 
@@ -157,7 +158,7 @@ def test_blocks_and_pieces_do_not_change_errors(rows, monkeypatch):
 def test_labels_must_be_known(rows):
     unknown = coded(rows.withColumn(M.LABEL, F.when(F.col("id") > 3, F.col(M.LABEL))))
     with pytest.raises(ValueError, match="NaN"):
-        G.packed(unknown, M.forest())
+        W.packed(unknown, M.forest())
 
 
 def test_thresholds_leave_equal_shares():
@@ -168,3 +169,23 @@ def test_thresholds_leave_equal_shares():
     assert edges == pytest.approx([1000 * k / 8 for k in range(1, 8)], abs=15)
     assert T.thresholds(T.np.array([3.0, 1.0, 3.0]), T.np.array([1, 2, 3]), 32) == pytest.approx([2.0])
     assert [T.subset_size(s, 20, 9) for s in ("auto", "all", "sqrt", "log2", "onethird", "3", "0.5")] == [7, 20, 5, 5, 7, 3, 10]
+
+
+@pytest.mark.parametrize("subset", ["all", "sqrt"])
+def test_trees_of_several_leaf_sizes_are_grown_at_once(rows, subset):
+    """They share nodes while they split alike, and draw the same rows: without a choice of features nothing else changes."""
+    both, least = coded(rows), [40, 2, 9]
+    each = [M.forest(numTrees=6, maxDepth=5, minInstancesPerNode=k, featureSubsetStrategy=subset) for k in least]
+    pack = W.packed(both, each[0], "__fold")
+    found = W.validated(both, pack, [(1, e) for e in each], [6], [2, 5])
+    for k, e, one in zip(least, each, found, strict=True):
+        (alone,) = W.validated(both, pack, [(1, e)], [6], [2, 5])
+        tolerance = 1e-9 if subset == "all" else 0.35
+        assert one == {key: (pytest.approx(total, rel=tolerance), n) for key, (total, n) in alone.items()}, k
+    assert len({one[6, 5][0] for one in found}) == 3
+    settings, label = T.Settings.of(each[0], 4, 6), pack.label
+    sizes = [len(e) + 1 for e in pack.edges]
+    for tree, bound in enumerate(sorted(least)):
+        for level in T.grow(pack.columns, label, sizes, settings, sorted(least), T.np.random.default_rng(3), 5):
+            inner = level.feature[tree] >= 0
+            assert (level.weight[inner] >= 2 * bound).all()
