@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuescope import vocab
+from queuescope.operators import grown
 from queuescope.operators import model as M
 from queuescope.plans.training import tune, with_policy_features, write_tuned
 from queuescope.registry import queries
@@ -139,3 +140,25 @@ def test_a_fit_has_a_task_per_core_however_many_partitions_its_rows_have(spark,
     scored = M.predict(model, rows)
     assert scored.filter(F.col("predicted_log") == F.col(M.LABEL)).count() == 400
     assert [M.fit_parts(n, 12) for n in (0, 12 * M.FIT_ROWS, 12 * M.FIT_ROWS + 1)] == [12, 12, 13]
+
+
+def test_the_baseline_is_grown_in_tasks_where_rows_fit_one(rows, monkeypatch):
+    train, names, seen, fit = M.model_rows(rows).cache(), M.feature_names(rows), [], grown.RandomForestRegressor.fit
+    monkeypatch.setattr(grown.RandomForestRegressor, "fit", lambda self, known: seen.append(known.count()) or fit(self, known))
+    error = F.avg((F.col("predicted_log") - F.col(M.LABEL)) ** 2)
+    model = M.baseline_forest(train, names)
+    own = M.predict(model, train).agg(error).first()[0]
+    assert seen == [1]  # the form of a stored forest
+    assert model.stages[-1].getNumTrees == vocab.BASELINE_TREES and model.stages[0].getInputCols() == names
+    assert own < 0.1 * train.agg(F.var_pop(M.LABEL)).first()[0]
+    monkeypatch.setattr(grown, "TASK_BYTES", 0)
+    by_spark = M.predict(M.baseline_forest(train, names), train).agg(error).first()[0]
+    assert by_spark == pytest.approx(own, rel=0.5)
+
+
+def test_no_forest_is_grown_on_unknown_features_or_no_rows(rows):
+    train = M.model_rows(rows)
+    with pytest.raises(ValueError, match="no rows"):
+        M.baseline_forest(train.filter("tid is null"), ["iat"])
+    with pytest.raises(ValueError, match="features"):
+        M.baseline_forest(train.withColumn("iat", F.when(F.col("session_id") != 1, F.col("iat"))), ["iat"])

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from queuescope.operators.asof import asof_lookup, last_per_key
 from queuescope.operators.scan import Lag, LastKnown, Limits, Replay, RunningSum, ScanPlan, _carry, position
+from queuescope.operators import scan
+from queuescope.registry import adapter
 from queuescope.registry.adapter import measured
+from queuescope.session import cut_lineage
+
+DATA = "/root/testdata/sf0.001"
 
 WAYS = ["whole", "time", "range"]
 
@@ -165,3 +170,22 @@ def test_lags_count_in_the_plan_of_the_log(spark, tmp_path):
     limits = Limits(group_rows=200, slice_rows=50)
     assert measured(spark, str(tmp_path), limits).is_whole
     assert measured(spark, str(tmp_path), limits, slack=4).mode == "time"
+
+
+def test_ends_of_slices_are_read_once_for_all_passes(spark, monkeypatch):
+    """Every pass read all stored rows for the few that end its slices."""
+    stored = []
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: stored.append(df.count()) or cut_lineage(df))
+    rows = spark.createDataFrame(make_rows(), "k string, t bigint, i bigint, v bigint, s bigint")
+    passes = [(["k"], {"n": position()}), (["k", "s"], {"m": position()})]
+    got = plan_for(spark, "time").compute_all(rows, passes, ["t", "i"], "t").collect()
+    whole = plan_for(spark, "whole").compute_all(rows, passes, ["t", "i"], "t").collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole))
+    assert len(stored) == 2 and stored[0] == 300 and stored[1] < 150
+
+
+def test_a_large_log_is_stored_in_tasks_that_keep_all_cores_busy(spark):
+    plan = ScanPlan.measure(adapter.raw_events(spark, DATA), ["session_id"], "ts_ns", Limits(100, 50))
+    log = adapter.worker_log(spark, DATA, plan)
+    assert not plan.is_whole and log.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(map(str, log.collect())) == sorted(map(str, adapter.worker_log(spark, DATA, ScanPlan()).collect()))

@@ -249,3 +249,13 @@ def test_table_round_trips(spark, tmp_path):
     S.write_csv(df, str(tmp_path / "c"))
     again = S.read_csv(spark, str(tmp_path / "c"), df.schema)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_profile_text_is_parsed_once(spark):
+    """A filter on maps without entries, below the explosion, parsed every text once or twice more."""
+    texts = ['{"data":{"f":{"resource_data":{"gpu":{"warm_results_sec":[1,3]}}}}}', '{"data":{}}', "{}", None]
+    stored = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, k int").repartition(2, "k")
+    means = profile_means(P.parse_profiles(stored, "text"))
+    assert [tuple(r) for r in means.collect()] == [("f", 2.0, 0.0)]
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
